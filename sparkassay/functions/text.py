@@ -31,7 +31,7 @@ def sentences(c: Column | str) -> Column:
 
 
 # Fixed value: line boundaries of a universal-newline split.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def lines(c: Column | str) -> Column:

@@ -27,7 +27,7 @@ def embed_distinct(df: DataFrame, embedder: Embedder, text: str = "text", out: s
             yield pd.DataFrame({text: pdf[text], "_n": pdf["_n"], out: embedder(pdf[text].tolist())})
 
     vectors = counts.mapInPandas(run, f"`{text}` string, _n long, `{out}` array<double>")
-    return salted_join(df, vectors, text, "_n").drop("_n")
+    return salted_join(df, vectors, text, counts, "_n").drop("_n")
 
 
 def hash_embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "embedding") -> DataFrame:

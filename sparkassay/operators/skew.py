@@ -7,24 +7,28 @@ from pyspark.sql import functions as F
 
 # Rows of one key that one task may receive before the key is split further.
 ROWS_PER_SALT = 200_000
+# A key is hot only above total / MAX_HOT_KEYS rows, so there are never more hot keys than this.
+MAX_HOT_KEYS = 1_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, rows_per_salt: int = ROWS_PER_SALT,
-                how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, count: str,
+                rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Join rows to a side that is unique per ``key`` and carries the key's row count in ``count``.
 
-    A key with n rows is spread over ``1 + n // rows_per_salt`` salts, and the unique side is repeated once per
-    salt, so a key with a third of all rows becomes many ordinary keys. Every left row tries only one salt drawn
-    from a hash of the row (stable under task retries). Hot keys are few by construction - at most total rows over
-    ``rows_per_salt`` - and only they are split off.
+    ``counts`` is the cheap ``(key, count)`` table behind that side. A key with n rows is spread over
+    ``1 + n // threshold`` salts and its single right row is repeated once per salt, so a key with a third of all
+    rows becomes many ordinary ones. A left row's salt is a hash of the row, stable under task retries. The
+    broadcast lookup holds at most MAX_HOT_KEYS keys by construction.
     """
-    hot = right.filter(F.col(count) > rows_per_salt).select(
-        F.col(key).alias("_hot"), (1 + F.floor(F.col(count) / rows_per_salt)).cast("int").alias("_salts"))
-    salted_left = (left.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left")
-                   .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-                       F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int")))
-                   .drop("_hot", "_salts"))
-    repeats = F.sequence(F.lit(0), F.floor(F.col(count) / rows_per_salt).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(repeats)).withColumnRenamed(key, "_key")
-    cond = F.col(key).eqNullSafe(F.col("_key")) & (salted_left["_salt"] == salted_right["_salt"])
-    return salted_left.join(salted_right, cond, how).drop("_key", "_salt")
+    total = counts.agg(F.sum(count)).scalar()
+    threshold = F.greatest(F.lit(rows_per_salt).cast("double"), total / MAX_HOT_KEYS)
+    extra = F.floor(F.col(count) / threshold).cast("int")
+    hot = counts.filter(F.col(count) > threshold).select(F.col(key).alias("_hot"), extra.alias("_extra"))
+    salted_left = (left.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+                   .withColumn("_salt", F.when(F.col("_extra").isNull(), F.lit(0)).otherwise(
+                       F.pmod(F.xxhash64(*left.columns), F.col("_extra") + 1).cast("int")))
+                   .drop("_hot", "_extra"))
+    salted_right = (right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), extra)))
+                    .withColumnRenamed(key, "_key"))
+    cond = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt_r"))
+    return salted_left.join(salted_right, cond).drop("_key", "_salt", "_salt_r")

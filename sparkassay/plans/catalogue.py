@@ -6,7 +6,7 @@ import importlib
 
 from sparkassay.plans.registry import ORACLES, QUERIES
 
-MODULES = ("warehouse",)
+MODULES = ("warehouse", "text", "retrieval", "selection")
 
 
 def _load() -> None:

@@ -33,6 +33,15 @@ class Warehouse:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table with at least one partition per core, for CPU-heavy row work.
+
+        A no-op on large tables, whose scan already has more splits than cores.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL text in which ``{table}`` names a warehouse table."""
         used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in text}
