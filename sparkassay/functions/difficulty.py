@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of each level, in natural order; ties between levels go to the earlier one.
@@ -51,15 +51,26 @@ def level_score(question: Column, level: str) -> Column:
     return reduce(lambda a, b: a + b, [q.rlike("(?U)" + p).cast("int") for p in RULES[level]])
 
 
-def with_rule_grade(df, question: str = "question"):
-    """Add ``difficulty`` and ``confidence``; each pattern counts at most once for its level."""
-    scored = df.withColumns({f"_{lv}": level_score(F.col(question), lv) for lv in LEVELS})
-    cols = [F.col(f"_{lv}") for lv in LEVELS]
-    ranked = F.sort_array(F.array(*cols), asc=False)
-    total = cols[0] + cols[1] + cols[2]
-    winner = F.when(total == 0, F.lit(NO_SIGNAL))
-    for lv in LEVELS:
-        winner = winner.when(F.col(f"_{lv}") == ranked[0], F.lit(lv))
-    gap = F.when(total == 0, F.lit(0.0)).otherwise(F.bround((ranked[0] - ranked[1]) / total, 3))
-    return (scored.withColumns({"difficulty": winner, "confidence": gap})
-            .drop(*[f"_{lv}" for lv in LEVELS]))
+def rule_grade(question: Column) -> Column:
+    """``struct(difficulty, confidence)``; each pattern counts at most once for its level.
+
+    The three scores are bound to one lambda variable, so every regular expression runs once per row however
+    often the scores are used below.
+    """
+
+    def grade(s: Column) -> Column:
+        ranked = F.sort_array(F.array(*[s[lv] for lv in LEVELS]), asc=False)
+        total = s["easy"] + s["medium"] + s["hard"]
+        winner = F.when(total == 0, F.lit(NO_SIGNAL))
+        for lv in LEVELS:
+            winner = winner.when(s[lv] == ranked[0], F.lit(lv))
+        gap = F.when(total == 0, F.lit(0.0)).otherwise(F.bround((ranked[0] - ranked[1]) / total, 3))
+        return F.struct(winner.alias("difficulty"), gap.alias("confidence"))
+
+    scores = F.struct(*[level_score(question, lv).alias(lv) for lv in LEVELS])
+    return F.transform(F.array(scores), grade)[0]
+
+
+def with_rule_grade(df: DataFrame, question: str = "question") -> DataFrame:
+    graded = df.withColumn("_g", rule_grade(F.col(question)))
+    return graded.withColumns({"difficulty": F.col("_g.difficulty"), "confidence": F.col("_g.confidence")}).drop("_g")

@@ -6,7 +6,7 @@ import importlib
 
 from sparkassay.plans.registry import ORACLES, QUERIES
 
-MODULES = ("warehouse", "text", "retrieval", "selection")
+MODULES = ("warehouse", "text", "retrieval", "selection", "parsing", "screening")
 
 
 def _load() -> None:

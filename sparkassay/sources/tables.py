@@ -45,6 +45,9 @@ class Warehouse:
     def sql(self, text: str) -> DataFrame:
         """Run SQL text in which ``{table}`` names a warehouse table."""
         used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in text}
+        text = text.replace("{", "{{").replace("}", "}}")
+        for name in used:
+            text = text.replace("{{" + name + "}}", "{" + name + "}")
         return self.spark.sql(text, **used)
 
 
