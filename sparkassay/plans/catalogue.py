@@ -6,7 +6,8 @@ import importlib
 
 from sparkassay.plans.registry import ORACLES, QUERIES
 
-MODULES = ("warehouse", "text", "retrieval", "selection", "parsing", "screening")
+MODULES = ("warehouse", "inputs", "text", "retrieval", "selection", "prompting", "parsing",
+           "screening", "scoring", "runs", "curation", "live")
 
 
 def _load() -> None:

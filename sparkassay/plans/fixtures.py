@@ -207,8 +207,8 @@ SELECT c_custkey AS job_id, CASE c_custkey % 5 WHEN 0 THEN 'zero_shot' WHEN 1 TH
   CASE WHEN c_custkey % 97 = 0 THEN 'running' WHEN c_custkey % 31 = 0 THEN 'failed'
     WHEN c_custkey % 53 = 0 THEN 'pending' ELSE 'completed' END AS status,
   CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE CAST(c_acctbal AS DECIMAL(12,2)) END AS result_match,
-  CASE WHEN c_custkey % 5 = 4 THEN CAST(NULL AS DECIMAL(12,2)) ELSE CAST(c_acctbal / 2 AS DECIMAL(12,2)) END AS semantic_judge,
-  CASE WHEN c_custkey % 5 = 3 THEN CAST(c_acctbal / 4 AS DECIMAL(12,2)) ELSE CAST(NULL AS DECIMAL(12,2)) END AS retrieval_recall,
+  CASE WHEN c_custkey % 5 = 4 THEN CAST(NULL AS DECIMAL(14,4)) ELSE CAST(c_acctbal / 2 AS DECIMAL(14,4)) END AS semantic_judge,
+  CASE WHEN c_custkey % 5 = 3 THEN CAST(c_acctbal / 4 AS DECIMAL(14,4)) ELSE CAST(NULL AS DECIMAL(14,4)) END AS retrieval_recall,
   CAST(c_custkey % 100 AS DECIMAL(12,2)) AS avg_latency, CAST(c_custkey % 10 AS DECIMAL(12,2)) AS avg_cost,
   CAST(c_custkey % 3 + 1 AS DECIMAL(12,2)) AS avg_attempts, CAST(c_custkey % 6 AS DECIMAL(12,2)) AS avg_tool_calls
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkassay.functions.text import strip
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -57,17 +59,28 @@ def save_star(wh: Warehouse, target: str, names: tuple[str, ...], force: bool =
         getattr(wh, name).write.mode("overwrite" if force else "ignore").parquet(f"{target}/{name}.parquet")
 
 
-def load_questions(spark: SparkSession, path: str, difficulty: str | None = None) -> DataFrame:
-    """Question files (a JSON array, or one object per line when the path is a folder of lines)."""
-    df = spark.read.schema(QUESTION_SCHEMA).option("multiLine", True).json(path)
+def load_questions(spark: SparkSession, path: str, difficulty: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Question files: JSON arrays, or one object per line with ``multi_line=False`` (which splits large files)."""
+    df = spark.read.schema(QUESTION_SCHEMA).option("multiLine", multi_line).json(path)
     if difficulty is not None:
         df = df.filter(F.col("difficulty") == difficulty)
     return df.withColumn("notes", F.coalesce("notes", F.lit("")))
 
 
 def expected_cells(df: DataFrame, rows: str = "expected_rows") -> DataFrame:
-    """Explode the heterogeneous golden rows into the long ``(id, row_no, cells)`` result form."""
-    cell = lambda v: F.concat(F.schema_of_variant(v), F.lit(":"), v.cast("string"))
+    """Explode the heterogeneous golden rows into the long ``(id, row_no, cells)`` result form.
+
+    Cells use the canonical text of executed results: numbers to two digits, strings stripped and tagged apart.
+    """
+
+    def cell(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        number = F.bround(F.try_variant_get(v, "$", "decimal(38,6)"), 2).cast("decimal(38,2)").cast("string")
+        return (F.when(kind == "VOID", F.lit(None).cast("string"))
+                .when(kind == "STRING", F.concat(F.lit("s:"), strip(F.try_variant_get(v, "$", "string"))))
+                .when(kind == "BOOLEAN", F.concat(F.lit("b:"), F.try_variant_get(v, "$", "string")))
+                .otherwise(F.concat(F.lit("n:"), number)))
+
     as_rows = F.col(rows).cast("array<array<variant>>")
     return df.select("id", F.posexplode(as_rows).alias("row_no", "raw")).select(
         "id", "row_no", F.transform("raw", cell).alias("cells"))
@@ -75,7 +88,7 @@ def expected_cells(df: DataFrame, rows: str = "expected_rows") -> DataFrame:
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text or markdown files, one document each, with file name and path as metadata."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return df.select(
         F.col("value").alias("text"),
         F.create_map(
