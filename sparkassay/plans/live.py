@@ -27,12 +27,12 @@ FROM (SELECT conv_id, turn, {o_count('easy')} AS e, {o_count('medium')} AS m, {o
   CASE WHEN t = '' THEN 'empty_input' WHEN {o_first(sc.SQL_INJECTION)} IS NOT NULL THEN 'sql_injection' WHEN {o_first(sc.PROMPT_INJECTION)} IS NOT NULL THEN 'prompt_injection' END AS category
   FROM (SELECT conv_id, turn, text, {o_strip('text')} AS t FROM conversations))""")
 def q_stream_screen_route(wh):
-    turns = streams.table_stream(wh.spark, f"{wh.root}/conversations.parquet")
+    turns = streams.table_stream(wh.spark, wh.root, "conversations")
     return streams.drain_to_table(streams.screen_and_grade(turns, ["conv_id", "turn"], "text"), "screened")
 
 
 def event_stream(wh):
-    events = streams.table_stream(wh.spark, f"{wh.root}/events.parquet")
+    events = streams.table_stream(wh.spark, wh.root, "events")
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -86,7 +86,7 @@ BENCH = "SELECT item_id AS qid, text FROM benchmark"
 
 @query("stream_topk", f"WITH {o_dense(BENCH, DOCS, 3, 'qid', 'doc_id')} SELECT * FROM dense")
 def q_stream_topk(wh):
-    asked = streams.table_stream(wh.spark, f"{wh.root}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
+    asked = streams.table_stream(wh.spark, wh.root, "benchmark").select(F.col("item_id").alias("qid"), "text")
     static = hash_embed(wh.spread("documents").select("doc_id", "text"))
     return streams.drain_batches(asked, "nearest", lambda batch: retrieval.topk_dense(
         hash_embed(batch), static, 3, "qid", "doc_id", q_out="qid", i_out="doc_id"))

@@ -16,9 +16,13 @@ from sparkassay.functions.screening import check_input
 from sparkassay.session import scratch_path
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream, with the table's own schema."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``<root>/<name>.parquet`` as a stream with the table's own schema.
+
+    The path is written as a glob, which a file stream accepts whether the table is one file or a folder of files.
+    """
+    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{root}/{name}[.]parquet")
 
 
 def drain_to_table(stream: DataFrame, label: str) -> DataFrame:
