@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.functions.text import matches
+
 # The patterns of each level, in natural order; ties between levels go to the earlier one.
 RULES = {
     "easy": [
@@ -47,8 +49,8 @@ NO_SIGNAL = "medium"
 
 
 def level_score(question: Column, level: str) -> Column:
-    q = F.lower(question)
-    return reduce(lambda a, b: a + b, [q.rlike("(?U)" + p).cast("int") for p in RULES[level]])
+    """Number of the level's patterns found in an already lower-cased question."""
+    return reduce(lambda a, b: a + b, [matches(question, question, p, "(?U)").cast("int") for p in RULES[level]])
 
 
 def rule_grade(question: Column) -> Column:
@@ -67,8 +69,8 @@ def rule_grade(question: Column) -> Column:
         gap = F.when(total == 0, F.lit(0.0)).otherwise(F.bround((ranked[0] - ranked[1]) / total, 3))
         return F.struct(winner.alias("difficulty"), gap.alias("confidence"))
 
-    scores = F.struct(*[level_score(question, lv).alias(lv) for lv in LEVELS])
-    return F.transform(F.array(scores), grade)[0]
+    bound = F.transform(F.array(F.lower(question)), lambda q: F.struct(*[level_score(q, lv).alias(lv) for lv in LEVELS]))
+    return F.transform(bound, grade)[0]
 
 
 def with_rule_grade(df: DataFrame, question: str = "question") -> DataFrame:

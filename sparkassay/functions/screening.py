@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkassay.functions.text import is_blank, strip
+from sparkassay.functions.text import folded, is_blank, matches, strip
 
 # Ordered patterns with our name for each; the first hit decides.
 SQL_INJECTION = [
@@ -38,20 +38,26 @@ PROMPT_INJECTION = [
 FLAGS = "(?iuUd)"
 
 
-def first_hit(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Name of the first matching pattern, else null."""
+def first_hit(text: Column, lower: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Name of the first matching pattern, else null. ``lower`` is the folded text."""
     hit = F.lit(None).cast("string")
     for pattern, name in reversed(patterns):
-        hit = F.when(text.rlike(FLAGS + pattern), F.lit(name)).otherwise(hit)
+        hit = F.when(matches(text, lower, pattern, FLAGS), F.lit(name)).otherwise(hit)
     return hit
 
 
+def _bound(text: Column, use) -> Column:
+    """Apply ``use(text, folded)`` with both computed once per row."""
+    both = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), folded(t).alias("f")))
+    return F.transform(both, lambda b: use(b["t"], b["f"]))[0]
+
+
 def sql_injection(text: Column) -> Column:
-    return first_hit(text, SQL_INJECTION)
+    return _bound(text, lambda t, f: first_hit(t, f, SQL_INJECTION))
 
 
 def prompt_injection(text: Column) -> Column:
-    return first_hit(text, PROMPT_INJECTION)
+    return _bound(text, lambda t, f: first_hit(t, f, PROMPT_INJECTION))
 
 
 def _verdict(category: Column, reason: Column) -> Column:
@@ -67,10 +73,9 @@ def check_input(text: Column | str) -> Column:
         reason = F.when(s["blank"], F.lit("blank text")).otherwise(F.coalesce(s["sql"], s["prompt"]))
         return _verdict(category, reason)
 
-    t = strip(text)
-    sql = sql_injection(t)
-    facts = F.struct((t == "").alias("blank"), sql.alias("sql"),
-                     F.when(sql.isNull(), prompt_injection(t)).alias("prompt"))
+    facts = _bound(strip(text), lambda t, f: F.struct(
+        (t == "").alias("blank"), first_hit(t, f, SQL_INJECTION).alias("sql"),
+        first_hit(t, f, PROMPT_INJECTION).alias("prompt")))
     return F.transform(F.array(facts), judge)[0]
 
 
@@ -104,8 +109,10 @@ def _clean(sql: Column) -> Column:
 def _unnest(statement: Column) -> Column:
     """``struct(top, parts)``: the text outside all parentheses, and every parenthesis body with its own removed."""
     start = F.struct(statement.alias("top"), F.array().cast("array<string>").alias("parts"))
+    # No statement nests deeper than it has opening parentheses.
+    depth = F.least(F.lit(MAX_DEPTH), F.length(statement) - F.length(F.replace(statement, F.lit("("), F.lit(""))))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start,
+        F.slice(F.array(*[F.lit(i) for i in range(MAX_DEPTH)]), F.lit(1), depth), start,
         lambda acc, _: F.struct(
             F.regexp_replace(acc["top"], INNER, f" {SUB} ").alias("top"),
             F.concat(F.regexp_extract_all(acc["top"], F.lit(INNER), F.lit(1)), acc["parts"]).alias("parts")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,24 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 def lines(c: Column | str) -> Column:
     return F.split(c, LINE_BREAK)
+
+
+def literal_head(pattern: str) -> str:
+    """The fixed text a pattern starts with (after a word boundary), in lower case; empty if there is none."""
+    body = pattern.removeprefix(r"\b")
+    if body.startswith("\\") and not body[1].isalnum():
+        return body[1]
+    head = re.match(r"[\w `;-]*", body).group()
+    return (head[:-1] if body[len(head):len(head) + 1] in ("?", "*", "{") else head).lower()
+
+
+def matches(text: Column, folded: Column, pattern: str, flags: str = "") -> Column:
+    """``text`` matches ``pattern``; a plain substring test on the folded text skips most regular expressions."""
+    head = literal_head(pattern)
+    hit = text.rlike(flags + pattern)
+    return folded.contains(head) & hit if head else hit
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the three letters that only case-insensitive matching equates to s and i."""
+    return F.translate(F.lower(text), "\u017f\u0131\u0130", "sii")

@@ -36,7 +36,8 @@ def hash_embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "emb
 
 def vector_entries(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Non-zero vector entries as ``(key, bucket, weight)`` rows."""
-    return (df.select(key, F.posexplode(vector).alias("bucket", "weight")).filter(F.col("weight") != 0))
+    # The outer form keeps the optimizer from computing the vector a second time for an inferred size filter.
+    return df.select(key, F.posexplode_outer(vector).alias("bucket", "weight")).filter(F.col("weight") != 0)
 
 
 def sparse_from_lists(df: DataFrame, key: str, indices: str, values: str) -> DataFrame:

@@ -7,6 +7,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkassay.session import materialize
+
+# Broadcast bound: rows, and bytes, that may be copied into every task.
+MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row from its own strings and arrays."""
+    total = F.lit(16).cast("bigint")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            part = F.octet_length(c) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            part = F.size(c) * (24 if isinstance(f.dataType.elementType, T.StringType) else 8) + 16
+        else:
+            part = F.lit(8)
+        total = total + F.coalesce(part, F.lit(8)).cast("bigint")
+    return total
+
+
+def rows_within(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> int | None:
+    """Row count when the table stays inside both broadcast bounds, else None.
+
+    A limited collect reads only as many partitions as it needs, so probing a huge table costs one small task.
+    """
+    probe = df.select(row_bytes(df).alias("b")).limit(max_rows + 1).toPandas()
+    return len(probe) if len(probe) <= max_rows and probe["b"].sum() <= MAX_BROADCAST_BYTES else None
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint only where the measured size allows it; otherwise the join is left to shuffle."""
+    return df if rows_within(df, max_rows) is None else F.broadcast(df)
+
+
+def attach(hits: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Add item columns to a ranked list.
+
+    The list (k rows per query) is written once so that ranking is not repeated; while it is small it is broadcast
+    and the item texts are filtered where they are scanned instead of being shuffled.
+    """
+    return items.join(broadcast_if_small(materialize(hits, "hits"), 200_000), key)
 
 
 def years(column: str, first: int, last: int | None = None) -> Column:

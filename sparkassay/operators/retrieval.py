@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.functions.text import tokens
-from sparkassay.operators.relational import top_per_group
+from sparkassay.operators.relational import broadcast_if_small, top_per_group
 from sparkassay.operators.topk import Side, topk_join
+from sparkassay.session import materialize
 
 RRF_K = 60
 # Sentence and line format of a rendered context.
@@ -111,16 +112,14 @@ def bm25_kernel(k1: float, b: float, avg_len: float):
 def topk_dense(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, vector: str = "embedding",
                **options) -> DataFrame:
     """k nearest items by cosine. Both sides carry a dense vector column."""
-    size = f"8L * size({vector}) + 16"
-    return topk_join(Side(queries, q_id, (vector,), size), Side(items, i_id, (vector,), size),
+    return topk_join(Side(queries, q_id, (vector,)), Side(items, i_id, (vector,)),
                      cosine_kernel, k, **options)
 
 
 def topk_dense_excluding(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str,
                          vector: str = "embedding", **options) -> DataFrame:
     """As ``topk_dense`` but an item with the query's exact text is never returned."""
-    size = f"8L * size({vector}) + 16 + 2L * length({text})"
-    return topk_join(Side(queries, q_id, (vector, text), size), Side(items, i_id, (vector, text), size),
+    return topk_join(Side(queries, q_id, (vector, text)), Side(items, i_id, (vector, text)),
                      cosine_unless_same_text, k, **options)
 
 
@@ -132,43 +131,43 @@ def query_terms(queries: DataFrame, q_id: str, text: str) -> DataFrame:
             .select(q_id, F.col("_c.term").alias("terms"), F.col("_c.w").alias("weights")))
 
 
-LIST_BYTES = "24L * size({0}) + 16"
-
 
 def topk_sparse_dot(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str = "text",
                     **options) -> DataFrame:
     """k items with the largest sparse dot product of term counts; items sharing no term are not returned."""
     q = query_terms(queries, q_id, text)
     i = items.select(i_id, tokens(text).alias("terms"))
-    return topk_join(Side(q, q_id, ("terms", "weights"), LIST_BYTES.format("terms")),
-                     Side(i, i_id, ("terms",), LIST_BYTES.format("terms")), count_dot_kernel, k, **options)
+    return topk_join(Side(q, q_id, ("terms", "weights")),
+                     Side(i, i_id, ("terms",)), count_dot_kernel, k, **options)
 
 
 def topk_sparse_weights(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, terms: str = "terms",
                         weights: str = "weights", **options) -> DataFrame:
     """As above for supplied sparse vectors in parallel list columns."""
-    size = LIST_BYTES.format(terms)
-    return topk_join(Side(queries, q_id, (terms, weights), size), Side(items, i_id, (terms, weights), size),
+    return topk_join(Side(queries, q_id, (terms, weights)), Side(items, i_id, (terms, weights)),
                      weight_dot_kernel, k, **options)
 
 
 def topk_bm25(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str = "text",
               k1: float = 1.2, b: float = 0.75, **options) -> DataFrame:
-    """Keyword ranking. Corpus statistics take one pass each for lengths and for query-term document counts."""
+    """Keyword ranking: one pass for corpus statistics, one for scoring."""
     docs = items.select(i_id, tokens(text).alias("terms"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len")).first()
-    n, avg_len = stats["n"], stats["avg_len"] or 1.0
-    q = (query_terms(queries, q_id, text).select(q_id, F.explode("terms").alias("term")))
-    vocab = q.select("term").distinct()
-    # Per-document distinct terms, kept only where some query asks for them, pre-aggregated before the shuffle.
-    df = (docs.select(F.explode(F.array_distinct("terms")).alias("term"))
-          .join(vocab, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+    q = query_terms(queries, q_id, text).select(q_id, F.explode_outer("terms").alias("term"))
+    # Lengths ride along under an empty term, so one pass gives document counts of the asked terms and corpus totals.
+    total = queries.sparkSession.createDataFrame([("",)], "term string")
+    vocab = broadcast_if_small(q.select("term").filter(F.col("term").isNotNull()).union(total).distinct(), 1_000_000)
+    entries = F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(""))))
+    stats = materialize(
+        docs.select(entries.alias("term"), F.size("terms").alias("n")).join(vocab, "term", "left_semi")
+        .groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n_tokens")), "term-stats")
+    whole = stats.filter(F.col("term") == "").first()
+    n, avg_len = (whole["df"], whole["n_tokens"] / whole["df"] or 1.0) if whole else (0, 1.0)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = (q.join(df, "term").groupBy(q_id)
+    weighted = (q.join(stats.select("term", "df"), "term").groupBy(q_id)
                 .agg(F.collect_list(F.struct("term", idf.alias("w"))).alias("_c"))
                 .select(q_id, F.col("_c.term").alias("terms"), F.col("_c.w").alias("weights")))
-    return topk_join(Side(weighted, q_id, ("terms", "weights"), LIST_BYTES.format("terms")),
-                     Side(docs, i_id, ("terms",), LIST_BYTES.format("terms")),
+    return topk_join(Side(weighted, q_id, ("terms", "weights")),
+                     Side(docs, i_id, ("terms",)),
                      bm25_kernel(k1, b, float(avg_len)), k, **options)
 
 
@@ -228,8 +227,7 @@ def topk_ann(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str,
     Candidates are compared where the item row already sits, so a signature shared by a third of all items makes
     neither a shuffle group nor a pair list.
     """
-    size = f"8L * size({vector}) + 16"
-    return topk_join(Side(queries, q_id, (vector,), size), Side(items, i_id, (vector,), size),
+    return topk_join(Side(queries, q_id, (vector,)), Side(items, i_id, (vector,)),
                      signature_kernel(dim, tables, bits, seed), k, **options)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions.difficulty import LEVELS, with_rule_grade
 from sparkassay.functions.vectors import hash_vector
-from sparkassay.operators.relational import top_per_group
+from sparkassay.operators.relational import broadcast_if_small, top_per_group
 from sparkassay.operators.retrieval import topk_dense, topk_dense_excluding
 
 CONFIDENCE_FLOOR = 0.30
@@ -38,7 +38,8 @@ def classify_knn(questions: DataFrame, pool: DataFrame, q_id: str, ex_id: str, l
                  vector: str = "embedding", tie: Column | None = None, **options) -> DataFrame:
     """Majority label of the k nearest pool rows; confidence is votes / k. Ties go to the smaller ``tie`` value."""
     hits = topk_dense(questions, pool, k, q_id, ex_id, vector, q_out="_q", i_out="_ex", **options)
-    votes = (hits.join(pool.select(F.col(ex_id).alias("_ex"), F.col(label).alias("_label")), "_ex")
+    labels = broadcast_if_small(pool.select(F.col(ex_id).alias("_ex"), F.col(label).alias("_label")))
+    votes = (hits.join(labels, "_ex")
              .groupBy("_q", "_label").agg(F.count("*").alias("_votes")))
     order = [F.desc("_votes"), tie if tie is not None else F.col("_label")]
     best = top_per_group(votes, ["_q"], order, 1)

@@ -22,12 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkassay.operators.relational import top_per_group
+from sparkassay.operators.relational import MAX_BROADCAST_ROWS, rows_within, top_per_group
 
 SCORE_DIGITS = 6
-# Broadcast bound: rows, and bytes of payload, that may be copied into every task.
-MAX_BROADCAST_ROWS = 20_000
-MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2_048
 # Cells of one score matrix held in memory at a time.
 MATRIX_CELLS = 4_000_000
@@ -40,7 +37,6 @@ class Side:
     df: DataFrame
     key: str
     payload: tuple[str, ...]
-    row_bytes: int | str = 0  # bytes per row, or a column expression for it
 
     def narrow(self, prefix: str) -> DataFrame:
         return self.df.select(F.col(self.key).alias(f"{prefix}_id"),
@@ -51,21 +47,18 @@ Kernel = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]  # (queries, items)
 
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per column, positions of the k best non-NaN scores; ties go to the smaller id."""
-    rows, cols = [], []
-    n = scores.shape[0]
-    for q in range(scores.shape[1]):
-        s = scores[:, q]
-        idx = np.flatnonzero(~np.isnan(s))
-        if len(idx) > k:
-            cut = -np.partition(-s[idx], k - 1)[k - 1]
-            idx = idx[s[idx] >= cut]
-        idx = idx[np.lexsort((ids[idx], -s[idx]))][:k] if n else idx
-        rows.append(idx)
-        cols.append(np.full(len(idx), q))
-    if not rows:
-        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    return np.concatenate(rows), np.concatenate(cols)
+    """Per column, row positions of the k best non-NaN scores, best first; ties go to the smaller id."""
+    s = np.where(np.isnan(scores), -np.inf, scores).T
+    keep = s > -np.inf
+    if s.shape[1] > k:
+        # Everything at or above the k-th best score stays a candidate, so ties at the cut are settled by id below.
+        keep &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    col, row = np.nonzero(keep)
+    order = np.lexsort((ids[row], -s[col, row], col))
+    col, row = col[order], row[order]
+    first = np.searchsorted(col, col, side="left")
+    top = np.arange(len(col)) - first < k
+    return row[top], col[top]
 
 
 def _score_blocks(kernel: Kernel, queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -90,16 +83,6 @@ def merge_best(held: pd.DataFrame | None, more: pd.DataFrame, k: int) -> pd.Data
     return both[both.groupby("q_id", sort=False).cumcount() < k]
 
 
-def _rows_within(side: Side, max_rows: int) -> int | None:
-    """Row count when the side stays inside both broadcast bounds, else None.
-
-    A limited collect reads only as many partitions as it needs, so probing a huge side costs one small task.
-    """
-    size = F.expr(side.row_bytes) if isinstance(side.row_bytes, str) else F.lit(side.row_bytes)
-    probe = side.df.select(size.cast("double").alias("b")).limit(max_rows + 1).toPandas()
-    return len(probe) if len(probe) <= max_rows and probe["b"].sum() <= MAX_BROADCAST_BYTES else None
-
-
 def _fetch(side: Side, prefix: str) -> pd.DataFrame:
     return side.narrow(prefix).toPandas()
 
@@ -133,8 +116,8 @@ def topk_join(queries: Side, items: Side, kernel: Kernel, k: int, *, q_out: str
     schema = T.StructType([T.StructField("q_id", q_type), T.StructField("i_id", i_type),
                            T.StructField("score", T.DoubleType())])
 
-    n_queries = _rows_within(queries, max_rows)
-    n_items = _rows_within(items, max_rows if n_queries is None else min(max_rows, n_queries))
+    n_queries = rows_within(queries.narrow("q"), max_rows)
+    n_items = rows_within(items.narrow("i"), max_rows if n_queries is None else min(max_rows, n_queries))
     if n_items is not None:
         pool = _fetch(items, "i")
 

@@ -20,12 +20,12 @@ O_WHY = f"CASE WHEN regexp_matches(raw, '{WHY}') THEN {o_strip(f'''regexp_extrac
 
 @query("extract_sql", f"SELECT cid, {O_SQL} AS sql FROM ({C})")
 def q_extract_sql(wh):
-    return wh.sql(COMPLETIONS).select("cid", parsing.extract_sql("raw").alias("sql"))
+    return wh.sql(COMPLETIONS, spread=True).select("cid", parsing.extract_sql("raw").alias("sql"))
 
 
 @query("extract_reasoning", f"SELECT cid, {O_WHY} AS reasoning FROM ({C})")
 def q_extract_reasoning(wh):
-    return wh.sql(COMPLETIONS).select("cid", parsing.extract_reasoning("raw").alias("reasoning"))
+    return wh.sql(COMPLETIONS, spread=True).select("cid", parsing.extract_reasoning("raw").alias("reasoning"))
 
 
 @query("parse_completion_json", f"""
@@ -35,7 +35,7 @@ FROM (SELECT *, coalesce(json_type(j) = 'OBJECT' AND coalesce(json_type(j, '$.sq
       FROM (SELECT *, TRY_CAST(raw AS JSON) AS j FROM ({C})))""")
 def q_parse_completion_json(wh):
     parsed = parsing.parse_completion(F.col("raw"), F.col("is_cot"))
-    return wh.sql(COMPLETIONS).select("cid", parsed.alias("p")).select("cid", "p.sql", "p.reasoning")
+    return wh.sql(COMPLETIONS, spread=True).select("cid", parsed.alias("p")).select("cid", "p.sql", "p.reasoning")
 
 
 @query("parse_verdict", f"""
@@ -46,7 +46,7 @@ FROM (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN v = 'correct' THEN 1.0::DOUBL
   FROM (SELECT cid, sql, j->>'$.verdict' AS v, j->>'$.reasoning' AS r FROM (SELECT *, TRY_CAST(raw AS JSON) AS j FROM ({V}))))""")
 def q_parse_verdict(wh):
     scored = parsing.parse_verdict(F.col("raw"), F.col("sql"))
-    return wh.sql(VERDICTS).select("cid", scored.alias("p")).select("cid", "p.value", "p.explanation")
+    return wh.sql(VERDICTS, spread=True).select("cid", scored.alias("p")).select("cid", "p.value", "p.explanation")
 
 
 @query("parse_tool_args", f"""
@@ -58,5 +58,5 @@ SELECT qid, iteration, tool, CASE WHEN j IS NULL OR tool = 'send_mail' THEN NULL
 FROM (SELECT *, TRY_CAST(arguments AS JSON) AS j FROM ({TC}))""")
 def q_parse_tool_args(wh):
     parsed = parsing.parse_tool_args(F.col("tool"), F.col("arguments"))
-    return wh.sql(TOOL_CALLS).select("qid", "iteration", "tool", parsed.alias("p")).select(
+    return wh.sql(TOOL_CALLS, spread=True).select("qid", "iteration", "tool", parsed.alias("p")).select(
         "qid", "iteration", "tool", "p.value", "p.success", "p.error")

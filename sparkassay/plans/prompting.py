@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.operators import prompts, selection
 from sparkassay.operators.features import hash_embed
+from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import ATTEMPTS, QUESTIONS
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.retrieval import o_rank
@@ -32,7 +33,7 @@ def blocks(wh):
     pool = wh.sql(POOL)
     asked = wh.benchmark.select(F.col("item_id").alias("qid"), "text")
     hits = selection.fewshot_dynamic(hash_embed(asked), hash_embed(pool), "qid", "ex_id", q_out="qid", i_out="ex_id")
-    chosen = hits.join(pool, "ex_id")
+    chosen = attach(hits, pool, "ex_id")
     return prompts.ordered_pairs(chosen, "qid", "rank", "text").select("qid", prompts.fewshot_block(F.col("pairs")).alias("block"))
 
 

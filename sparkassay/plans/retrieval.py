@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkassay.functions.vectors import cosine, rescaled
 from sparkassay.operators import chunking, retrieval
 from sparkassay.operators.features import hash_embed
+from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import CATALOG, CATALOG_QUESTIONS, PASSAGES
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.text import DOCS, o_packed, o_tokens, o_vectors
@@ -139,7 +140,7 @@ def linked(wh, how: str, k: int = 5):
     catalog = wh.sql(CATALOG)
     i = hash_embed(catalog.withColumnRenamed("table_def", "text"))
     hits = retrieval.retrieve(q, i, how, k, "qid", "pos", q_out="qid", i_out="pos")
-    return hits.join(catalog, "pos")
+    return attach(hits, catalog, "pos")
 
 
 def o_blocks(how: str, cte: str) -> str:
@@ -177,7 +178,7 @@ WITH {o_bm25(P, DOCS, 3, 'qid', 'doc_id')}
 def q_context_block(wh):
     hits = retrieval.topk_bm25(passages(wh), docs(wh), 3, "qid", "doc_id", **IDS)
     bodies = wh.documents.select("doc_id", "text", F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("src"))
-    return retrieval.context_block(passages(wh), "qid", hits.join(bodies, "doc_id"), F.col("src"))
+    return retrieval.context_block(passages(wh), "qid", attach(hits, bodies, "doc_id"), F.col("src"))
 
 
 O_CHUNKS = "SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM packed"
@@ -192,5 +193,5 @@ def q_kb_search(wh):
               .withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index")))
     hits = retrieval.topk_dense(hash_embed(passages(wh)), hash_embed(chunks.select("chunk_id", "text")), 3,
                                 "qid", "chunk_id", q_out="qid", i_out="chunk_id")
-    found = hits.join(chunks.select("chunk_id", "text", "source"), "chunk_id")
+    found = attach(hits, chunks.select("chunk_id", "text", "source"), "chunk_id")
     return retrieval.context_block(passages(wh), "qid", found, F.col("source"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from sparkassay.functions import parsing, scoring
 from sparkassay.operators import chunking, retrieval, runlog
 from sparkassay.operators.features import hash_embed
+from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import ATTEMPTS, CATALOG_QUESTIONS, JOBS, RUN_SCORES, STREAM, TOOL_CALLS
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.retrieval import CI, CQ, o_dense, o_sparse, passages, P
 from sparkassay.plans.scoring import O_LONG, RS, SCORERS
 from sparkassay.plans.text import DOCS, o_fixed, o_packed, o_vectors
 from sparkassay.plans.retrieval import o_rank, linked
+from sparkassay.session import materialize
 from sparkassay.sources.catalog import table_name
 
 A, TC, J, SE = plain(ATTEMPTS), plain(TOOL_CALLS), plain(JOBS), plain(STREAM)
@@ -129,7 +131,7 @@ def sweep_hits(wh, chunker: str):
               .select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "text"))
     hits = retrieval.topk_dense(hash_embed(passages(wh)), hash_embed(chunks), max(KS), "qid", "chunk_id",
                                 q_out="qid", i_out="chunk_id")
-    return hits.join(chunks, "chunk_id").select("qid", "rank", "text")
+    return attach(hits, chunks, "chunk_id").select("qid", "rank", "text")
 
 
 O_SWEEP = f"""sw AS (SELECT 'sentence' AS chunker, qid, rank, text FROM (WITH RECURSIVE {o_packed(DOCS, 400, 1)},
@@ -186,9 +188,9 @@ def schema_questions(wh):
     return long.withColumn("top_k", F.col("top_k").cast("int")).withColumn("config", code)
 
 
-def schema_configs(wh):
+def schema_configs(wh, per_question=None):
     dense = F.col("strategy") == "dense"
-    table = schema_questions(wh).groupBy("strategy", "top_k", "config").agg(
+    table = (per_question or schema_questions(wh)).groupBy("strategy", "top_k", "config").agg(
         F.round(F.avg("recall"), 6).alias("recall"),
         F.round(F.avg((F.col("recall") == 1).cast("double")), 6).alias("perfect_recall"))
     n_tables = wh.part.agg(F.count("*")).scalar()
@@ -227,8 +229,9 @@ WITH {O_SCHEMA}, b AS (SELECT arg_max(config, (recall, perfect_recall, -avg_quer
 SELECT b.config, qid, CASE WHEN pq.recall = 1 THEN 'full' WHEN pq.recall > 0 THEN 'partial' ELSE 'none' END AS status
 FROM b JOIN cfg USING (config) JOIN pq ON pq.strategy = cfg.strategy AND pq.top_k = cfg.top_k""")
 def q_question_breakdown(wh):
-    best = runlog.takeaways(schema_configs(wh)).select(F.col("best_overall").alias("config"))
-    return runlog.best_questions(schema_questions(wh), best)
+    per_question = materialize(schema_questions(wh), "question-recall")
+    best = runlog.takeaways(schema_configs(wh, per_question)).select(F.col("best_overall").alias("config"))
+    return runlog.best_questions(per_question, best)
 
 
 # Prices per 1k tokens of an embedding model chosen per brand.

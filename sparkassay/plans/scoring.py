@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions import parsing, scoring
 from sparkassay.operators import results, retrieval
+from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import (ACTUAL_ROWS, CATALOG, CATALOG_QUESTIONS, EXECUTIONS, EXPECTED_ROWS, PASSAGES,
                                        RUN_SCORES, VERDICTS)
 from sparkassay.plans.registry import plain, query
@@ -28,11 +29,11 @@ X = plain(EXECUTIONS)
 
 
 def actual(wh):
-    return results.normalize_rows(wh.sql(ACTUAL_ROWS), ["qid", "row_no"], COLUMNS)
+    return results.normalize_rows(wh.sql(ACTUAL_ROWS, spread=True), ["qid", "row_no"], COLUMNS)
 
 
 def expected(wh):
-    return results.normalize_rows(wh.sql(EXPECTED_ROWS), ["qid", "row_no"], COLUMNS)
+    return results.normalize_rows(wh.sql(EXPECTED_ROWS, spread=True), ["qid", "row_no"], COLUMNS)
 
 
 @query("normalize_rows", f"SELECT qid, row_no, array_to_string(cells, '|') AS cells FROM ({O_A})")
@@ -181,7 +182,7 @@ SELECT qid, CASE WHEN contains(coalesce(body, ''), lower(p1)) OR contains(coales
 FROM ({plain(PHRASES)}) LEFT JOIN t USING (qid)""")
 def q_phrase_recall(wh):
     hits = retrieval.topk_bm25(passages(wh), docs(wh), 3, "qid", "doc_id", **IDS)
-    texts = (hits.join(wh.documents.select("doc_id", "text"), "doc_id").groupBy("qid")
+    texts = (attach(hits, wh.documents.select("doc_id", "text"), "doc_id").groupBy("qid")
              .agg(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"].alias("texts")))
     joined = wh.sql(PHRASES).join(texts, "qid", "left")
     none = F.array().cast("array<string>")

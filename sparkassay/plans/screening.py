@@ -25,12 +25,12 @@ def o_first(patterns) -> str:
 
 @query("screen_sql_injection", f"SELECT text_id, {o_first(sc.SQL_INJECTION)} AS hit FROM (SELECT text_id, text AS t FROM ({S}))")
 def q_screen_sql_injection(wh):
-    return wh.sql(SCREEN).select("text_id", sc.sql_injection(F.col("text")).alias("hit"))
+    return wh.sql(SCREEN, spread=True).select("text_id", sc.sql_injection(F.col("text")).alias("hit"))
 
 
 @query("screen_prompt_injection", f"SELECT text_id, {o_first(sc.PROMPT_INJECTION)} AS hit FROM (SELECT text_id, text AS t FROM ({S}))")
 def q_screen_prompt_injection(wh):
-    return wh.sql(SCREEN).select("text_id", sc.prompt_injection(F.col("text")).alias("hit"))
+    return wh.sql(SCREEN, spread=True).select("text_id", sc.prompt_injection(F.col("text")).alias("hit"))
 
 
 @query("check_input", f"""
@@ -40,7 +40,7 @@ FROM (SELECT *, CASE WHEN t = '' THEN 'empty_input' WHEN s IS NOT NULL THEN 'sql
   FROM (SELECT text_id, t, {o_first(sc.SQL_INJECTION)} AS s, {o_first(sc.PROMPT_INJECTION)} AS p
         FROM (SELECT text_id, {o_strip('text')} AS t FROM ({S}))))""")
 def q_check_input(wh):
-    return wh.sql(SCREEN).select("text_id", sc.check_input("text").alias("v")).select("text_id", "v.*")
+    return wh.sql(SCREEN, spread=True).select("text_id", sc.check_input("text").alias("v")).select("text_id", "v.*")
 
 
 def _noise(x: str) -> str:
@@ -80,7 +80,7 @@ outside AS (SELECT sid, first(t ORDER BY n, i) AS t FROM (
 
 
 def statements(wh):
-    return wh.sql(STATEMENTS)
+    return wh.sql(STATEMENTS, spread=True)
 
 
 def allow():

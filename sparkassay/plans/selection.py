@@ -22,7 +22,7 @@ SELECT difficulty, qid, question, sql FROM (
   SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY qid) AS n FROM ({Q})) WHERE n = 1
 ORDER BY {ORDER} LIMIT 3""")
 def q_fewshot_static(wh):
-    return selection.fewshot_static(wh.sql(QUESTIONS), "qid", 3)
+    return selection.fewshot_static(wh.sql(QUESTIONS, spread=True), "qid", 3)
 
 
 USER_TURNS = "SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations WHERE role = 'user'"
@@ -52,7 +52,7 @@ O_GRADED = f"""SELECT qid, question,
 
 @query("classify_rules", O_GRADED)
 def q_classify_rules(wh):
-    return with_rule_grade(wh.sql(QUESTIONS).select("qid", "question"))
+    return with_rule_grade(wh.sql(QUESTIONS, spread=True).select("qid", "question"))
 
 
 @query("classify_knn", f"""
@@ -88,14 +88,14 @@ WITH {O_ROUTED} SELECT *, CASE WHEN difficulty = 'hard' THEN 'openai/gpt-4o' ELS
   CASE WHEN difficulty = 'easy' THEN 'zero_shot' ELSE 'few_shot_dynamic' END AS strategy FROM routed""")
 def q_route(wh):
     pool = wh.sql(POOL).withColumn("embedding", hash_vector("text"))
-    return selection.route(wh.sql(QUESTIONS), pool, "qid", "ex_id", hard_model="openai/gpt-4o")
+    return selection.route(wh.sql(QUESTIONS, spread=True), pool, "qid", "ex_id", hard_model="openai/gpt-4o")
 
 
 @query("routing_table_join", f"""
 SELECT qid, difficulty, 'openai/gpt-4o-mini' AS model,
   CASE WHEN difficulty = 'easy' THEN 'zero_shot' ELSE 'few_shot_dynamic' END AS strategy FROM ({Q})""")
 def q_routing_table_join(wh):
-    return selection.with_route(wh.sql(QUESTIONS).select("qid", "difficulty"))
+    return selection.with_route(wh.sql(QUESTIONS, spread=True).select("qid", "difficulty"))
 
 
 TRAINING = """SELECT o_orderpriority AS run, o_orderkey AS pos,

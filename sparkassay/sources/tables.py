@@ -44,9 +44,9 @@ class Warehouse:
         cores = self.spark.sparkContext.defaultParallelism
         return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, spread: bool = False) -> DataFrame:
         """Run SQL text in which ``{table}`` names a warehouse table."""
-        used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in text}
+        used = {name: self.spread(name) if spread else getattr(self, name) for name in TABLES if "{" + name + "}" in text}
         text = text.replace("{", "{{").replace("}", "}}")
         for name in used:
             text = text.replace("{{" + name + "}}", "{" + name + "}")
