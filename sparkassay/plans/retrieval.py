@@ -11,6 +11,7 @@ from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import CATALOG, CATALOG_QUESTIONS, PASSAGES
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.text import DOCS, o_packed, o_tokens, o_vectors
+from sparkassay.session import materialize
 from sparkassay.sources.catalog import schema_block, table_name
 
 P = plain(PASSAGES)
@@ -134,13 +135,16 @@ CI = f"SELECT pos, table_def AS text FROM ({plain(CATALOG)})"
 O_LINK = f"""{o_dense(CQ, CI, 5, 'qid', 'pos')}, {o_sparse(CQ, CI, 5, 'qid', 'pos')}, {o_fused(5, 'qid', 'pos')}"""
 
 
-def linked(wh, how: str, k: int = 5):
-    """Top-k table definitions per catalogue question, with definition text."""
+def link(wh, how: str, k: int = 5):
+    """Top-k table definitions per catalogue question."""
     q = hash_embed(wh.sql(CATALOG_QUESTIONS).withColumnRenamed("question", "text"))
-    catalog = wh.sql(CATALOG)
-    i = hash_embed(catalog.withColumnRenamed("table_def", "text"))
-    hits = retrieval.retrieve(q, i, how, k, "qid", "pos", q_out="qid", i_out="pos")
-    return attach(hits, catalog, "pos")
+    i = hash_embed(wh.sql(CATALOG).withColumnRenamed("table_def", "text"))
+    return retrieval.retrieve(q, i, how, k, "qid", "pos", q_out="qid", i_out="pos")
+
+
+def linked(wh, how: str, k: int = 5):
+    """The same with the definition text."""
+    return attach(link(wh, how, k), wh.sql(CATALOG), "pos")
 
 
 def o_blocks(how: str, cte: str) -> str:
@@ -153,14 +157,17 @@ def o_blocks(how: str, cte: str) -> str:
 @query("retrieve_schema", f"""
 WITH {O_LINK} {o_blocks('dense', 'dense')} UNION ALL {o_blocks('sparse', 'sparse')} UNION ALL {o_blocks('hybrid', 'fused')}""")
 def q_retrieve_schema(wh):
-    parts = []
-    for how in ("dense", "sparse", "hybrid"):
-        hits = linked(wh, how)
-        names = hits.groupBy("qid").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "table_def"))), lambda s: table_name(s["table_def"])),
-            ",").alias("tables"))
-        parts.append(schema_block(hits, ["qid"], "rank").join(names, "qid").withColumn("how", F.lit(how)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # The fused list is built from the two ranked lists, which are written once and shared.
+    dense, sparse = (materialize(link(wh, how), how) for how in ("dense", "sparse"))
+    lists = {"dense": dense, "sparse": sparse, "hybrid": retrieval.rrf([dense, sparse], 5, "qid", "pos")}
+    hits = None
+    for how, ranked in lists.items():
+        tagged = ranked.withColumn("how", F.lit(how))
+        hits = tagged if hits is None else hits.unionByName(tagged)
+    hits = attach(hits, wh.sql(CATALOG), "pos")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "table_def"))),
+                                     lambda s: table_name(s["table_def"])), ",")
+    return schema_block(hits, ["how", "qid"], "rank", tables=names)
 
 
 def o_context(hits: str, queries: str, text: str, source: str) -> str:

@@ -8,12 +8,12 @@ from sparkassay.functions import parsing, scoring
 from sparkassay.operators import chunking, retrieval, runlog
 from sparkassay.operators.features import hash_embed
 from sparkassay.operators.relational import attach
-from sparkassay.plans.fixtures import ATTEMPTS, CATALOG_QUESTIONS, JOBS, RUN_SCORES, STREAM, TOOL_CALLS
+from sparkassay.plans.fixtures import ATTEMPTS, CATALOG, CATALOG_QUESTIONS, JOBS, RUN_SCORES, STREAM, TOOL_CALLS
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.retrieval import CI, CQ, o_dense, o_sparse, passages, P
 from sparkassay.plans.scoring import O_LONG, RS, SCORERS
-from sparkassay.plans.text import DOCS, o_fixed, o_packed, o_vectors
-from sparkassay.plans.retrieval import o_rank, linked
+from sparkassay.plans.text import DOCS, o_fixed, o_packed
+from sparkassay.plans.retrieval import link
 from sparkassay.session import materialize
 from sparkassay.sources.catalog import table_name
 
@@ -171,9 +171,9 @@ cfg AS (SELECT strategy, top_k, CAST((CASE strategy WHEN 'dense' THEN 100 ELSE 2
 
 
 def schema_lists(wh):
-    parts = [linked(wh, how).select(F.lit(how).alias("strategy"), "qid", "rank", table_name("table_def").alias("name"))
-             for how in ("dense", "sparse")]
-    return parts[0].unionByName(parts[1])
+    parts = [link(wh, how).withColumn("strategy", F.lit(how)) for how in ("dense", "sparse")]
+    hits = attach(parts[0].unionByName(parts[1]), wh.sql(CATALOG), "pos")
+    return hits.select("strategy", "qid", "rank", table_name("table_def").alias("name"))
 
 
 def schema_questions(wh):
