@@ -124,12 +124,9 @@ def topk_dense_excluding(queries: DataFrame, items: DataFrame, k: int, q_id: str
 
 
 def query_terms(queries: DataFrame, q_id: str, text: str) -> DataFrame:
-    """Distinct terms of every query with their counts, as parallel lists."""
-    counted = F.transform(F.array_distinct(F.col("_t")), lambda t: F.struct(
-        t.alias("term"), F.size(F.filter("_t", lambda x: x == t)).cast("double").alias("w")))
-    return (queries.select(q_id, tokens(text).alias("_t")).withColumn("_c", counted)
-            .select(q_id, F.col("_c.term").alias("terms"), F.col("_c.w").alias("weights")))
-
+    """Tokens of every query as parallel lists; a repeated token simply counts once per occurrence."""
+    return (queries.select(q_id, tokens(text).alias("terms"))
+            .withColumn("weights", F.transform("terms", lambda _: F.lit(1.0))))
 
 
 def topk_sparse_dot(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str = "text",
@@ -152,7 +149,7 @@ def topk_bm25(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str
               k1: float = 1.2, b: float = 0.75, **options) -> DataFrame:
     """Keyword ranking: one pass for corpus statistics, one for scoring."""
     docs = items.select(i_id, tokens(text).alias("terms"))
-    q = query_terms(queries, q_id, text).select(q_id, F.explode_outer("terms").alias("term"))
+    q = queries.select(q_id, F.explode_outer(F.array_distinct(tokens(text))).alias("term"))
     # Lengths ride along under an empty term, so one pass gives document counts of the asked terms and corpus totals.
     total = queries.sparkSession.createDataFrame([("",)], "term string")
     vocab = broadcast_if_small(q.select("term").filter(F.col("term").isNotNull()).union(total).distinct(), 1_000_000)

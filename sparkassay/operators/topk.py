@@ -4,7 +4,7 @@ Spark partitions the work; a kernel scores one bounded block of queries against
 NumPy inside a task. Three placements, chosen by measured size, give identical results:
 
 * items fit the broadcast bound and are the smaller side -> every query batch is scored against them in place; no shuffle at all
-* queries fit the broadcast bound -> every item partition keeps its local top-k per query; only those rows shuffle
+* queries fit the broadcast bound (always used for a short list) -> every item partition keeps its local top-k per query; only those rows shuffle
 * neither fits                    -> both sides are packed into blocks, query blocks are repeated once per lane,
                                      item blocks are spread over lanes, and blocks meet in an equi-join on the lane
 """
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from sparkassay.operators.relational import MAX_BROADCAST_ROWS, rows_within, top_per_group
 
 SCORE_DIGITS = 6
+FEW_QUERIES = 2_000
 BLOCK_ROWS = 2_048
 # Cells of one score matrix held in memory at a time.
 MATRIX_CELLS = 4_000_000
@@ -117,7 +118,9 @@ def topk_join(queries: Side, items: Side, kernel: Kernel, k: int, *, q_out: str
                            T.StructField("score", T.DoubleType())])
 
     n_queries = rows_within(queries.narrow("q"), max_rows)
-    n_items = rows_within(items.narrow("i"), max_rows if n_queries is None else min(max_rows, n_queries))
+    # A short query list is sent out whatever the items are; probing them would only cost a scan.
+    short = n_queries is not None and n_queries <= FEW_QUERIES
+    n_items = None if short else rows_within(items.narrow("i"), max_rows if n_queries is None else n_queries)
     if n_items is not None:
         pool = _fetch(items, "i")
 

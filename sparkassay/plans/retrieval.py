@@ -138,7 +138,7 @@ O_LINK = f"""{o_dense(CQ, CI, 5, 'qid', 'pos')}, {o_sparse(CQ, CI, 5, 'qid', 'po
 def link(wh, how: str, k: int = 5):
     """Top-k table definitions per catalogue question."""
     q = hash_embed(wh.sql(CATALOG_QUESTIONS).withColumnRenamed("question", "text"))
-    i = hash_embed(wh.sql(CATALOG).withColumnRenamed("table_def", "text"))
+    i = hash_embed(wh.sql(CATALOG, spread=True).withColumnRenamed("table_def", "text"))
     return retrieval.retrieve(q, i, how, k, "qid", "pos", q_out="qid", i_out="pos")
 
 
