@@ -86,6 +86,6 @@ def scorecard(scores: DataFrame, run: list[str]) -> DataFrame:
 def score_maps(card: DataFrame, run: list[str], metric: str = "accuracy") -> DataFrame:
     """One map of maps per run: scorer -> metric name -> value. Its size is the number of scorers."""
     return card.groupBy(*run).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("scorer", "mean"))).cast(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("scorer", "mean"))).cast(
             "array<struct<key:string,value:double>>")).alias("_m"), F.max("total_samples").alias("total_samples")
     ).withColumn("scores", F.transform_values("_m", lambda k, v: F.create_map(F.lit(metric), v))).drop("_m")

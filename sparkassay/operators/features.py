@@ -47,5 +47,13 @@ def sparse_from_lists(df: DataFrame, key: str, indices: str, values: str) -> Dat
 
 
 def sparse_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Term counts per row: ``(key, term, tf)``."""
-    return df.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Term counts per row: ``(key, term, tf)``.
+
+    Counted inside the row as runs of its sorted tokens, so postings are produced without a shuffle.
+    """
+    runs = df.select(key, F.sort_array(tokens(text)).alias("_s")).withColumn("_n", F.size("_s"))
+    first = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    runs = runs.filter(F.col("_n") > 0).withColumn("_f", first)
+    ends = F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array("_n"))
+    counted = F.zip_with("_f", ends, lambda a, b: F.struct(F.get("_s", a).alias("term"), (b - a).cast("bigint").alias("tf")))
+    return runs.select(key, F.inline(counted))

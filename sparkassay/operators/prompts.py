@@ -29,7 +29,7 @@ def fewshot_block(pairs: Column) -> Column:
 
 def ordered_pairs(df: DataFrame, q: str, order: str = "rank", question: str = "question", sql: str = "sql") -> DataFrame:
     """Selected examples per question as an ordered array (as many as were selected, a handful)."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(question).alias("question"), F.col(sql).alias("sql"))))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(question).alias("question"), F.col(sql).alias("sql"))))
     return df.groupBy(q).agg(F.transform(
         listed, lambda e: F.struct(e["question"].alias("question"), e["sql"].alias("sql"))).alias("pairs"))
 
@@ -74,7 +74,7 @@ def retry_messages(attempts: DataFrame, q: str, raw: str = "raw", max_retries: i
                    .otherwise(F.array().cast(MESSAGES)))
     turns = attempts.filter(F.col("attempt") <= max_retries).select(q, F.struct("attempt", own.alias("m")).alias("_t"))
     return turns.groupBy(q).agg(F.flatten(F.transform(
-        F.array_sort(F.collect_list("_t")), lambda t: t["m"])).alias("turns"))
+        F.sort_array(F.collect_list("_t")), lambda t: t["m"])).alias("turns"))
 
 
 def retry_question(question: Column, error: Column) -> Column:

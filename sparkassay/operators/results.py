@@ -92,7 +92,7 @@ def preview(rows: DataFrame, q: str, k: int) -> DataFrame:
     totals = rows.groupBy(q).agg(F.count("*").alias("row_count"))
     first = top_per_group(rows.select(q, "row_no", "cells"), [q], [F.col("row_no"), F.col("cells")], k, "_n")
     listed = first.groupBy(q).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_n", "cells"))), lambda s: s["cells"]).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("_n", "cells"))), lambda s: s["cells"]).alias("rows"))
     return totals.join(listed, q)
 
 

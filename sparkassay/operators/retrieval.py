@@ -234,6 +234,6 @@ def context_block(queries: DataFrame, q_id: str, hits: DataFrame, source: Column
     entry = F.format_string(CONTEXT_FORMAT, F.col("rank"), F.coalesce(source, F.lit("unknown")), two_digits,
                             F.col(text))
     blocks = (hits.select(F.col(q_id).alias("_q"), F.struct("rank", entry.alias("e")).alias("s"))
-              .groupBy("_q").agg(F.array_sort(F.collect_list("s")).alias("s")))
+              .groupBy("_q").agg(F.sort_array(F.collect_list("s")).alias("s")))
     return (queries.select(q_id).join(blocks, F.col(q_id) == F.col("_q"), "left")
             .select(q_id, F.coalesce(F.array_join(F.col("s.e"), "\n\n"), F.lit(NO_CONTEXT)).alias("context")))

@@ -56,7 +56,7 @@ def tool_trace(calls: DataFrame, q: str, sql_value: Column, max_rounds: int = MA
     is_db = F.col("tool") == "query_database"
     return calls.groupBy(q).agg(
         F.count("*").alias("n_calls"),
-        F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"),
+        F.array_join(F.sort_array(F.collect_set("tool")), ",").alias("tools"),
         F.max_by(F.when(is_db, sql_value), F.when(is_db & sql_value.isNotNull(), F.col("iteration"))).alias("last_sql"),
         F.max("iteration").alias("iterations"),
         F.when(F.max("iteration") >= max_rounds, F.lit(NO_ANSWER)).alias("note"))
@@ -75,7 +75,7 @@ def fold_events(events: DataFrame, request: str, at: str, order: str, bucket: st
     """
     kind = F.col("kind")
     pos = F.struct(at, order)
-    entries = F.array_sort(F.collect_list(F.when(kind.isin("sql_token", "retry"), F.struct(
+    entries = F.sort_array(F.collect_list(F.when(kind.isin("sql_token", "retry"), F.struct(
         F.col(at), F.col(order), kind.alias("kind"), F.coalesce("content", F.lit("")).alias("content")))))
     level1 = events.groupBy(request, F.window(F.col(at).cast("timestamp"), bucket)["start"].alias("_b")).agg(
         entries.alias("_e"), F.max(F.when(kind == "retry", pos)).alias("_r"), F.count_if(kind == "retry").alias("_n"),
@@ -85,7 +85,7 @@ def fold_events(events: DataFrame, request: str, at: str, order: str, bucket: st
         F.col("_r").isNull() | (F.struct(e[at], e[order]) > F.col("_r"))))
     level1 = level1.withColumn("_text", F.array_join(F.transform(tail, lambda e: e["content"]), "")).drop("_e")
     level2 = level1.groupBy(request).agg(
-        F.array_sort(F.collect_list(F.struct("_b", (F.col("_n") > 0).alias("cut"), "_text"))).alias("_parts"),
+        F.sort_array(F.collect_list(F.struct("_b", (F.col("_n") > 0).alias("cut"), "_text"))).alias("_parts"),
         F.sum("_n").alias("retries"), F.max("_t")["kind"].alias("status"),
         F.min("_first").alias("_first"), F.max("_last").alias("_last"))
     text = F.aggregate("_parts", F.lit(""), lambda acc, p: F.when(p["cut"], p["_text"]).otherwise(
@@ -147,7 +147,7 @@ def gate_verdict(gated: DataFrame, run: str) -> DataFrame:
     """Overall flag and the sorted list of failing scorers per run."""
     return gated.groupBy(run).agg(
         F.bool_and("passed").alias("passed"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("scorer")))), ",").alias("failures"))
+        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("passed"), F.col("scorer")))), ",").alias("failures"))
 
 
 def config_recall(hits: DataFrame, required: DataFrame, q: str, item: str, ks: list[int], configs: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from sparkassay.plans.registry import plain, query
 from sparkassay.plans.retrieval import o_dense
 from sparkassay.plans.screening import o_first
 from sparkassay.plans.text import DOCS, o_strip
+from sparkassay.session import materialize
 from sparkassay.streaming import streams
 
 
@@ -87,6 +88,7 @@ BENCH = "SELECT item_id AS qid, text FROM benchmark"
 @query("stream_topk", f"WITH {o_dense(BENCH, DOCS, 3, 'qid', 'doc_id')} SELECT * FROM dense")
 def q_stream_topk(wh):
     asked = streams.table_stream(wh.spark, wh.root, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    static = hash_embed(wh.spread("documents").select("doc_id", "text"))
+    # The static side is an index: vectors are computed once, not once per micro-batch.
+    static = materialize(hash_embed(wh.spread("documents").select("doc_id", "text")).drop("text"), "vectors")
     return streams.drain_batches(asked, "nearest", lambda batch: retrieval.topk_dense(
         hash_embed(batch), static, 3, "qid", "doc_id", q_out="qid", i_out="doc_id"))

@@ -165,7 +165,7 @@ def q_retrieve_schema(wh):
         tagged = ranked.withColumn("how", F.lit(how))
         hits = tagged if hits is None else hits.unionByName(tagged)
     hits = attach(hits, wh.sql(CATALOG), "pos")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "table_def"))),
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "table_def"))),
                                      lambda s: table_name(s["table_def"])), ",")
     return schema_block(hits, ["how", "qid"], "rank", tables=names)
 

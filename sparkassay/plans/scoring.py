@@ -184,7 +184,7 @@ FROM ({plain(PHRASES)}) LEFT JOIN t USING (qid)""")
 def q_phrase_recall(wh):
     hits = retrieval.topk_bm25(passages(wh), docs(wh), 3, "qid", "doc_id", **IDS)
     texts = (attach(hits, wh.documents.select("doc_id", "text"), "doc_id").groupBy("qid")
-             .agg(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"].alias("texts")))
+             .agg(F.sort_array(F.collect_list(F.struct("rank", "text")))["text"].alias("texts")))
     joined = wh.sql(PHRASES).join(texts, "qid", "left")
     none = F.array().cast("array<string>")
     return joined.select("qid", scoring.phrase_recall(F.coalesce("texts", none), F.array("p1", "p2")).alias("value"))

@@ -101,7 +101,7 @@ FROM (SELECT sid, list(tables ORDER BY n) AS tabs FROM audit GROUP BY sid) LEFT
 def q_audit_table_scope(wh):
     facts = F.transform(F.array(sc.audit_statements(strip("sql"))), lambda a: F.struct(
         sc.table_scope(a, allow()).alias("outside"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(a, lambda s: s["tables"])))), ",").alias("tables")))[0]
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.transform(a, lambda s: s["tables"])))), ",").alias("tables")))[0]
     return (statements(wh).select("sid", facts.alias("v")).select("sid", "v.outside", F.nullif("v.tables", F.lit("")).alias("tables")))
 
 

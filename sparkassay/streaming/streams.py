@@ -73,6 +73,6 @@ def session_fold(events: DataFrame, request: str, at: str, order: str, gap: str,
     token = F.when(F.col("kind") == "sql_token", F.struct(at, order, "content"))
     last = F.max(F.struct(at, order, "kind"))["kind"]
     return (events.withWatermark(at, delay).groupBy(request, F.session_window(at, gap).alias("_w"))
-            .agg(F.count("*").alias("n_events"), F.array_sort(F.collect_list(token)).alias("_t"), last.alias("last_kind"))
+            .agg(F.count("*").alias("n_events"), F.sort_array(F.collect_list(token)).alias("_t"), last.alias("last_kind"))
             .select(request, F.col("_w.start").alias("started"), "n_events", "last_kind",
                     F.array_join(F.transform("_t", lambda t: t["content"]), "").alias("sql_text")))
