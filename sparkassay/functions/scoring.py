@@ -57,14 +57,19 @@ def data_present(answer: Column) -> Column:
     return F.coalesce(answer, F.lit("")).rlike(r"(?U)\d")
 
 
-def run_means(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Means with the defaults of unlogged values: attempts 1, cost and latency 0, tokens 0."""
+def run_means(df: DataFrame, keys: list[str], tool_calls: Column | None = None) -> DataFrame:
+    """Means with the defaults of unlogged values: attempts 1, cost and latency 0, tokens 0, no tool calls.
+
+    ``tool_calls`` is the number of calls; by default the size of the ``tool_calls`` array.
+    """
+    calls = F.size("tool_calls") if tool_calls is None else tool_calls
     mean = lambda c, default: (F.sum(F.coalesce(c, F.lit(default)).cast("decimal(28,6)")).cast("double")
                                / F.count("*"))
     tokens = F.coalesce(F.col("prompt_tokens") + F.col("completion_tokens"), F.lit(0))
     return df.groupBy(*keys).agg(
         mean(F.col("attempts"), 1).alias("avg_attempts"), mean(F.col("cost"), 0).alias("avg_cost"),
-        mean(F.col("latency"), 0).alias("avg_latency"), mean(tokens, 0).alias("avg_total_tokens"))
+        mean(F.col("latency"), 0).alias("avg_latency"), mean(tokens, 0).alias("avg_total_tokens"),
+        mean(calls, 0).alias("avg_tool_calls"))
 
 
 def diagnostic_faithfulness(context: Column, supplied: Column) -> Column:
@@ -89,3 +94,10 @@ def score_maps(card: DataFrame, run: list[str], metric: str = "accuracy") -> Dat
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("scorer", "mean"))).cast(
             "array<struct<key:string,value:double>>")).alias("_m"), F.max("total_samples").alias("total_samples")
     ).withColumn("scores", F.transform_values("_m", lambda k, v: F.create_map(F.lit(metric), v))).drop("_m")
+
+
+# Score name -> the function that produces its values, for callers that choose scorers by name.
+SCORERS = {
+    "retrieval_recall": table_recall_substring, "recall_at_k": recall_at_k, "phrase_recall": phrase_recall,
+    "keyword_quality": keyword_quality, "data_present": data_present, "faithfulness": diagnostic_faithfulness,
+}

@@ -49,11 +49,17 @@ def sparse_from_lists(df: DataFrame, key: str, indices: str, values: str) -> Dat
 def sparse_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Term counts per row: ``(key, term, tf)``.
 
-    Counted inside the row as runs of its sorted tokens, so postings are produced without a shuffle.
+    Counted inside the row as runs of its sorted tokens, so postings are produced without a shuffle. The sorted
+    list and the run starts are lambda variables, computed once per row.
     """
-    runs = df.select(key, F.sort_array(tokens(text)).alias("_s")).withColumn("_n", F.size("_s"))
-    first = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    runs = runs.filter(F.col("_n") > 0).withColumn("_f", first)
-    ends = F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array("_n"))
-    counted = F.zip_with("_f", ends, lambda a, b: F.struct(F.get("_s", a).alias("term"), (b - a).cast("bigint").alias("tf")))
-    return runs.select(key, F.inline(counted))
+
+    def starts(s):
+        at = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
+        return F.struct(s.alias("s"), F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))).alias("f"))
+
+    def runs(r):
+        ends = F.concat(F.slice(r["f"], F.lit(2), F.size(r["f"])), F.array(F.size(r["s"])))
+        return F.zip_with(r["f"], ends, lambda a, b: F.struct(F.get(r["s"], a).alias("term"), (b - a).cast("bigint").alias("tf")))
+
+    counted = F.transform(F.transform(F.array(F.sort_array(tokens(text))), starts), runs)[0]
+    return df.select(key, F.inline(counted)).filter(F.col("term").isNotNull())

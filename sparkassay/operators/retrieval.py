@@ -185,10 +185,17 @@ def topk_hybrid(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: s
     return rrf([dense, sparse], k, options.get("q_out", "query_id"), options.get("i_out", "item_id"), rrf_k)
 
 
+# The prompt strategies, and the retrieval type of those that look a schema up.
+STRATEGIES = ("zero_shot", "few_shot_static", "few_shot_dynamic", "chain_of_thought", "rag_dense", "rag_sparse",
+              "rag_hybrid", "dspy", "routed", "tool_use", "rag")
+RETRIEVAL_OF = {"rag": "dense", "rag_dense": "dense", "rag_sparse": "sparse", "rag_hybrid": "hybrid", "dspy": "hybrid"}
+
+
 def retrieve(queries: DataFrame, items: DataFrame, how: str, k: int, q_id: str, i_id: str, text: str = "text",
              vector: str = "embedding", **options) -> DataFrame:
-    """Dispatch by retrieval type; the plain ``rag`` strategy is dense."""
-    if how in ("dense", "rag"):
+    """Dispatch by retrieval type, or by the name of a strategy that retrieves."""
+    how = RETRIEVAL_OF.get(how, how)
+    if how == "dense":
         return topk_dense(queries, items, k, q_id, i_id, vector, **options)
     if how == "sparse":
         return topk_sparse_dot(queries, items, k, q_id, i_id, text, **options)

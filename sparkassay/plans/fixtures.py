@@ -194,7 +194,7 @@ SELECT o_orderkey AS qid, CAST(extract(year FROM o_orderdate) AS BIGINT) AS run_
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS cost,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS DECIMAL(18,2)) END AS latency,
   CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 50 + o_custkey END AS prompt_tokens,
-  o_custkey % 70 AS completion_tokens
+  o_custkey % 70 AS completion_tokens, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 6 END AS n_tool_calls
 FROM {orders}
 """
 

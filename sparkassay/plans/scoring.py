@@ -224,10 +224,11 @@ def o_mean(c: str) -> str:
 
 @query("run_means", f"""
 SELECT run_id, strategy, {o_mean('coalesce(attempts, 1)')} AS avg_attempts, {o_mean('coalesce(cost, 0)')} AS avg_cost,
-  {o_mean('coalesce(latency, 0)')} AS avg_latency, {o_mean('coalesce(prompt_tokens + completion_tokens, 0)')} AS avg_total_tokens
+  {o_mean('coalesce(latency, 0)')} AS avg_latency, {o_mean('coalesce(prompt_tokens + completion_tokens, 0)')} AS avg_total_tokens,
+  {o_mean('coalesce(n_tool_calls, 0)')} AS avg_tool_calls
 FROM ({RS}) GROUP BY ALL""")
 def q_run_means(wh):
-    means = scoring.run_means(wh.sql(RUN_SCORES), ["run_id", "strategy"])
+    means = scoring.run_means(wh.sql(RUN_SCORES), ["run_id", "strategy"], F.col("n_tool_calls"))
     return means.select("run_id", "strategy", *[F.round(c, 6).alias(c) for c in means.columns[2:]])
 
 

@@ -30,12 +30,16 @@ def build_session(app: str = "sparkassay", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="sparkassay-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        configured = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="sparkassay-")
+        _LOCAL_DIRS[app] = configured
     return configured.rstrip("/")
 
 

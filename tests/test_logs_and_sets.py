@@ -201,3 +201,16 @@ def test_jsonl_per_split(spark, tmp_path):
     curation.write_jsonl(df, str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out"))
     assert sorted((r.split, r.question) for r in back.collect()) == [("eval", "b"), ("train", "a")]
+
+
+def test_shared_folder_is_read_or_made_once():
+    from types import SimpleNamespace as NS
+
+    from sparkassay.session import shared_dir
+
+    def session(value, app):
+        return NS(conf=NS(get=lambda k, d: value), sparkContext=NS(applicationId=app))
+
+    assert shared_dir(session("/shared/x/", "a")) == "/shared/x"
+    first = shared_dir(session(None, "b"))
+    assert first and shared_dir(session(None, "b")) == first != shared_dir(session(None, "c"))

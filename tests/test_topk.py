@@ -125,3 +125,14 @@ def test_context_formats_and_empty(spark):
     h = spark.createDataFrame([(1, 1, 0.126, "a", "kb"), (1, 2, 0.1, "b", None)], "qid long, rank int, score double, text string, src string")
     got = {r.qid: r.context for r in retrieval.context_block(q, "qid", h, F.col("src")).collect()}
     assert got == {1: "[1] (source: kb, score: 0.13)\na\n\n[2] (source: unknown, score: 0.10)\nb", 2: "No relevant context found."}
+
+
+def test_dispatch_by_type_and_strategy(spark):
+    q = spark.createDataFrame([(1, "a b", [1.0, 0.0])], "q long, text string, embedding array<double>")
+    i = spark.createDataFrame([(1, "a b b", [0.0, 1.0]), (2, "c", [1.0, 0.0])], "i long, text string, embedding array<double>")
+    top = lambda how: [x[0] for x in collect(retrieval.retrieve(q, i, how, 2, "q", "i"))[1]]
+    assert top("dense") == top("rag") == top("rag_dense") == [2, 1]
+    assert top("sparse") == top("rag_sparse") == [1]
+    assert top("hybrid") == top("dspy") == [1, 2]
+    with pytest.raises(ValueError):
+        retrieval.retrieve(q, i, "lexical", 2, "q", "i")
