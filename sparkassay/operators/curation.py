@@ -48,18 +48,20 @@ def split_train_holdout(df: DataFrame, key: str, train_share: float, seed: int =
     """
     keyed = df.withColumn("_h", shuffle_key(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, digits))
     sizes = keyed.groupBy("_p").agg(F.count("*").alias("_c"))
-    n = sizes.agg(F.coalesce(F.sum("_c"), F.lit(0))).scalar()
+    running = sizes.select("_p", "_c", F.sum("_c").over(Window.orderBy("_p")).alias("_to"))
+    n = running.agg(F.coalesce(F.max("_to"), F.lit(0))).scalar()
     cut = F.greatest(F.lit(at_least).cast("bigint"), F.floor(n * F.lit(train_share)))
-    running = sizes.withColumn("_to", F.sum("_c").over(Window.orderBy("_p"))).withColumn("_n", n)
-    edge = running.filter((F.col("_to") - F.col("_c") <= cut) & (cut < F.col("_to"))).select("_p", (cut - F.col("_to") + F.col("_c")).alias("_take"))
-    prefix = edge.select("_p").scalar()
-    take = edge.select("_take").scalar()
-    train = F.lit("train")
-    decided = keyed.filter(prefix.isNull() | (F.col("_p") != prefix)).withColumn(
-        "split", F.when(prefix.isNull() | (F.col("_p") < prefix), train).otherwise(F.lit("holdout")))
+    # One small row reaches the driver: the prefix the cut falls into and how many of its rows are train rows.
+    edge = (running.filter((F.col("_to") - F.col("_c") <= cut) & (cut < F.col("_to")))
+            .select("_p", (cut - F.col("_to") + F.col("_c")).alias("take")).first())
+    if edge is None:
+        return keyed.withColumn("split", F.lit("train")).drop("_h", "_p")
+    on_edge = F.col("_p") == edge["_p"]
+    decided = keyed.filter(~on_edge).withColumn(
+        "split", F.when(F.col("_p") < edge["_p"], F.lit("train")).otherwise(F.lit("holdout")))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
-    ranked = keyed.filter(F.col("_p") == prefix).withColumn(
-        "split", F.when(rank <= take, train).otherwise(F.lit("holdout")))
+    ranked = keyed.filter(on_edge).withColumn(
+        "split", F.when(rank <= edge["take"], F.lit("train")).otherwise(F.lit("holdout")))
     return decided.unionByName(ranked).drop("_h", "_p")
 
 

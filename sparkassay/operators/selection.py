@@ -79,7 +79,7 @@ def select_demos(attempts: DataFrame, run: str, pos: str, score: str, failed: st
     stop = (top_per_group(attempts.filter(F.col(failed)).select(run, pos), [run], [F.col(pos)], max_errors, "_n")
             .filter(F.col("_n") == max_errors).select(F.col(run).alias("_run"), F.col(pos).alias("_stop")))
     passing = (attempts.filter((F.col(score) == 1) & ~F.col(failed))
-               .join(stop, F.col(run) == F.col("_run"), "left")
+               .join(broadcast_if_small(stop), F.col(run) == F.col("_run"), "left")
                .filter(F.col("_stop").isNull() | (F.col(pos) < F.col("_stop"))).select(run, pos))
     found = top_per_group(passing, [run], [F.col(pos)], size).withColumn("kind", F.lit("bootstrapped"))
     # At most ``size`` early rows per run can be needed as fill beyond those already chosen.
