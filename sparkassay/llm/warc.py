@@ -51,7 +51,7 @@ def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
 
     Of equal payloads of at least ``min_revisit`` bytes the smallest id is the response and the others revisit it. A null
     text is an empty payload. A row without an id is a response of its own, and a row that repeats the response's id
-    is a response again. The only table shuffled with its payloads is the one row per digest.
+    is a response again. Payloads are shuffled once, to their ids' owners.
     """
     path = path or scratch_path(pages.sparkSession, "archive")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -65,13 +65,14 @@ def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
     typed = rows.join(owners, "digest").withColumn("record_type", F.when(F.coalesce(again, F.lit(False)), "revisit").otherwise("response"))
     typed = typed.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("owner")))
     typed.select("page_id", "digest", header_block(date).cast("binary").alias("header"), "refers_to").write.parquet(f"{path}/headers")
-    # The owner's row brings the bytes; digests owned by no id at all take them from any of their rows.
+    # The owner's row brings the bytes; digests owned by no id at all take them from any of their rows. Copies of an
+    # owner's row meet where the join by id has put them.
     bodies = pages.select(F.col(id_col).cast("bigint").alias("page_id"), payload.alias("payload"))
-    owned = owners.filter("owner is not null").join(bodies, F.col("owner") == F.col("page_id")).select("digest", "payload")
+    owned = (owners.filter("owner is not null").join(bodies, F.col("owner") == F.col("page_id"))
+             .filter(F.sha2("payload", 256) == F.col("digest")).dropDuplicates(["page_id", "digest"]))
     lone = bodies.filter("page_id is null").select(F.sha2("payload", 256).alias("digest"), "payload").join(
-        owners.filter("owner is null"), "digest", "left_semi")
-    mine = owned.filter(F.sha2("payload", 256) == F.col("digest")).unionByName(lone)
-    mine.dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+        owners.filter("owner is null"), "digest", "left_semi").dropDuplicates(["digest"])
+    owned.select("digest", "payload").unionByName(lone).write.parquet(f"{path}/payloads")
     return path
 
 
