@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
+
+from sparkassay.llm.bpe_count import PIECES, byte_letters
 from sparkassay.llm.worker import vocabulary_path, worker_cache
 
-#: Words remembered by one Python worker (about 100 MB) before it starts afresh. It bounds memory, not the input.
-MEMO_WORDS = 300_000
+#: Words, and pieces of words, remembered by one Python worker (about 100 MB) before it starts afresh. It bounds memory, not the input.
+MEMO_WORDS = 250_000
 
 
 def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
     """``encode(text) -> bytes``: all ids of the text as little-endian unsigned 32-bit integers, no special tokens added.
 
     The normaliser and pre-tokenizer of a word-end vocabulary never join or inspect characters across white space,
-    so a text's ids are those of its parts between plain spaces and line feeds. Any other white space, markup and
-    special strings stay inside a part and are handled by the library itself.
+    so a text's ids are those of its parts between plain spaces and line feeds. A part is normalised and cut as the
+    vocabulary file says, and each distinct piece goes to the library's model once. A part that may hold a special
+    string goes through the library whole.
     """
 
     def make():
-        import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary_path(vocab))
+        model, cut, letters = tokenizer.model, regex.compile(PIECES), byte_letters()
 
         class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
+            def __init__(self, work):
+                super().__init__()
+                self.work = work
+
+            def __missing__(self, key: str) -> bytes:
                 if len(self) >= memo_words:
                     self.clear()
-                ids = tokenizer.encode(word, add_special_tokens=False).ids
-                found = self[word] = np.array(ids, dtype="<u4").tobytes()
+                found = self[key] = self.work(key)
                 return found
 
-        return Memo()
+        def little(ids) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def piece(p: str) -> bytes:
+            p = p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode("utf-8")])
+            return little([t.id for t in model.tokenize(p)])
+
+        pieces = Memo(piece)
+
+        def word(w: str) -> bytes:
+            if "<" in w:
+                return little(tokenizer.encode(w, add_special_tokens=False).ids)
+            w = w.lower() if w.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", w)])
+            return b"".join([pieces[p] for p in cut.findall(w)])
+
+        return Memo(word)
 
     memo = worker_cache(f"wordids:{vocab}:{memo_words}", make)
 
     def encode(text: str | None) -> bytes:
-        return b"".join([memo[w] for w in text.replace("\n", " ").split(" ") if w]) if text else b""
+        return b"".join([memo[w] for w in text.replace("\n", " ").split(" ")]) if text else b""
 
     return encode
