@@ -65,14 +65,17 @@ def write_archive(pages: DataFrame, path: str | None = None, id_col: str = "page
     typed = rows.join(owners, "digest").withColumn("record_type", F.when(F.coalesce(again, F.lit(False)), "revisit").otherwise("response"))
     typed = typed.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("owner")))
     typed.select("page_id", "digest", header_block(date).cast("binary").alias("header"), "refers_to").write.parquet(f"{path}/headers")
-    # The owner's row brings the bytes; digests owned by no id at all take them from any of their rows. Copies of an
-    # owner's row meet where the join by id has put them.
+    # The owner's row brings the bytes; digests owned by no id at all take them from any of their rows.
     bodies = pages.select(F.col(id_col).cast("bigint").alias("page_id"), payload.alias("payload"))
     owned = (owners.filter("owner is not null").join(bodies, F.col("owner") == F.col("page_id"))
-             .filter(F.sha2("payload", 256) == F.col("digest")).dropDuplicates(["page_id", "digest"]))
+             .filter(F.sha2("payload", 256) == F.col("digest")).select("digest", "payload"))
+    # Only an owner that stands in several rows brings its bytes more than once.
+    repeated = rows.join(owners, (rows.digest == owners.digest) & (rows.page_id == owners.owner), "left_semi")
+    if not repeated.groupBy("page_id", "digest").count().filter("count > 1").isEmpty():
+        owned = owned.dropDuplicates(["digest"])
     lone = bodies.filter("page_id is null").select(F.sha2("payload", 256).alias("digest"), "payload").join(
         owners.filter("owner is null"), "digest", "left_semi").dropDuplicates(["digest"])
-    owned.select("digest", "payload").unionByName(lone).write.parquet(f"{path}/payloads")
+    owned.unionByName(lone).write.parquet(f"{path}/payloads")
     return path
 
 
