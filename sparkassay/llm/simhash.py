@@ -155,7 +155,9 @@ def close_links(distinct: DataFrame, radius: int = 2, tree_nodes: int = TREE_NOD
     key = ["band", "value", "tree", "block"]
     dealt = mine.select("fp", "band", "value", F.explode(cells).alias("_c")).select(
         F.xxhash64("band", "value", "_c.tree", "_c.block").alias("cell"), "_c.role", "fp", "band", "value", "_c.tree", "_c.block")
-    ordered = dealt.repartition(*key).sortWithinPartitions(*key, "fp")
+    # A fixed number of parts: the rows are few bytes but much work.
+    parts_wanted = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts_wanted, *key).sortWithinPartitions(*key, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -194,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     """
     fps = materialize(fingerprints(docs, words, id_col=id_col, text=text), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(close_links(nodes.select("fp"), radius))
+    labels = components(materialize(close_links(nodes.select("fp"), radius), "close-links"))
     placed = nodes.join(labels, nodes.fp == labels.node, "left").select(
         nodes.fp, "first", F.coalesce("component", "fp").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
