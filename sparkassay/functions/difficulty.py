@@ -50,7 +50,7 @@ NO_SIGNAL = "medium"
 
 def level_score(question: Column, level: str) -> Column:
     """Number of the level's patterns found in an already lower-cased question."""
-    return reduce(lambda a, b: a + b, [matches(question, question, p, "(?U)").cast("int") for p in RULES[level]])
+    return reduce(lambda a, b: a + b, [matches(question, question, p, "(?Ud)").cast("int") for p in RULES[level]])
 
 
 def rule_grade(question: Column) -> Column:

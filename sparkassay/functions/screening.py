@@ -81,8 +81,6 @@ def check_input(text: Column | str) -> Column:
 
 # Tables of the four-table store a query may read by default.
 ALLOWED_TABLES = ("customers", "products", "orders", "order_items")
-# Parentheses nested deeper than this are left in place and the statement is refused.
-MAX_DEPTH = 12
 SUB = "§"  # stands for one removed parenthesis pair
 NAME = r'(?:"[^"]*"|[\w$]+)(?:\.(?:"[^"]*"|[\w$]+))*'
 NOISE = r"""(?s)('[^']*'|--[^\n]*|/\*.*?\*/)|("[^"]*")"""
@@ -109,13 +107,19 @@ def _clean(sql: Column) -> Column:
 def _unnest(statement: Column) -> Column:
     """``struct(top, parts)``: the text outside all parentheses, and every parenthesis body with its own removed."""
     start = F.struct(statement.alias("top"), F.array().cast("array<string>").alias("parts"))
-    # No statement nests deeper than it has opening parentheses.
-    depth = F.least(F.lit(MAX_DEPTH), F.length(statement) - F.length(F.replace(statement, F.lit("("), F.lit(""))))
-    return F.aggregate(
-        F.slice(F.array(*[F.lit(i) for i in range(MAX_DEPTH)]), F.lit(1), depth), start,
-        lambda acc, _: F.struct(
-            F.regexp_replace(acc["top"], INNER, f" {SUB} ").alias("top"),
-            F.concat(F.regexp_extract_all(acc["top"], F.lit(INNER), F.lit(1)), acc["parts"]).alias("parts")))
+    marks = F.split(F.regexp_replace(statement, "[^()]", ""), "")
+    level = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda acc, c: F.struct(
+        F.when(c == "(", acc["now"] + 1).when(c == ")", F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"]).alias("now"),
+        F.greatest(acc["most"], F.when(c == "(", acc["now"] + 1).otherwise(0)).alias("most")))
+    rounds = F.when(level["most"] > 0, F.sequence(F.lit(1), level["most"])).otherwise(F.array().cast("array<int>"))
+
+    def peel(acc, _):
+        # Once its argument has been taken out, a call such as TRIM(f(x) FROM y) is seen to have no table either.
+        text = F.regexp_replace(acc["top"], FROM_IN_CALL, " 0 ")
+        return F.struct(F.regexp_replace(text, INNER, f" {SUB} ").alias("top"),
+                        F.concat(F.regexp_extract_all(text, F.lit(INNER), F.lit(1)), acc["parts"]).alias("parts"))
+
+    return F.aggregate(rounds, start, peel)
 
 
 def _bare(name: Column) -> Column:
@@ -124,7 +128,12 @@ def _bare(name: Column) -> Column:
 
 
 def _sources(texts: Column) -> Column:
-    """Table names referenced in FROM and JOIN lists; table functions and sub-queries are skipped."""
+    """Table names referenced in FROM and JOIN lists; table functions and sub-queries are skipped.
+
+    A parenthesis that joins without a FROM of its own is a bracketed source list.
+    """
+    bracketed = lambda t: t.rlike(r"\bjoin\b") & ~t.rlike(r"\bfrom\b") & ~t.rlike(r"^\s*(select|with|values)\b")
+    texts = F.transform(texts, lambda t: F.when(bracketed(t), F.concat(F.lit("from "), t)).otherwise(t))
     bodies = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(FROM_BODY), F.lit(1))))
     pieces = F.flatten(F.transform(bodies, lambda b: F.split(b, SOURCE_BREAK)))
     items = F.transform(pieces, lambda x: F.trim(F.regexp_extract(x, FIRST_ITEM, 1)))

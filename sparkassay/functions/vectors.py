@@ -52,4 +52,5 @@ def hash_vector(text: Column | str, dim: int = 64) -> Column:
             norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
             yield pd.Series(list(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)))
 
-    return count(token_buckets(text, dim))
+    none = F.array().cast("array<bigint>")
+    return count(F.coalesce(token_buckets(text, dim).cast("array<bigint>"), none))

@@ -83,7 +83,7 @@ def chunk_sentence(df: DataFrame, text: str = "text", max_size: int = 512, overl
     joining the text happen in the JVM.
     """
     split = df.withColumn("_s", sentences(text)).drop(text)
-    runs = split.withColumn("_r", _packer(max_size, overlap)(F.transform("_s", F.length)))
+    runs = split.withColumn("_r", _packer(max_size, overlap)(F.coalesce(F.transform("_s", F.length), F.array().cast("array<int>"))))
     chunks = F.transform("_r", lambda r: F.struct(
         F.array_join(F.slice("_s", r["first"] + 1, r["n"]), " ").alias("text"),
         r["n"].alias("sentence_count")))

@@ -66,15 +66,18 @@ def retry_feedback(sql: Column, error: Column) -> Column:
 def retry_messages(attempts: DataFrame, q: str, raw: str = "raw", max_retries: int = 3) -> DataFrame:
     """What each question's conversation gained from its attempts: reply, then feedback where it failed.
 
+    Attempts after the first one without feedback never happened for the conversation.
     At most ``max_retries`` attempts per question exist, which bounds the ordered array.
     """
     feedback = retry_feedback(F.col("sql"), F.col("error"))
     own = F.concat(F.array(message("assistant", F.col(raw))),
                    F.when(feedback.isNotNull(), F.array(message("user", feedback)))
                    .otherwise(F.array().cast(MESSAGES)))
-    turns = attempts.filter(F.col("attempt") <= max_retries).select(q, F.struct("attempt", own.alias("m")).alias("_t"))
-    return turns.groupBy(q).agg(F.flatten(F.transform(
-        F.sort_array(F.collect_list("_t")), lambda t: t["m"])).alias("turns"))
+    turns = attempts.filter(F.col("attempt") <= max_retries).select(
+        q, F.struct("attempt", own.alias("m")).alias("_t"), F.when(feedback.isNull(), F.col("attempt")).alias("_ok"))
+    ended = turns.groupBy(q).agg(F.sort_array(F.collect_list("_t")).alias("_t"), F.coalesce(F.min("_ok"), F.lit(max_retries)).alias("_last"))
+    return ended.select(q, F.flatten(F.transform(
+        F.filter("_t", lambda t: t["attempt"] <= F.col("_last")), lambda t: t["m"])).alias("turns"))
 
 
 def retry_question(question: Column, error: Column) -> Column:

@@ -19,7 +19,9 @@ CONTEXT_FORMAT = "[%d] (source: %s, score: %s)\n%s"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_list()).astype(float) if len(column) else np.zeros((0, 1))
+    """One row per vector; a null vector is a row of NaN, so that it scores as no candidate."""
+    width = max((len(v) for v in column if v is not None), default=1)
+    return np.array([np.full(width, np.nan) if v is None else v for v in column], dtype=float).reshape(len(column), width)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -28,7 +30,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def cosine_kernel(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-    return _unit(_matrix(i["i_0"])) @ _unit(_matrix(q["q_0"])).T
+    items, queries = _matrix(i["i_0"]), _matrix(q["q_0"])
+    missing = np.isnan(items).any(axis=1)[:, None] | np.isnan(queries).any(axis=1)[None, :]
+    if items.shape[1] != queries.shape[1]:
+        return np.full(missing.shape, np.nan)
+    return np.where(missing, np.nan, _unit(items) @ _unit(queries).T)
 
 
 def cosine_unless_same_text(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
@@ -41,8 +47,9 @@ def cosine_unless_same_text(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
 
 def _flatten(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Owner row and value of every list element."""
+    lists = lists.map(lambda v: () if v is None else v)
     sizes = lists.map(len).to_numpy()
-    flat = np.concatenate(lists.to_list()) if len(lists) and sizes.sum() else np.zeros(0, dtype=object)
+    flat = np.concatenate([v for v in lists if len(v)]) if len(lists) and sizes.sum() else np.zeros(0, dtype=object)
     return np.repeat(np.arange(len(sizes)), sizes), flat
 
 

@@ -47,11 +47,11 @@ SELECT s_suppkey AS qid,
 FROM {supplier} JOIN {part} ON p_partkey = s_suppkey
 """
 
-# Retrieval questions: benchmark passages; every tenth is replaced by words no document contains.
+# Retrieval questions: all benchmark passages, and for every tenth one more of words no document contains.
 PASSAGES = """
-SELECT item_id AS qid,
-  CASE WHEN item_id % 10 = 9 THEN 'zzqxv wwkjx ' || CAST(item_id + 900000 AS STRING) ELSE text END AS text
-FROM {benchmark}
+SELECT item_id AS qid, text FROM {benchmark}
+UNION ALL
+SELECT -item_id - 1 AS qid, 'zzqxv wwkjx ' || CAST(item_id + 900000 AS STRING) AS text FROM {benchmark} WHERE item_id % 10 = 9
 """
 
 # Texts to screen: conversation turns, and one templated text per customer.

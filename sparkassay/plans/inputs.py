@@ -91,14 +91,14 @@ def q_schema_lookup(wh):
     return catalog.lookup(wh.sql(CATALOG), "RED_WIDGET_1").select("pos", "table_def")
 
 
-# A rendered block is one text, so it is built from pages of forty definitions, never from a growing group.
+# One block per catalogue; here the tables whose names begin alike are one.
 @query("render_schema_block", f"""
-SELECT pos // 40 AS page, 'Database schema' || chr(10) || chr(10) || 'Tables:' || chr(10) || string_agg('  ' || table_def, chr(10) ORDER BY pos)
+SELECT split_part(table_def, '_', 1) AS family, 'Database schema' || chr(10) || chr(10) || 'Tables:' || chr(10) || string_agg('  ' || table_def, chr(10) ORDER BY pos)
   || chr(10) || chr(10) || 'Relationships:' || chr(10) || '  a.id -> b.id' AS schema_block
 FROM ({C}) GROUP BY 1""")
 def q_render_schema_block(wh):
-    paged = wh.sql(CATALOG).withColumn("page", F.floor(F.col("pos") / 40))
-    return catalog.schema_block(paged, ["page"], "pos", relationships=["a.id -> b.id"])
+    named = wh.sql(CATALOG).withColumn("family", F.split_part("table_def", F.lit("_"), F.lit(1)))
+    return catalog.schema_block(named, ["family"], "pos", relationships=["a.id -> b.id"])
 
 
 @query("records_null_filled", """

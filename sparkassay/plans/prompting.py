@@ -75,7 +75,9 @@ O_FEEDBACK = f"""CASE WHEN sql = '' THEN '|user>{prompts.EMPTY_SQL_FEEDBACK}' WH
 
 
 @query("retry_prompt", f"""
-SELECT qid, string_agg('assistant>' || sql || {O_FEEDBACK}, '|' ORDER BY attempt) AS messages FROM ({A}) WHERE attempt <= 3 GROUP BY qid""")
+SELECT qid, string_agg('assistant>' || sql || {O_FEEDBACK}, '|' ORDER BY attempt) AS messages 
+FROM (SELECT *, min(CASE WHEN sql <> '' AND error IS NULL THEN attempt END) OVER (PARTITION BY qid) AS done FROM ({A}) WHERE attempt <= 3)
+WHERE attempt <= coalesce(done, 3) GROUP BY qid""")
 def q_retry_prompt(wh):
     log = wh.sql(ATTEMPTS).withColumn("raw", F.col("sql"))
     return prompts.retry_messages(log, "qid").select("qid", prompts.show_messages(F.col("turns")).alias("messages"))

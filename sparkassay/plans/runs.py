@@ -120,7 +120,7 @@ def q_gate_verdict(wh):
     return runlog.gate_verdict(gated(wh), "run_id")
 
 
-# ---- sweep over chunkers and cut-offs: a passage counts as found when its opening words are in a retrieved chunk ----
+# ---- sweep over chunkers and cut-offs: a passage counts as found when it is in a retrieved chunk as a whole ----
 KS = [3, 5]
 
 
@@ -143,15 +143,16 @@ O_SWEEP = f"""sw AS (SELECT 'sentence' AS chunker, qid, rank, text FROM (WITH RE
 
 
 @query("config_sweep", f"""
-WITH {O_SWEEP}, pq AS (SELECT chunker, k, q.qid, max(CASE WHEN rank <= k AND contains(lower(sw.text), lower(substr(q.text, 1, 25))) THEN 1.0 ELSE 0.0 END) AS r
-  FROM sw JOIN ({P}) q USING (qid) CROSS JOIN (VALUES (3), (5)) t(k) GROUP BY ALL)
+WITH {O_SWEEP}, pq AS (SELECT c.chunker, k, q.qid, max(CASE WHEN rank <= k AND contains(lower(sw.text), lower(q.text)) THEN 1.0 ELSE 0.0 END) AS r
+  FROM ({P}) q CROSS JOIN (VALUES (3), (5)) t(k) CROSS JOIN (VALUES ('sentence'), ('fixed')) c(chunker)
+  LEFT JOIN sw ON sw.qid = q.qid AND sw.chunker = c.chunker GROUP BY ALL)
 SELECT chunker, k AS top_k, count(*) AS n_questions, round(avg(r), 6)::DOUBLE AS recall FROM pq GROUP BY ALL""")
 def q_config_sweep(wh):
-    asked = passages(wh).select("qid", F.lower(F.substring("text", 1, 25)).alias("phrase"))
+    asked = passages(wh).select("qid", F.lower("text").alias("phrase"), F.explode(F.array(F.lit("sentence"), F.lit("fixed"))).alias("chunker"))
     hits = sweep_hits(wh, "sentence").withColumn("chunker", F.lit("sentence")).unionByName(
         sweep_hits(wh, "fixed").withColumn("chunker", F.lit("fixed")))
     hit = F.lower("text").contains(F.col("phrase"))
-    per_question = hits.join(asked, "qid").groupBy("chunker", "qid").agg(*[
+    per_question = asked.join(hits, ["chunker", "qid"], "left").groupBy("chunker", "qid").agg(*[
         F.max(F.when(hit & (F.col("rank") <= k), 1.0).otherwise(0.0)).alias(str(k)) for k in KS])
     long = per_question.unpivot(["chunker", "qid"], [str(k) for k in KS], "top_k", "r")
     return long.groupBy("chunker", F.col("top_k").cast("int").alias("top_k")).agg(
@@ -162,8 +163,10 @@ def q_config_sweep(wh):
 SWEEP_K = [1, 3, 5]
 O_SCHEMA = f"""{o_dense(CQ, CI, 5, 'qid', 'pos')}, {o_sparse(CQ, CI, 5, 'qid', 'pos')},
 lists AS (SELECT 'dense' AS strategy, qid, rank, pos FROM dense UNION ALL SELECT 'sparse', qid, rank, pos FROM sparse),
-pq AS (SELECT strategy, k AS top_k, g.qid, max(CASE WHEN rank <= k AND trim(split_part(text, '(', 1)) = required THEN 1.0::DOUBLE ELSE 0.0 END) AS recall
-  FROM lists JOIN ({CI}) USING (pos) JOIN ({plain(CATALOG_QUESTIONS)}) g USING (qid) CROSS JOIN (VALUES (1), (3), (5)) t(k) GROUP BY ALL),
+named AS (SELECT strategy, qid, rank, trim(split_part(text, '(', 1)) AS name FROM lists JOIN ({CI}) USING (pos)),
+pq AS (SELECT s.strategy, k AS top_k, g.qid, max(CASE WHEN rank <= k AND name = required THEN 1.0::DOUBLE ELSE 0.0 END) AS recall
+  FROM ({plain(CATALOG_QUESTIONS)}) g CROSS JOIN (VALUES (1), (3), (5)) t(k) CROSS JOIN (VALUES ('dense'), ('sparse')) s(strategy)
+  LEFT JOIN named ON named.qid = g.qid AND named.strategy = s.strategy GROUP BY ALL),
 cfg AS (SELECT strategy, top_k, CAST((CASE strategy WHEN 'dense' THEN 100 ELSE 200 END) + top_k AS INT) AS config, round(avg(recall), 6) AS recall,
   round(avg(CASE WHEN recall = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS perfect_recall,
   (CASE strategy WHEN 'dense' THEN 0.02 ELSE 0.03 END + top_k / 1000.0)::DOUBLE AS avg_query_time,
@@ -177,9 +180,9 @@ def schema_lists(wh):
 
 
 def schema_questions(wh):
-    """Recall of every (strategy, cut-off, question), from one ranked list per strategy."""
-    needed = wh.sql(CATALOG_QUESTIONS).select("qid", "required")
-    found = schema_lists(wh).join(needed, "qid")
+    """Recall of every (strategy, cut-off, question), from one ranked list per strategy; a question without hits counts as 0."""
+    needed = wh.sql(CATALOG_QUESTIONS).select("qid", "required", F.explode(F.array(F.lit("dense"), F.lit("sparse"))).alias("strategy"))
+    found = needed.join(schema_lists(wh), ["strategy", "qid"], "left")
     hit = F.col("name") == F.col("required")
     wide = found.groupBy("strategy", "qid").agg(*[
         F.max(F.when(hit & (F.col("rank") <= k), 1.0).otherwise(0.0)).alias(str(k)) for k in SWEEP_K])

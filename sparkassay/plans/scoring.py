@@ -173,7 +173,7 @@ def q_recall_at_k(wh):
         F.round(F.avg((F.col("v") == 1).cast("double")), 6).alias("perfect_recall"))
 
 
-PHRASES = """SELECT qid, substr(text, 1, 25) AS p1, 'no such phrase ' || CAST(qid AS STRING) AS p2 FROM (""" + PASSAGES + ")"
+PHRASES = """SELECT qid, text AS p1, 'no such phrase ' || CAST(qid AS STRING) AS p2 FROM (""" + PASSAGES + ")"
 
 
 @query("phrase_recall", f"""

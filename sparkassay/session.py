@@ -34,9 +34,12 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set and all runs in one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         configured = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="sparkassay-")
         _LOCAL_DIRS[app] = configured
