@@ -76,9 +76,9 @@ def test_custom_allow_list(spark):
     assert judge(spark, ["SELECT * FROM users", "SELECT * FROM customers"], check) == [None, "schema_violation"]
 
 
-def test_too_deep_is_refused(spark):
+def test_deep_nesting_is_accepted(spark):
     deep = "SELECT " + "(" * 20 + "1" + ")" * 20
-    assert judge(spark, [deep], sc.check_output) == ["disallowed_statement"]
+    assert judge(spark, [deep], sc.check_output) == [None]
 
 
 @pytest.mark.parametrize("sql,tables", [("SELECT * FROM a JOIN b ON 1=1", ["a", "b"]), ("SELECT 1", []), ("SELECT * FROM a, a", ["a"])])
