@@ -60,10 +60,10 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE):
     body = np.zeros(int(start[-1]), dtype=np.uint8)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        shifts = np.arange(w, dtype=np.uint32)
         for k in range(0, len(rows) if w else 0, SLICE):
             part = rows[k:k + SLICE]
-            bits = (diff[part][:, :, None] >> shifts & 1).astype(np.uint8).reshape(len(part), -1)
+            bits = np.unpackbits(diff[part].astype("<u4").view(np.uint8).reshape(len(part), BLOCK, 4), axis=2, bitorder="little")
+            bits = np.ascontiguousarray(bits[:, :, :w]).reshape(len(part), -1)
             body[start[part][:, None] + np.arange(16 * int(w))] = np.packbits(bits, axis=1, bitorder="little")
     block, place = np.nonzero(odd)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_exc, dtype=np.int64) - n_exc, n_exc)
@@ -81,12 +81,12 @@ def unpack_blocks(base, width, n_exc, start, body: bytes, n_ids: int) -> np.ndar
     diff = np.zeros((len(base), BLOCK), dtype=np.uint32)
     for w in np.unique(wide):
         rows = np.flatnonzero(wide == w)
-        weights = (1 << np.arange(w, dtype=np.uint64)).astype(np.uint32)
         for k in range(0, len(rows) if w else 0, SLICE):
             part = rows[k:k + SLICE]
             packed = raw[start[part][:, None] + np.arange(16 * w)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-            diff[part] = (bits * weights).sum(axis=2, dtype=np.uint32)
+            bits = np.zeros((len(part), BLOCK, 32), dtype=np.uint8)
+            bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
+            diff[part] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
     block = np.repeat(np.arange(len(base)), n_exc)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
     places_at = start[block] + 16 * wide[block]

@@ -51,6 +51,8 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
         def word(w: str) -> bytes:
             if "<" in w:
                 return little(tokenizer.encode(w, add_special_tokens=False).ids)
+            if w.isascii() and w.isalpha():
+                return pieces[w.lower()]
             w = w.lower() if w.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", w)])
             return b"".join([pieces[p] for p in cut.findall(w)])
 
