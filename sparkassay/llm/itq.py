@@ -2,9 +2,10 @@
 
 A rotation learned on a bounded sample turns unit vectors into balanced binary codes. The code is cut into tables.
 For a pair with cosine >= c the rotated vectors differ by at most 2 - 2c in squared length, so in at least one table
-by at most (2 - 2c) / tables; a bit that flips there costs at least the squared coordinate of either side. One
-side therefore looks up, in each table, every code reachable by flips that cost no more than that, and finds every
-such pair: the index loses nothing, and a false candidate is removed by the exact cosine.
+by at most (2 - 2c) / tables. A bit that differs there has coordinates of opposite signs, so it costs at least the
+sum of both squared coordinates; over all differing bits one of the two sides pays no more than half. Every vector
+therefore looks up, in each table, the codes it reaches by flips that cost no more than that half, and every such pair
+is found from one side at least: the index loses nothing, and a false candidate is removed by the exact cosine.
 """
 
 from __future__ import annotations
@@ -127,12 +128,13 @@ def code_rows(models, tables: int, budget: float | None):
 def linked_pairs(reps: DataFrame, threshold: float, tables: int, fit_rows: int) -> DataFrame:
     """``a < b``: all pairs of distinct vectors (``id, label, dim, v``) with equal labels and cosine >= threshold."""
     models = sample_models(reps, fit_rows)
-    budget = (2 - 2 * threshold) / tables + SLACK
+    budget = (1 - threshold) / tables + SLACK
     schema = "id bigint, label string, dim int, t int, code bigint"
     source = reps.select("id", "label", "dim", "v")
     items = source.mapInArrow(code_rows(models, tables, None), schema).withColumnRenamed("id", "b")
     probes = source.mapInArrow(code_rows(models, tables, budget), schema).withColumnRenamed("id", "a")
-    candidates = items.join(probes, ["label", "dim", "t", "code"]).filter("a < b").select("a", "b").distinct()
+    candidates = items.join(probes, ["label", "dim", "t", "code"]).filter("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
