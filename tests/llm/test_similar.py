@@ -92,6 +92,24 @@ def test_near_vectors(spark):
     assert itq.near_vectors(df.filter("vec_id = -1")).count() == 0
 
 
+def test_half_the_budget_from_either_side_loses_no_pair():
+    r = np.random.default_rng(8)
+    a = r.standard_normal((300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = a + 0.025 * r.standard_normal(a.shape)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    pairs = np.flatnonzero((a * b).sum(axis=1) >= 0.98)
+    assert len(pairs) > 30
+    mean, projection = itq.fit_rotation(np.concatenate([a, b]))
+    found = set()
+    for t in range(4):
+        x, y = (((m - mean) @ projection)[:, 16 * t:16 * t + 16] for m in (a, b))
+        for probe, item in ((x, y), (y, x)):
+            row, code = itq.flips(probe, 0.02 / 4 + itq.SLACK)
+            found |= set(row[code == itq.flips(item, -1.0)[1][row]].tolist())
+    assert set(pairs.tolist()) <= found
+
+
 WORDS = "ab cd efg hij kl mnop qrs tu vw xyz one two three four five six seven eight nine ten".split()
 
 
