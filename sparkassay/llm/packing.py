@@ -28,8 +28,9 @@ from sparkassay.session import materialize
 GRAIN = 8
 #: Rounds of multiplicative weights.
 ROUNDS = 1500
-#: Share of every configuration's count that is left to the best-fit step, which closes the gaps with it.
-RESERVE = 0.1
+#: Shares of every configuration's count that are left to the best-fit step, which closes the gaps with them; the
+#: solution is rounded with each in turn until one reaches the bound of total length over capacity, and the best counts.
+RESERVES = (0.1, 0.2, 0.3, 0.4, 0.5)
 #: Rows numbered by one window group, on average.
 RANK_ROWS = 20_000
 
@@ -88,19 +89,35 @@ def plan_sequences(histogram: dict[int, int], capacity: int, grain: int = GRAIN,
     """Sequences as ``(lengths, how many alike)``, holding every piece of the histogram exactly once."""
     if any(not 0 < n <= capacity for n in histogram):
         raise ValueError("piece lengths must be between 1 and the capacity")
-    left = Counter({n: c for n, c in histogram.items() if c > 0})
-    plan: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        plan.append(((capacity,), left.pop(capacity)))
+    pieces = {n: c for n, c in histogram.items() if c > 0}
+    full = [((capacity,), pieces.pop(capacity))] if capacity in pieces else []
     room = capacity // grain
     # A length too long for its class to fit beside anything still has the largest class.
     of_class: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left, reverse=True):
+    for n in sorted(pieces, reverse=True):
         of_class[min(room, -(-n // grain)) - 1].append(n)
-    demand = np.array([sum(left[n] for n in of_class[c]) for c in range(room)], dtype=np.int64)
+    demand = np.array([sum(pieces[n] for n in of_class[c]) for c in range(room)], dtype=np.int64)
+    solution = sorted(solve_configurations(demand, room, rounds), key=lambda p: -p[1])
+    bound = -(-sum(n * c for n, c in pieces.items()) // capacity)
+    best: list[tuple[tuple[int, ...], int]] = []
+    fewest = None
+    for reserve in RESERVES:
+        plan = round_solution(solution, pieces, of_class, capacity, reserve)
+        size = sum(many for _, many in plan)
+        if fewest is None or size < fewest:
+            best, fewest = plan, size
+        if fewest <= bound:
+            break
+    return full + best
+
+
+def round_solution(solution: list[tuple[np.ndarray, float]], pieces: dict[int, int], of_class: dict[int, list[int]], capacity: int,
+                   reserve: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole counts of the configurations less ``reserve``, filled with exact lengths; what remains is placed best-fit."""
+    left = Counter(pieces)
     open_: list[tuple[tuple[int, ...], int]] = []
-    for counts, x in sorted(solve_configurations(demand, room, rounds), key=lambda p: -p[1]):
-        copies = int(x * (1 - RESERVE))
+    for counts, x in solution:
+        copies = int(x * (1 - reserve))
         slots = [c for c in np.flatnonzero(counts)[::-1] for _ in range(counts[c])]
         while copies and slots:
             # The longest lengths still there, one per slot, the last slot as tight as any length allows; as many
@@ -122,7 +139,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int, grain: int = GRAIN,
                 left[n] -= many * k
             open_.append((tuple(pick), many))
             copies -= many
-    return plan + best_fit([(n, c) for n, c in left.items() if c], open_, capacity)
+    return best_fit([(n, c) for n, c in left.items() if c], open_, capacity)
 
 
 def best_fit(pieces: list[tuple[int, int]], open_: list[tuple[tuple[int, ...], int]], capacity: int):
