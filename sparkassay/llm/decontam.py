@@ -26,11 +26,18 @@ MIN_WORDS = 5
 SIMILARITY = 0.8
 #: Repeated walks, steps of a walk, steps sampled into a key and the least distance between them.
 WALKS, STEPS, SAMPLED, GAP = 8, 16, 5, 3
+#: Items of fewer words have walks of their own, which seldom leave so short an item: more of them, each shorter.
+SHORT_WORDS = 13
+SHORT_WALKS, SHORT_STEPS, SHORT_SAMPLED, SHORT_GAP = 24, 6, 3, 2
+#: Words that a window of a short item has at least.
+SHORT_WINDOW = 3
 STRIDE = 1
 #: Text bytes of benchmark items that one pass over the documents takes along.
 BLOCK_BYTES = 16 << 20
 #: Text bytes worked on together inside a task; a longer document is worked on alone.
 GROUP_BYTES = 1 << 18
+#: Window hits, and cells of one alignment matrix, held at a time.
+HITS, CELLS = 1 << 20, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -111,37 +118,48 @@ def infix_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 
 class ItemIndex:
-    """Keys of every window of a block of benchmark items, for look-up in arrays."""
-
-    def __init__(self, ids: list[int], texts: list[str], plan) -> None:
-        words, counts = word_hashes(texts)
-        self.ids, self.words, self.plan = np.array(ids, dtype=np.int64), words, plan
+    """Keys of every window of a block of benchmark items, for look-up in arrays; items of one text are one entry."""
+
+    def __init__(self, ids: list[int], texts: list[str]) -> None:
+        same: dict[str, list[int]] = {}
+        for i, t in zip(ids, texts):
+            same.setdefault(t, []).append(i)
+        words, counts = word_hashes(list(same))
+        self.ids, self.words = list(same.values()), words
         self.end = np.cumsum(counts)
         self.begin = self.end - counts
-        keep = counts >= MIN_WORDS
-        owner = np.repeat(np.arange(len(ids)), counts)
+        owner = np.repeat(np.arange(len(same)), counts)
+        at = np.arange(len(words))
+        size, rest = counts[owner], self.end[owner] - at
         # A window of fewer words than the smallest item says too little.
-        at = np.flatnonzero(keep[owner] & (np.arange(len(words)) <= self.end[owner] - MIN_WORDS))
+        long = at[(size >= SHORT_WORDS) & (rest >= MIN_WORDS)]
+        short = at[(size >= MIN_WORDS) & (size < SHORT_WORDS) & (rest >= SHORT_WINDOW)]
         self.tables = []
-        for moves, places in plan:
-            key = walk_keys(words, self.end[owner[at]], at, moves, places)
-            order = np.argsort(key, kind="stable")
-            seen = np.zeros(1 << 20, dtype=bool)
-            seen[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.tables.append((key[order], at[order], owner[at][order], seen))
+        for windows, plan in ((long, walk_plan()), (short, walk_plan(SHORT_WALKS, SHORT_STEPS, SHORT_SAMPLED, SHORT_GAP, seed=12))):
+            for moves, places in plan if len(windows) else ():
+                key = walk_keys(words, self.end[owner[windows]], windows, moves, places)
+                order = np.argsort(key, kind="stable")
+                seen = np.zeros(1 << 20, dtype=bool)
+                seen[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
+                self.tables.append((moves, places, key[order], windows[order], owner[windows][order], seen))
 
     def candidates(self, words: np.ndarray, last: np.ndarray, starts: np.ndarray):
-        """``(start, item, offset)`` of the windows that share a key with an item's window."""
-        found = []
-        for (moves, places), (keys, place, owner, seen) in zip(self.plan, self.tables):
+        """``(start, item, offset)`` of the windows that share a key with an item's window, some ``HITS`` at a time."""
+        for moves, places, keys, place, owner, seen in self.tables:
             mine = walk_keys(words, last, starts, moves, places)
             maybe = np.flatnonzero(seen[(mine & np.uint64(0xFFFFF)).astype(np.int64)])
             lo, hi = (np.searchsorted(keys, mine[maybe], side=s) for s in ("left", "right"))
-            n = hi - lo
-            row = np.repeat(maybe, n)
-            hit = np.repeat(lo, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            found.append((starts[row], owner[hit], place[hit] - self.begin[owner[hit]]))
-        return tuple(np.concatenate(c) for c in zip(*found))
+            cuts = np.flatnonzero(np.diff(np.cumsum(hi - lo) // HITS)) + 1
+            for windows, first, n in zip(*(np.split(x, cuts) for x in (maybe, lo, hi - lo))):
+                row = np.repeat(windows, n)
+                hit = np.repeat(first, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield starts[row], owner[hit], place[hit] - self.begin[owner[hit]]
+
+
+def tallied(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of all parts with the sums of their counts."""
+    rows, place = np.unique(np.concatenate([r for r, _ in parts], axis=1), axis=1, return_inverse=True)
+    return rows, np.bincount(place.reshape(-1), np.concatenate([n for _, n in parts]), rows.shape[1])
 
 
 def aligned_words(index: ItemIndex, words, begin, end, doc, item, diagonal, similarity: float) -> np.ndarray:
@@ -166,18 +184,25 @@ def aligned_words(index: ItemIndex, words, begin, end, doc, item, diagonal, simi
 def search_group(index: ItemIndex, texts: list[str | None], similarity: float, stride: int):
     """``(text number, item id, similarity, first word, words)`` of the items found in a group of texts."""
     words, counts = word_hashes(texts)
-    if not len(words) or not len(index.words):
+    if not len(words) or not index.tables:
         return
     end = np.cumsum(counts)
     begin = end - counts
     owner = np.repeat(np.arange(len(texts)), counts)
     starts = np.flatnonzero((np.arange(len(words)) - begin[owner]) % stride == 0)
-    start, item, offset = index.candidates(words, end[owner[starts]], starts)
-    if not len(start):
-        return
     # Windows of one item on one diagonal are one candidate; the diagonal with most windows is tried first.
-    rows, tally = np.unique(np.stack([owner[start], item, start - offset]), axis=1, return_counts=True)
-    keep = aligned_words(index, words, begin, end, *rows, similarity)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for start, item, offset in index.candidates(words, end[owner[starts]], starts):
+        held.append((np.stack([owner[start], item, start - offset]), np.ones(len(start))))
+        if sum(len(n) for _, n in held[1:]) > HITS:
+            held = [tallied(held)]
+    rows, tally = tallied(held)
+    if not len(tally):
+        return
+    widest = 2 * int((index.end - index.begin)[rows[1]].max() * (1 - similarity) + 1e-9) + 1
+    step = max(1, CELLS // widest)
+    keep = np.concatenate([k + aligned_words(index, words, begin, end, *rows[:, k:k + step], similarity)
+                           for k in range(0, len(tally), step)])
     rows, tally = rows[:, keep], tally[keep]
     done: set[tuple[int, int]] = set()
     tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -199,7 +224,8 @@ def search_group(index: ItemIndex, texts: list[str | None], similarity: float, s
             # The same search backwards from the end finds the beginning.
             _, back = infix_distance(wanted[::-1], part[:stop][::-1])
             done.add((doc, it))
-            yield doc, int(index.ids[it]), 1 - edits / n, lo + stop - back - int(begin[doc]), back
+            for i in index.ids[it]:
+                yield doc, i, 1 - edits / n, lo + stop - back - int(begin[doc]), back
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stride: int = STRIDE,
@@ -227,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def _search(sent, similarity: float, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*sent.value, walk_plan())
+        index = ItemIndex(*sent.value)
         names = ["doc_id", "item_id", "similarity", "first_word", "n_words"]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -147,3 +147,38 @@ def test_edit_distance_to_the_best_stretch():
     assert decontam.infix_distance(a("abc"), a("xxabcxx")) == (0, 5)
     assert decontam.infix_distance(a("abcd"), a("xxacdxx"))[0] == 1
     assert decontam.infix_distance(a("abc"), a(""))[0] == 3
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 12, 13, 16, 30])
+def test_recall_at_every_length(n):
+    r = random.Random(n)
+    word = lambda: r.choice(["the", "of", "and", *(f"w{k}" for k in range(9))]) if r.random() < 0.2 else f"v{r.randrange(3000)}"
+    items = [[word() for _ in range(n)] for _ in range(200)]
+
+    def edited(item, edits):
+        out = list(item)
+        for at in sorted(r.sample(range(n), edits), reverse=True):
+            out[at:at + 1] = r.choice([[word()], [], [out[at], word()]])
+        return out
+
+    index = decontam.ItemIndex(list(range(200)), [" ".join(i) for i in items])
+    for edits, recall in ((0, 1.0), (int(n * 0.2), 0.95)):
+        texts = [" ".join([word() for _ in range(15)] + edited(i, edits) + [word() for _ in range(15)]) for i in items]
+        found = {(d, i) for d, i, *_ in decontam.search_group(index, texts, 0.8, 1)}
+        assert sum((k, k) in found for k in range(200)) >= recall * 200
+
+
+def test_hits_held_at_a_time_change_nothing(monkeypatch):
+    r = random.Random(8)
+    word = lambda: r.choice(["the", "of", *(f"w{n}" for n in range(60))])
+    items = [" ".join(word() for _ in range(n)) for n in (5, 12, 30, 90)] + ["same " * 40]
+    texts = [" ".join([word() for _ in range(20)] + items[k % 5].split() + [word() for _ in range(9)]) for k in range(30)] + ["same " * 300, None, ""]
+    # An item's copies under other ids are found as well.
+    ids, held = [*range(5), 10, 11, 14], [*items, items[0], items[0], items[4]]
+    find = lambda: sorted(decontam.search_group(decontam.ItemIndex(ids, held), texts, 0.8, 1))
+    whole = find()
+    assert {(d, i) for d, i, *_ in whole} >= {(k, k % 5) for k in range(30)} | {(k, 10) for k in range(0, 30, 5)} | {(30, 4), (30, 14)}
+    for size in (1, 50):
+        monkeypatch.setattr(decontam, "HITS", size)
+        monkeypatch.setattr(decontam, "CELLS", 10 * size)
+        assert find() == whole
