@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.functions.text import tokens
+from sparkassay.operators.cells import topk_cells
 from sparkassay.operators.relational import broadcast_if_small, top_per_group
 from sparkassay.operators.topk import Side, topk_join
 from sparkassay.session import materialize
@@ -211,35 +212,14 @@ def retrieve(queries: DataFrame, items: DataFrame, how: str, k: int, q_id: str,
     raise ValueError(f"unknown retrieval type {how!r}")
 
 
-def signature_kernel(dim: int, tables: int, bits: int, seed: int):
-    """Cosine restricted to pairs that agree on every sign bit of at least one random hyperplane table."""
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
-    place = 1 << np.arange(bits)
-
-    def codes(m: np.ndarray) -> np.ndarray:
-        return ((m @ planes.T) > 0).reshape(len(m), tables, bits) @ place
-
-    def kernel(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-        qm, im = _unit(_matrix(q["q_0"])), _unit(_matrix(i["i_0"]))
-        qc, ic = codes(qm), codes(im)
-        scores = np.full((len(im), len(qm)), np.nan)
-        for n in range(len(qm)):
-            near = np.flatnonzero((ic == qc[n]).any(axis=1))
-            scores[near, n] = im[near] @ qm[n]
-        return scores
-
-    return kernel
-
-
 def topk_ann(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, dim: int, vector: str = "embedding",
-             tables: int = 12, bits: int = 6, seed: int = 7, **options) -> DataFrame:
-    """Approximate neighbours: hyperplane signatures pick candidates, exact cosine ranks them.
+             target: float = 0.94, seed: int = 7, **options) -> DataFrame:
+    """Approximate neighbours: an equi-join on vector cells picks candidates, exact cosine ranks them.
 
-    Candidates are compared where the item row already sits, so a signature shared by a third of all items makes
-    neither a shuffle group nor a pair list.
+    Centres are fitted on a bounded sample of the items, and a query visits as many cells as sampled items need to find
+    ``target`` of their own neighbours. Null vectors on either side have no neighbours.
     """
-    return topk_join(Side(queries, q_id, (vector,)), Side(items, i_id, (vector,)),
-                     signature_kernel(dim, tables, bits, seed), k, **options)
+    return topk_cells(Side(queries, q_id, (vector,)), Side(items, i_id, (vector,)), cosine_kernel, k, dim, target, seed, **options)
 
 
 def context_block(queries: DataFrame, q_id: str, hits: DataFrame, source: Column, text: str = "text") -> DataFrame:

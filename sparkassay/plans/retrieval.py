@@ -97,6 +97,18 @@ def q_topk_ann(wh):
     return retrieval.topk_ann(v, v, 5, "vec_id", "vec_id", dim=64)
 
 
+@query("topk_ann_recall", """
+SELECT (SELECT count(*) FROM embeddings) AS n_queries, true AS reached""")
+def q_topk_ann_recall(wh):
+    """Whether nine tenths of all exact neighbours are found."""
+    v = vectors(wh)
+    exact = retrieval.topk_dense(v, v, 5, "vec_id", "vec_id").select("query_id", "item_id")
+    near = retrieval.topk_ann(v, v, 5, "vec_id", "vec_id", dim=64).select("query_id", "item_id", F.lit(1).alias("found"))
+    return exact.join(near, ["query_id", "item_id"], "left").agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count("*")).alias("reached"))
+
+
 def passages(wh):
     return wh.sql(PASSAGES)
 

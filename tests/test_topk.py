@@ -114,6 +114,26 @@ def test_approximate_recall(spark):
     assert found / 100 >= 0.9
 
 
+def test_cells_cut_into_blocks_and_missing_vectors(spark, monkeypatch):
+    from sparkassay.operators import cells
+
+    qm, q = dense_frame(spark, 60, "q")
+    im, i = dense_frame(spark, 400, "i", dup=0.4)  # one cell holds the copies
+    null = spark.createDataFrame([(1000, None)], "q long, embedding array<double>")
+    want = collect(retrieval.topk_dense(q, i, 4, "q", "i"))
+    monkeypatch.setattr(cells, "CELL_ROWS", 30)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
+    # With every neighbour asked for, all needed cells are visited and the result is the exact one.
+    got = collect(retrieval.topk_ann(q.union(null), i.union(null), 4, "q", "i", dim=8, target=1.0))
+    found = sum(len({x[0] for x in want[n]} & {x[0] for x in got[n]}) for n in want)
+    assert got.keys() == want.keys() and found >= 0.98 * 240
+    assert all(s == pytest.approx(float(np.round(im[n] @ qm[k] / np.linalg.norm(im[n]) / np.linalg.norm(qm[k]), 6)), abs=2e-6)
+               for k in got for n, s in got[k])
+    assert retrieval.topk_ann(q, i.limit(0), 4, "q", "i", dim=8).count() == 0
+    assert retrieval.topk_ann(q.limit(0), i, 4, "q", "i", dim=8).count() == 0
+    assert collect(retrieval.topk_ann(q, i.filter("i = 3"), 4, "q", "i", dim=8)).keys() == want.keys()
+
+
 def test_best_rows_ties_and_gaps():
     s = np.array([[1.0, np.nan], [1.0, np.nan], [0.5, 2.0], [1.0, np.nan]])
     rows, cols = best_rows(s, np.array([9, 3, 1, 5]), 2)
