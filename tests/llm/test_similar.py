@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from sparkassay.llm import components, decontam, itq, simhash
 
 
@@ -72,6 +73,37 @@ def test_simhash_of_whole_texts(docs, texts):
     assert simhash.near_duplicates(docs.filter("doc_id = -5")).count() == 0
 
 
+def test_pipeline_keeps_one_of_each_near_copy(spark):
+    r = random.Random(12)
+    rows = []
+    for size in (6, 20, 60, 150, 400):
+        for _ in range(8):
+            base = [f"w{r.randrange(5000)}" for _ in range(size)]
+            for edits in (0, 0, 1, 2, 4, 8):
+                copy = list(base)
+                for at in r.sample(range(size), min(edits, size)):
+                    copy[at] = f"x{r.randrange(5000)}"
+                rows.append((r.randrange(1 << 40), " ".join(copy)))
+    hub = [f"h{k}" for k in range(100)]
+    # Both ends are near the middle, none of them the smallest id of its cell.
+    rows += [(k, " ".join(hub[k * 5:k * 5 + 80])) for k in (3, 1, 2, 4)] + [(5, "short text"), (6, "Short  text"), (7, "other text")]
+    r.shuffle(rows)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) * 5 >= len(a | b) * 4]
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 50
+    group = {}
+    for (i, _), c in zip(rows, classes(len(rows), pairs)):
+        group[c] = min(i, group.get(c, i))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(group.values())
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(6)
     base = r.standard_normal((25, 16))
