@@ -87,6 +87,22 @@ def test_language_held_out_accuracy(spark):
     assert named.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.98
 
 
+def test_language_stage(spark):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    rows = [(1, "some words", None), (2, "12 34 !", None), (3, None, None), (4, "", None), (5, "слово", None), (6, "語", None)]
+    schema = "doc_id long, text string, lang string"
+    kept = stage(spark, spark.createDataFrame(rows, schema), "")
+    assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    greek = "αβγδεζηθικλμνξοπρστυφχψω"
+    odd = [(-1, " ".join(greek[k % 9:k % 9 + 6] for k in range(60)), None), (-2, " ".join("zqxjkvwq"[k % 5:] + "qzzx" for k in range(60)), None),
+           (-3, greek, None), (-4, "12 34 " * 60, None)]
+    clean = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    kept = [r.doc_id for r in stage(spark, docs.unionByName(spark.createDataFrame(odd, schema)), "").collect()]
+    # A short text is not judged by its score.
+    assert sorted(kept) == sorted(clean + [-3])
+
+
 def test_archive(spark, tmp_path):
     long = "x" * 150
     rows = [(3, "u3", long), (1, "u1", long), (2, "u\r\n2", "é" * 60), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"),
