@@ -6,11 +6,14 @@ in step again soon after each edit, so edit distance becomes Hamming distance be
 of steps is a locality-sensitive key. Several walks with their own randomness and samples are repeated; benchmark
 items give a key for the window at each of their words, documents at every ``stride``-th word. Windows that share a
 key are candidates, and a candidate counts only when the exact word edit distance of the item to the best matching
-stretch of the document leaves the wanted similarity.
+stretch of the document leaves the wanted similarity. Items of under ``MIN_WORDS`` words allow no edit and are looked
+up as exact word sequences.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sparkassay.llm.worker import spread, worker_cache
 
-#: Items with fewer words are no evidence of contamination and are not searched.
+#: Items with fewer words have no windows; their word sequence is looked up as it is.
 MIN_WORDS = 5
 SIMILARITY = 0.8
 #: Repeated walks, steps of a walk, steps sampled into a key and the least distance between them.
@@ -58,12 +61,56 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return held["up"], held["down"]
 
 
+#: Blocks of scripts written without spaces: Thai, Lao, Burmese, Khmer, Tai, Han, kana, Yi and their extensions.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+            (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+            (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F),
+            (0x20000, 0x3FFFD))
+_PLAIN, _GAP, _SINGLE, _SINGLE_MARK, _MARK = range(5)
+
+
+def _char_kinds() -> np.ndarray:
+    """The part every code point has in words; ASCII ones are told apart later."""
+
+    def make():
+        kinds = np.full(sys.maxunicode + 1, _GAP, dtype=np.uint8)
+        kinds[:128] = _PLAIN
+        for code in range(128, sys.maxunicode + 1):
+            c = unicodedata.category(chr(code))[0]
+            if c in "LNM":
+                kinds[code] = _MARK if c == "M" else _PLAIN
+        for lo, hi in UNSPACED:
+            part = kinds[lo:hi + 1]
+            for code in range(lo, hi + 1):
+                c = unicodedata.category(chr(code))
+                part[code - lo] = {"L": _SINGLE, "M": _SINGLE_MARK}.get(c[0], _SINGLE if c == "Nl" else part[code - lo])
+        return kinds
+
+    return worker_cache("decontam:kinds", make)
+
+
+def parted(text: str) -> str:
+    """The text with spaces for non-ASCII characters that are no letters, digits or marks, and before and after every
+    letter (with its marks) of an unspaced script."""
+    if text.isascii():
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    kinds = _char_kinds()[codes]
+    if not ((kinds >= _GAP) & (kinds < _MARK)).any():
+        return text
+    before = np.concatenate([[_PLAIN], kinds[:-1]])
+    cut = (kinds == _SINGLE) | (kinds == _PLAIN) & ((before == _SINGLE) | (before == _SINGLE_MARK))
+    out = np.full(len(codes) + int(cut.sum()), 32, dtype="<u4")
+    out[np.arange(len(codes)) + np.cumsum(cut)] = np.where(kinds == _GAP, 32, codes)
+    return out.tobytes().decode("utf-32-le")
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of every text, and the number of words of each text.
 
-    Words are runs of ASCII letters, digits and any non-ASCII characters of the lower-cased text.
+    Words are runs of letters, digits and marks of the lower-cased text; a letter of an unspaced script is a word.
     """
-    raw = [(t or "").lower().encode("utf-8") for t in texts]
+    raw = [parted((t or "").lower()).encode("utf-8") for t in texts]
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
     inside = (data >= 128) | (data >= 97) & (data <= 122) | (data >= 48) & (data <= 57)
     turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -105,6 +152,16 @@ def walk_keys(words: np.ndarray, last: np.ndarray, starts: np.ndarray, moves: np
     return key
 
 
+def sequence_keys(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A key of the ``n`` words at each start."""
+    key = np.zeros(len(starts), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            key = (key ^ words[starts + k]) * _MIX
+            key ^= key >> np.uint64(31)
+    return key
+
+
 def infix_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """``(edits, end)``: least word edits that turn the item into some stretch of ``words``, and where it ends."""
     steps = np.arange(len(words) + 1)
@@ -143,6 +200,28 @@ class ItemIndex:
                 seen[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
                 self.tables.append((moves, places, key[order], windows[order], owner[windows][order], seen))
 
+        #: Word count -> sorted keys of the items of so few words, and the items.
+        self.exact = {}
+        for n in range(1, MIN_WORDS):
+            few = np.flatnonzero(counts == n)
+            if len(few):
+                key = sequence_keys(words, self.begin[few], n)
+                order = np.argsort(key, kind="stable")
+                self.exact[n] = key[order], few[order]
+
+    def sequences(self, words: np.ndarray, last: np.ndarray, owner: np.ndarray):
+        """``(text number, item, first word)`` of the first place of each item of under ``MIN_WORDS`` words in each text."""
+        for n, (keys, items) in self.exact.items():
+            starts = np.flatnonzero(np.arange(len(words)) + n <= last)
+            mine = sequence_keys(words, starts, n)
+            lo, hi = (np.searchsorted(keys, mine, side=s) for s in ("left", "right"))
+            met = np.flatnonzero(hi > lo)
+            # Places of one text and key are in order: the first of each stays.
+            _, first = np.unique(np.stack([owner[starts[met]], lo[met]]), axis=1, return_index=True)
+            for k in met[np.sort(first)]:
+                for item in items[lo[k]:hi[k]].tolist():
+                    yield int(owner[starts[k]]), item, int(starts[k])
+
     def candidates(self, words: np.ndarray, last: np.ndarray, starts: np.ndarray):
         """``(start, item, offset)`` of the windows that share a key with an item's window, some ``HITS`` at a time."""
         for moves, places, keys, place, owner, seen in self.tables:
@@ -184,11 +263,16 @@ def aligned_words(index: ItemIndex, words, begin, end, doc, item, diagonal, simi
 def search_group(index: ItemIndex, texts: list[str | None], similarity: float, stride: int):
     """``(text number, item id, similarity, first word, words)`` of the items found in a group of texts."""
     words, counts = word_hashes(texts)
-    if not len(words) or not index.tables:
+    if not len(words):
         return
     end = np.cumsum(counts)
     begin = end - counts
     owner = np.repeat(np.arange(len(texts)), counts)
+    for doc, it, first in index.sequences(words, end[owner], owner):
+        for i in index.ids[it]:
+            yield doc, i, 1.0, first - int(begin[doc]), int(index.end[it] - index.begin[it])
+    if not index.tables:
+        return
     starts = np.flatnonzero((np.arange(len(words)) - begin[owner]) % stride == 0)
     # Windows of one item on one diagonal are one candidate; the diagonal with most windows is tried first.
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -235,7 +319,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Similarity is one less the word edits over the item's words. Items go through memory in blocks of bounded size,
     each in a pass of its own over the documents; nothing of a document leaves its task but its hits. Null texts and
-    ids on either side, empty tables and items under ``MIN_WORDS`` words give no rows; repeated rows give repeated hits.
+    ids on either side, empty tables and items without words give no rows; repeated rows give repeated hits.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).dropna()

@@ -174,6 +174,23 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontam.contaminated(docs.filter("doc_id < 0"), bench).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    def words(t):
+        return len(decontam.word_hashes([t])[0])
+
+    assert words("你好，世界") == 4 and words("abc「def」ghi") == 3 and words("“one” – two…") == 2 and words("学a1生b") == 4
+    assert words("ที่นี่") == 2 and words("カ\u3099") == 1 and words("naïve cafe\u0301s Ελλάδα 한국어 हिन्दी ١٢٣") == 6
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    items = [(1, "exact four word item"), (2, "Solo"), (3, han), (4, "two words"), (5, "スシを食べる"), (6, " ,. "), (7, "two words"), (8, "one, two — three")]
+    docs = [(1, "x an EXACT, four word item; y"), (2, "exact four words item"), (3, f"前文{han}后文"), (4, f"前文{han[:8]}错{han[9:]}后文"),
+            (5, han[:10]), (6, "a solo, solo piece of two\u3000words"), (7, "友達とスシを食べる。"), (8, "one—two… three"), (9, "two"), (10, "words of two")]
+    hits = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((h.doc_id, h.item_id) for h in hits) == Counter([(1, 1), (3, 3), (4, 3), (6, 2), (6, 4), (6, 7), (7, 5), (8, 8)])
+    got = {(h.doc_id, h.item_id): h for h in hits}
+    assert (got[1, 1].first_word, got[1, 1].n_words, got[1, 1].similarity) == (2, 4, 1.0) and got[6, 2].first_word == 1
+    assert got[4, 3].similarity == 0.95
+
+
 def test_edit_distance_to_the_best_stretch():
     a = lambda s: np.array([ord(c) for c in s])
     assert decontam.infix_distance(a("abc"), a("xxabcxx")) == (0, 5)
