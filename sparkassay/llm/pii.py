@@ -25,6 +25,18 @@ class Kind:
     score: float
 
 
+#: Characters of an account number by country: the registry's countries and those that use the form without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GF GP GQ GR IT KM MC MG MQ NC PF PM RE SM TD TF WF YT BL MF",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+#: A number ends where its country says, so an upper-case word or a number behind it is not taken along.
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(
+    f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
+
 #: Kinds in their fixed order; the first four are the base kinds, the others are added by this method.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,7 +45,7 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", r"[0-9]",
          r"card|visa|master|credit|debit|karte|tarjeta|carte", 0.8),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", r"phone|tel|call|mobile|fax|whatsapp", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}",
+    Kind("iban", IBAN, r"[A-Z]{2}[0-9]{2}",
          r"iban|account|bank|konto|cuenta|compte", 0.9),
 )
 N_BASE = 4
@@ -69,7 +81,7 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        return F.length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34) & mod97(match)
+        return mod97(match)
     return F.lit(True)
 
 

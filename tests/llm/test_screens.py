@@ -49,6 +49,22 @@ def test_personal_data(spark, docs, texts):
     assert clean[1000] is None and clean[1002] == "[EMAIL] and [EMAIL][EMAIL]" and clean[1006].startswith("IBAN [IBAN] and DE88")
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    numbers = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606",
+               "NL91 ABNA 0417 1643 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "LC55 HEMM 0001 0001 0012 0012 0002 3015"]
+    tails = ["", " BIC COBADEFF", " EUR 50", " 2024", " A", ", DE88 3704 0044 0532 0130 00", " DE89 3704 0044 0532 0130 00"]
+    rows = [(i, f"AB12 pay {n}{t}") for i, (n, t) in enumerate((n, t) for n in numbers for t in tails)]
+    rows += [(1000 + i, f"DE89370400440532013000{t}") for i, t in enumerate(("EUR", "0", "x"))] + [(1010, "IBAN DE88 3704 0044 0532 0130 00 EUR 50")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans or "" for r in pii.report(frame).collect()}
+    for k, (n, t) in enumerate((n, t) for n in numbers for t in tails):
+        spans = [x for x in got[k].split(",") if x.startswith("iban")]
+        assert spans == [f"iban:9:{9 + len(n)}"] + [f"iban:{10 + len(n)}:{9 + len(n) + len(t)}"] * (t == tails[-1]), (n, t)
+    assert not [k for k in got if k >= 1000 and "iban" in got[k]]
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert clean[1] == "AB12 pay [IBAN] BIC COBADEFF" and clean[2] == "AB12 pay [IBAN] EUR 50"
+
+
 @pytest.mark.parametrize("text", ["1" * 60_000, "a" * 60_000, "a." * 40_000, "x@" + "a." * 40_000, "+1" + "(" * 60_000, "9 " * 30_000])
 def test_long_runs_end(spark, text):
     assert pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
