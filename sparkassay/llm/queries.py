@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import bpe_count, decontam, itq, langid, licence, packing, pfor, pii, simhash, warc
+from sparkassay.llm import bpe_count, decontam, divergence, exact, itq, langid, licence, packing, pfor, pii, simhash, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -55,9 +55,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_token_files, op3_near_vectors, op4_page_archive, op5_packing,
-                            op6_personal_data, op7_contaminated, op8_simhash, op9_licences, op10_language)
+                            op6_personal_data, op7_contaminated, op8_simhash, op9_licences, op10_language,
+                            op12_divergence, op13_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
@@ -91,6 +100,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id <> owner THEN owner END AS refers_to
         FROM o
     """,
+    "op12_divergence": divergence.AUDIT_SQL,
+    "op13_exact_dedup": """
+        WITH d AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
+            FROM documents
+        )
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+               h AS text_sha256
+        FROM d WINDOW g AS (PARTITION BY h)
+    """,
 }
 
 
