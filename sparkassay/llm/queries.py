@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkassay.llm import bpe_count, decontam, divergence, exact, itq, langid, licence, packing, pfor, pii, simhash, warc
+from sparkassay.llm import alignment, bpe_count, decontam, divergence, exact, itq, langid, licence, packing, pfor, pii, simhash, warc
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_token_files, op3_near_vectors, op4_page_archive, op5_packing,
                             op6_personal_data, op7_contaminated, op8_simhash, op9_licences, op10_language,
-                            op12_divergence, op13_exact_dedup)
+                            op11_token_alignment, op12_divergence, op13_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
