@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Counts, and pair sums, a task holds before it spills them.
 SPILL = 500_000
+#: Stripes in one batch of rows.
+OUT_ROWS = 20_000
 #: Pairs of occurrences weighed at a time.
 CHUNK = 1_000_000
 
@@ -39,22 +42,35 @@ def _letters() -> bytes:
     return bytes(b + 32 if ord("A") <= b <= ord("Z") else b if b in keep else 32 for b in range(256))
 
 
-def _stripe_rows(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, df, sources, counts = zip(*rows)
-    return pa.record_batch([pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(df, pa.int64()),
-                            pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                           names=["lang", "term", "df", "sources", "counts"])
+def _stripe_rows(lang: pa.Array, term: pa.Array, df, sizes, sources: pa.Array, counts) -> pa.RecordBatch:
+    """Stripes from columns; ``sizes`` says how many of ``sources`` and ``counts`` belong to each row."""
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(at, x) for x in (sources, pa.array(counts, pa.int64()))]
+    return pa.record_batch([lang, term, pa.array(df, pa.int64()), *lists], names=["lang", "term", "df", "sources", "counts"])
 
 
-def _in_parts(rows: Iterator[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    part: list[tuple] = []
-    for row in rows:
-        part.append(row)
-        if len(part) >= size:
-            yield _stripe_rows(part)
-            part = []
-    if part:
-        yield _stripe_rows(part)
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; null equals null."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    other = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+    return other | (null[1:] != null[:-1])
+
+
+def merged_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Neighbouring rows of one language and term as one row."""
+    lang, term, df, sources, counts = batch.columns
+    begins = np.concatenate([[True], _changes(lang) | _changes(term)])
+    first = np.flatnonzero(begins)
+    coded = sources.flatten().dictionary_encode()
+    code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False)
+    wide = max(1, len(coded.dictionary))
+    key = np.repeat(np.cumsum(begins) - 1, sources.value_lengths().to_numpy(zero_copy_only=False)) * wide + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(n[order], at) if len(key) else n
+    return _stripe_rows(lang.take(pa.array(first)), term.take(pa.array(first)), np.add.reduceat(df.to_numpy(zero_copy_only=False), first),
+                        np.bincount(key[at] // wide, minlength=len(first)), coded.dictionary.take(pa.array(key[at] % wide)), sums)
 
 
 def fold_stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
@@ -66,12 +82,17 @@ def fold_stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
         groups: dict[str, set[str]] = {}
         held = 0
 
-        def rows() -> Iterator[tuple]:
+        def rows() -> Iterator[pa.RecordBatch]:
             for lang, sources in groups.items():
-                yield lang, None, 0, list(sources), [0] * len(sources)
+                yield _stripe_rows(pa.array([lang]), pa.array([None], pa.binary()), [0], [len(sources)],
+                                   pa.array(list(sources), pa.string()), [0] * len(sources))
             for lang, terms in stripes.items():
-                for term, (df, by_source) in terms.items():
-                    yield lang, term, df, list(by_source), list(by_source.values())
+                names, rest = list(terms), list(terms.values())
+                for k in range(0, len(names), OUT_ROWS):
+                    part = rest[k:k + OUT_ROWS]
+                    yield _stripe_rows(pa.array([lang] * len(part)), pa.array(names[k:k + OUT_ROWS], pa.binary()), [x[0] for x in part],
+                                       [len(x[1]) for x in part], pa.array([y for x in part for y in x[1]], pa.string()),
+                                       [y for x in part for y in x[1].values()])
 
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns]):
@@ -93,9 +114,9 @@ def fold_stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
                             by_source[source] = n
                             held += 1
                 if held >= spill:
-                    yield from _in_parts(rows())
+                    yield from rows()
                     stripes, groups, held = {}, {}, 0
-        yield from _in_parts(rows())
+        yield from rows()
 
     return docs.mapInArrow(run, _STRIPE)
 
@@ -103,28 +124,22 @@ def fold_stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
 def merge_stripes(stripes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One stripe per language and term in at least ``min_docs`` documents, and the null-term stripes.
 
-    A task adds the rows of a term to one stripe as they come; a term has at most a row per task and spill.
+    Rows come sorted; a batch's last stripe waits, merged, for the next batch. A term has at most a row per task and spill.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        df, total = 0, {}
-
-        def merged() -> Iterator[tuple]:
-            nonlocal now, df, total
-            for batch in batches:
-                for lang, term, n, sources, counts in zip(*[c.to_pylist() for c in batch.columns]):
-                    if (lang, term) != now:
-                        if now is not None and (now[1] is None or df >= min_docs):
-                            yield *now, df, list(total), list(total.values())
-                        now, df, total = (lang, term), 0, {}
-                    df += n
-                    for source, count in zip(sources, counts):
-                        total[source] = total.get(source, 0) + count
-            if now is not None and (now[1] is None or df >= min_docs):
-                yield *now, df, list(total), list(total.values())
-
-        yield from _in_parts(merged())
+        def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+            return rows.filter(pc.or_(pc.greater_equal(rows.column(2), min_docs), rows.column(1).is_null()))
+
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = merged_rows(batch if waiting is None else pa.concat_batches([waiting, batch.cast(waiting.schema)]))
+            yield kept(rows[:-1])
+            waiting = rows[-1:]
+        if waiting is not None:
+            yield kept(waiting)
 
     return stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _STRIPE)
 
