@@ -357,7 +357,40 @@ def _search(sent, similarity: float, stride: int):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no benchmark item is found, with their columns; rows without an id are kept."""
-    hits = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col(id_col) == F.col("_hit"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+          stride: int = STRIDE, item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no benchmark item is found, with their columns; rows without an id are kept.
+
+    While the items fit one block, documents pass through the search and are filtered there, without a join. Beyond that
+    the hits of all blocks are joined by id and text, so rows that share an id are judged one by one.
+    """
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).dropna()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    if size > block_bytes:
+        key = F.xxhash64(F.col(text))
+        hits = contaminated(docs.filter(F.col(id_col).isNotNull()).select(key.alias("doc_id"), F.col(text).alias("text")), benchmark, similarity,
+                            stride, item_col=item_col, item_text=item_text, block_bytes=block_bytes)
+        hit = hits.select(F.col("doc_id").alias("__hit")).distinct()
+        return docs.join(hit, F.col(id_col).isNotNull() & (key == F.col("__hit")), "left_anti")
+    mine = items.toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast((mine["item_id"].tolist(), mine["text"].tolist()))
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(*sent.value)
+        for batch in batches:
+            known, texts = batch.column(at_id).is_valid().to_pylist(), batch.column(at_text)
+            searched = [i for i, (k, t) in enumerate(zip(known, texts)) if k and t.is_valid]
+            keep = np.ones(batch.num_rows, dtype=bool)
+            at = 0
+            while at < len(searched):
+                stop, total = at, 0
+                while stop < len(searched) and (stop == at or total + len(texts[searched[stop]].as_buffer()) <= GROUP_BYTES):
+                    total += len(texts[searched[stop]].as_buffer())
+                    stop += 1
+                for d, *_ in search_group(index, [texts[i].as_py() for i in searched[at:stop]], similarity, stride):
+                    keep[searched[at + d]] = False
+                at = stop
+            yield batch.filter(pa.array(keep))
+
+    return spread(docs).mapInArrow(run, docs.schema)

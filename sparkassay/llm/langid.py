@@ -136,15 +136,16 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str =
     return {name: v for name, v in sorted(out.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM, gram: int = GRAM) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (cosine with the prototype, at least 0) to every row.
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM, gram: int = GRAM,
+             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """Add ``lang_out`` and ``score_out`` (cosine with the prototype, at least 0) to every row.
 
     A null text, or one without letters, or an empty model gives ``und`` and score 0; equal cosines go to the first
     language by name. Existing columns of these two names are replaced. Texts are compared where they are read.
     """
     names = list(prototypes)
     matrix = unit(np.stack([prototypes[n] for n in names])).astype(np.float32) if names else np.zeros((0, dim), np.float32)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = bundler(dim, gram)
@@ -158,10 +159,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 langs += [names[b] if f else UNDETERMINED for b, f in zip(best, found)]
                 scores += np.where(found, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
             yield pa.record_batch([batch.column(c) for c in range(batch.num_columns)] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                  names=[*batch.schema.names, "lang_pred", "score"])
+                                  names=[*batch.schema.names, lang_out, score_out])
 
     rows = docs.select(*kept)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return spread(rows).mapInArrow(run, schema)
 
 

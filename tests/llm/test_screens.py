@@ -1,13 +1,15 @@
 """Personal data, licences, languages, the archive and the pipeline against brute force."""
 
 import hashlib
+import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkassay.llm import langid, licence, pii, queries, simhash, warc
+from sparkassay.llm import decontam, jaccard, langid, licence, pii, queries, warc
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -142,13 +144,83 @@ def test_archive(spark, tmp_path):
     assert warc.stored_pages(pages.filter("page_id < 0")).count() == 0
 
 
+def shingles(text):
+    """Five-word shingles; letters of unspaced scripts are words."""
+    words = re.sub("([\u4e00-\u9fff])", r" \1 ", text).lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def one_of_each(rows):
+    """Ids that stay: the smallest of every component over pairs of Jaccard 0.8, all pairs compared."""
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                x, y = top(i), top(j)
+                label[max(x, y)] = min(x, y)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[top(i)] = min(key, least.get(top(i), key))
+    return set(least.values())
+
+
+def test_stages_keep_rows_columns_and_unspaced_scripts(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, chinese = prose(80), "".join(chr(0x4e00 + r.randrange(3000)) for _ in range(150))
+    other = chinese[:70] + "\u4e00" + chinese[71:]
+    rows = [(1, one), (1, prose(60)), (2, one + " x"), (3, chinese), (4, other), (5, prose(40)), (5, None), (None, one), (6, one), (1, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own", "mine") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, score string, _id string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near_duplicates"](spark, docs, SMALL)
+    assert got.columns == docs.columns
+    # Two rows of id 1 have different texts and both stay; the row that repeats the first of them goes.
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted(
+        [(1, rows[0][1]), (1, rows[1][1]), (3, chinese), (5, rows[5][1]), (5, None), (None, one)], key=repr)
+    named = stages["language_id"](spark, docs, SMALL)
+    assert named.columns == docs.columns and {x.score for x in named.collect()} == {"own"}
+    bench = spark.createDataFrame([(1, " ".join(one.split()[10:40]))], "item_id long, text string")
+    clean = lambda **o: sorted(((x.doc_id, x.text) for x in decontam.clean(docs, bench, **o).collect()), key=repr)
+    want = sorted([(i, t) for i, t in rows if i is None or t not in (one, one + " x")], key=repr)
+    assert clean() == want == clean(block_bytes=10)
+    empty = docs.filter("doc_id = -1")
+    assert all(stages[n](spark, empty, SMALL).count() == 0 for n in stages)
+
+
+def test_unlinked_members_meet_in_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for p in r.sample(range(120), r.choice([1, 2, 4, 6])):
+            words[p] = f"n{r.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = one_of_each(rows)
+    assert 1 < len(want) < 90
+    assert {x.doc_id for x in jaccard.keep_one(docs).collect()} == want
+    whole = jaccard.unlinked_members
+    monkeypatch.setattr(jaccard, "unlinked_members", lambda members, sets, similarity: whole(members, sets, similarity, block=7))
+    assert {x.doc_id for x in jaccard.keep_one(docs).collect()} == want
+    assert {x.component_id for x in jaccard.near_duplicates(docs).collect()} == want
+
+
 def test_pipeline_matches_its_parts(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     bench = [x.text for x in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     kept = [d for d in docs if d.text and any(c.isalpha() for c in d.text)]
     frame = spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long")
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
-    kept = [d for d in kept if groups[d.doc_id] == d.doc_id]
+    kept = one_of_each([(d.doc_id, d.text) for d in kept])
+    kept = [d for d in docs if d.doc_id in kept]
 
     def words(t):
         return f" {' '.join(re.findall(r'[a-z0-9\x80-\U0010ffff]+', t.lower()))} "
@@ -162,6 +234,8 @@ def test_pipeline_matches_its_parts(spark):
         assert r.offset == filled.get(r.sequence_id, 0)
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= 2048
+    for r in out:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
     stages = dict(corpus_pipeline.STAGES)
     clean = stages["personal_data"](spark, frame, SMALL)
     assert clean.columns == frame.columns
@@ -169,4 +243,4 @@ def test_pipeline_matches_its_parts(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
