@@ -42,9 +42,8 @@ def unit_rows(vectors: pd.Series, width: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def fit_cells(m: np.ndarray, cells: int, k: int, target: float, seed: int) -> Cells:
-    """Centres by k-means on unit vectors, and the fewest probes with which sampled rows find ``target`` of their neighbours."""
-    rng = np.random.default_rng(seed)
+def centres_of(m: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres by k-means on unit vectors; a centre without rows stays where it was."""
     centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
     for _ in range(FIT_ROUNDS):
         mine = (m @ centres.T).argmax(axis=1)
@@ -54,6 +53,13 @@ def fit_cells(m: np.ndarray, cells: int, k: int, target: float, seed: int) -> Ce
         centres[used] = np.add.reduceat(m[order], first, axis=0)
         norm = np.linalg.norm(centres, axis=1, keepdims=True)
         centres = np.divide(centres, norm, out=np.zeros_like(centres), where=norm > 0)
+    return centres
+
+
+def fit_cells(m: np.ndarray, cells: int, k: int, target: float, seed: int) -> Cells:
+    """Centres, and the fewest probes with which sampled rows find ``target`` of their neighbours."""
+    rng = np.random.default_rng(seed)
+    centres = centres_of(m, cells, rng)
     mine = (m @ centres.T).argmax(axis=1)
     asked = rng.choice(len(m), min(FIT_QUERIES, len(m)), replace=False)
     scores = m[asked] @ m.T
@@ -66,16 +72,24 @@ def fit_cells(m: np.ndarray, cells: int, k: int, target: float, seed: int) -> Ce
     return Cells(centres, min(probes, len(centres)))
 
 
-def fit(items: Side, k: int, dim: int, target: float, seed: int) -> Cells:
+def sampled(items: Side) -> tuple[np.ndarray, int]:
+    """Unit vectors of at most ``FIT_ROWS`` finite, non-zero items spread over the table, and the number of items with a vector."""
     rows = items.narrow("i").filter(F.col("i_0").isNotNull())
     n = rows.count()
-    if not n:
-        return Cells(np.zeros((1, dim)), 1)
-    share = int(min(1.0, FIT_ROWS / n) * (1 << 30))
+    share = int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 30))
     sample = rows.filter(F.pmod(F.xxhash64("i_id", "i_0"), F.lit(1 << 30)) <= share).limit(FIT_ROWS).toPandas()
     if sample.empty:
         sample = rows.limit(FIT_ROWS).toPandas()
-    return fit_cells(unit_rows(sample["i_0"], dim), min(MAX_CELLS, max(1, int(n ** 0.5))), k, target, seed)
+    units = unit_rows(sample["i_0"], 1)
+    good = units[np.isfinite(units).all(axis=1) & units.any(axis=1)]
+    return (good if len(good) else units[:1] if np.isfinite(units).all() else units[:0]), n
+
+
+def fit(items: Side, k: int, dim: int, target: float, seed: int) -> Cells:
+    sample, n = sampled(items)
+    if not len(sample):
+        return Cells(np.zeros((1, dim)), 1)
+    return fit_cells(sample, min(MAX_CELLS, max(1, int(n ** 0.5))), k, target, seed)
 
 
 def _placed(side: Side, prefix: str, centres: np.ndarray, probes: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.functions.text import tokens
@@ -46,8 +46,8 @@ def sparse_from_lists(df: DataFrame, key: str, indices: str, values: str) -> Dat
     return df.select(key, F.explode(pairs).alias("_p")).select(key, "_p.term", "_p.weight")
 
 
-def sparse_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Term counts per row: ``(key, term, tf)``.
+def term_counts(tokens_of: Column) -> Column:
+    """Distinct tokens of a token list with their counts, ``array<struct<term, tf>>`` in term order; null for a null list.
 
     Counted inside the row as runs of its sorted tokens, so postings are produced without a shuffle. The sorted
     list and the run starts are lambda variables, computed once per row.
@@ -61,5 +61,9 @@ def sparse_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         ends = F.concat(F.slice(r["f"], F.lit(2), F.size(r["f"])), F.array(F.size(r["s"])))
         return F.zip_with(r["f"], ends, lambda a, b: F.struct(F.get(r["s"], a).alias("term"), (b - a).cast("bigint").alias("tf")))
 
-    counted = F.transform(F.transform(F.array(F.sort_array(tokens(text))), starts), runs)[0]
-    return df.select(key, F.inline(counted)).filter(F.col("term").isNotNull())
+    return F.transform(F.transform(F.array(F.sort_array(tokens_of)), starts), runs)[0]
+
+
+def sparse_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Term counts per row: ``(key, term, tf)``."""
+    return df.select(key, F.inline(term_counts(tokens(text)))).filter(F.col("term").isNotNull())

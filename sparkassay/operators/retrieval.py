@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.functions.text import tokens
+from sparkassay.operators import postings
 from sparkassay.operators.cells import topk_cells
-from sparkassay.operators.relational import broadcast_if_small, top_per_group
-from sparkassay.operators.topk import Side, topk_join
+from sparkassay.operators.features import term_counts
+from sparkassay.operators.relational import MAX_BROADCAST_ROWS, top_per_group
+from sparkassay.operators.pivots import PivotSearch
+from sparkassay.operators.topk import Kernel, Side, topk_join
 from sparkassay.session import materialize
 
 RRF_K = 60
@@ -21,6 +24,8 @@ CONTEXT_FORMAT = "[%d] (source: %s, score: %s)\n%s"
 
 def _matrix(column: pd.Series) -> np.ndarray:
     """One row per vector; a null vector is a row of NaN, so that it scores as no candidate."""
+    if not column.isna().any():
+        return np.array(column.tolist(), dtype=float).reshape(len(column), -1 if len(column) else 1)
     width = max((len(v) for v in column if v is not None), default=1)
     return np.array([np.full(width, np.nan) if v is None else v for v in column], dtype=float).reshape(len(column), width)
 
@@ -32,10 +37,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def cosine_kernel(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
     items, queries = _matrix(i["i_0"]), _matrix(q["q_0"])
-    missing = np.isnan(items).any(axis=1)[:, None] | np.isnan(queries).any(axis=1)[None, :]
     if items.shape[1] != queries.shape[1]:
-        return np.full(missing.shape, np.nan)
-    return np.where(missing, np.nan, _unit(items) @ _unit(queries).T)
+        return np.full((len(items), len(queries)), np.nan)
+    scores = _unit(items) @ _unit(queries).T
+    for side, axis in ((items, 0), (queries, 1)):
+        lost = np.isnan(side).any(axis=1)
+        if lost.any():
+            scores[(lost, slice(None)) if axis == 0 else (slice(None), lost)] = np.nan
+    return scores
 
 
 def cosine_unless_same_text(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
@@ -46,134 +55,84 @@ def cosine_unless_same_text(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
     return scores
 
 
-def _flatten(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Owner row and value of every list element."""
-    lists = lists.map(lambda v: () if v is None else v)
-    sizes = lists.map(len).to_numpy()
-    flat = np.concatenate([v for v in lists if len(v)]) if len(lists) and sizes.sum() else np.zeros(0, dtype=object)
-    return np.repeat(np.arange(len(sizes)), sizes), flat
-
-
-def _term_scores(q: pd.DataFrame, i: pd.DataFrame, item_weight) -> np.ndarray:
-    """Sum over shared terms of query weight x item weight; NaN where no term is shared.
-
-    Query terms become a sorted posting list; item terms outside that vocabulary are discarded at once, and
-    ``item_weight(row, term_code, frame)`` turns the surviving (row, term) hits into one weight per distinct pair.
-    """
-    q_row, q_term = _flatten(q["q_0"])
-    q_weight = _flatten(q["q_1"])[1].astype(float)
-    code, vocab = pd.factorize(q_term)
-    order = np.argsort(code, kind="stable")
-    q_row, q_weight = q_row[order], q_weight[order]
-    start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(vocab)))]).astype(np.int64)
-    i_row, hit, w = item_weight(i, pd.Index(vocab))
-    n_post = (start[1:] - start[:-1])[hit] if len(hit) else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(hit)), n_post)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_post) - n_post, n_post)
-    post = start[hit][owner] + offset if len(hit) else np.zeros(0, dtype=np.int64)
-    cell = i_row[owner] * len(q) + q_row[post]
-    size = len(i) * len(q)
-    score = np.bincount(cell, weights=w[owner] * q_weight[post], minlength=size)
-    seen = np.bincount(cell, minlength=size)
-    return np.where(seen > 0, score, np.nan).reshape(len(i), len(q))
-
-
-def _counted_tokens(i: pd.DataFrame, vocab: pd.Index):
-    """Term counts of raw token lists, restricted to the query vocabulary."""
-    row, term = _flatten(i["i_0"])
-    hit = vocab.get_indexer(term) if len(term) else np.zeros(0, dtype=np.int64)
-    ok = hit >= 0
-    pair, tf = np.unique(row[ok] * max(1, len(vocab)) + hit[ok], return_counts=True)
-    return pair // max(1, len(vocab)), pair % max(1, len(vocab)), tf.astype(float)
-
-
-def count_dot_kernel(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-    """Sparse dot product of term counts; items are raw token lists."""
-    return _term_scores(q, i, _counted_tokens)
-
-
-def weight_dot_kernel(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-    """Sparse dot product of supplied (terms, weights) lists."""
-
-    def supplied(frame, vocab):
-        row, term = _flatten(frame["i_0"])
-        weight = _flatten(frame["i_1"])[1].astype(float)
-        hit = vocab.get_indexer(term) if len(term) else np.zeros(0, dtype=np.int64)
-        ok = hit >= 0
-        return row[ok], hit[ok], weight[ok]
-
-    return _term_scores(q, i, supplied)
-
-
-def bm25_kernel(k1: float, b: float, avg_len: float):
-    def kernel(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-        def saturated(frame, vocab):
-            row, hit, tf = _counted_tokens(frame, vocab)
-            length = frame["i_0"].map(len).to_numpy().astype(float)[row]
-            return row, hit, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
-
-        return _term_scores(q, i, saturated)
-
-    return kernel
+def _far(queries: Side, items: Side, kernel: Kernel, k: int, lanes: int | None) -> DataFrame:
+    return PivotSearch(queries, items, kernel, k, lanes).hits()
 
 
 def topk_dense(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, vector: str = "embedding",
                **options) -> DataFrame:
-    """k nearest items by cosine. Both sides carry a dense vector column."""
+    """k nearest items by cosine. Both sides carry a dense vector column; ``lanes`` sets the number of pivots if given."""
     return topk_join(Side(queries, q_id, (vector,)), Side(items, i_id, (vector,)),
-                     cosine_kernel, k, **options)
+                     cosine_kernel, k, far=_far, **options)
 
 
 def topk_dense_excluding(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str,
                          vector: str = "embedding", **options) -> DataFrame:
     """As ``topk_dense`` but an item with the query's exact text is never returned."""
     return topk_join(Side(queries, q_id, (vector, text)), Side(items, i_id, (vector, text)),
-                     cosine_unless_same_text, k, **options)
+                     cosine_unless_same_text, k, far=_far, **options)
 
 
 def query_terms(queries: DataFrame, q_id: str, text: str) -> DataFrame:
-    """Tokens of every query as parallel lists; a repeated token simply counts once per occurrence."""
-    return (queries.select(q_id, tokens(text).alias("terms"))
-            .withColumn("weights", F.transform("terms", lambda _: F.lit(1.0))))
+    """``q, term, tf``: the distinct tokens of every query and how often they occur in it."""
+    counted = F.filter(term_counts(tokens(text)), lambda c: c["term"].isNotNull())
+    return queries.select(F.col(q_id).alias("q"), F.inline(counted))
+
 
+def _counted(items: DataFrame, i_id: str, text: str) -> DataFrame:
+    """``item, terms, weights, length``, stored: distinct tokens, their counts, and the number of all tokens."""
+    rows = items.select(F.col(i_id).alias("item"), tokens(text).alias("_t"))
+    rows = rows.select("item", F.filter(term_counts(F.col("_t")), lambda c: c["term"].isNotNull()).alias("_c"), F.size("_t").alias("length"))
+    return materialize(rows.select("item", F.col("_c.term").alias("terms"), F.transform("_c.tf", lambda n: n.cast("double")).alias("weights"),
+                                   F.greatest("length", F.lit(0)).alias("length")), "counted")
 
-def topk_sparse_dot(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str = "text",
-                    **options) -> DataFrame:
-    """k items with the largest sparse dot product of term counts; items sharing no term are not returned."""
-    q = query_terms(queries, q_id, text)
-    i = items.select(i_id, tokens(text).alias("terms"))
-    return topk_join(Side(q, q_id, ("terms", "weights")),
-                     Side(i, i_id, ("terms",)), count_dot_kernel, k, **options)
+
+def topk_sparse_dot(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str = "text", *,
+                    q_out: str = "query_id", i_out: str = "item_id", max_rows: int = MAX_BROADCAST_ROWS, lanes: int | None = None) -> DataFrame:
+    """k items with the largest sparse dot product of term counts; items sharing no term are not returned.
+
+    Ids of items are unique. ``max_rows`` bounds broadcast sides; ``lanes`` belongs to the dense join and is not used.
+    """
+    index = postings.build(_counted(items, i_id, text))
+    asked = query_terms(queries, q_id, text).select("q", "term", F.col("tf").cast("double").alias("w"))
+    return postings.search(asked, index, k, q_out, i_out, max_rows=max_rows)
 
 
 def topk_sparse_weights(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, terms: str = "terms",
-                        weights: str = "weights", **options) -> DataFrame:
-    """As above for supplied sparse vectors in parallel list columns."""
-    return topk_join(Side(queries, q_id, (terms, weights)), Side(items, i_id, (terms, weights)),
-                     weight_dot_kernel, k, **options)
+                        weights: str = "weights", *, q_out: str = "query_id", i_out: str = "item_id",
+                        max_rows: int = MAX_BROADCAST_ROWS, lanes: int | None = None) -> DataFrame:
+    """As above for supplied sparse vectors in parallel list columns. Weights under zero are read without bounds."""
+    pairs = lambda df: F.filter(F.arrays_zip(F.col(terms).alias("term"), F.col(weights).alias("w")), lambda p: p["term"].isNotNull())
+    forward = materialize(items.select(F.col(i_id).alias("item"), pairs(items).alias("_p")).select(
+        "item", F.col("_p.term").alias("terms"), F.transform("_p.w", lambda w: w.cast("double")).alias("weights")), "supplied")
+    asked = materialize(queries.select(F.col(q_id).alias("q"), F.inline(pairs(queries))).groupBy("q", "term").agg(
+        F.sum(F.col("w").cast("double")).alias("w")), "asked")
+    low = lambda df, c: df.agg(F.min(c)).first()[0]
+    least = [low(asked, F.col("w")), low(forward, F.array_min("weights"))]
+    return postings.search(asked, postings.build(forward), k, q_out, i_out, prune=all(x is None or x >= 0 for x in least), max_rows=max_rows)
+
+
+def bm25_index(items: DataFrame, i_id: str, text: str = "text", k1: float = 1.2, b: float = 0.75) -> tuple[postings.Postings, int]:
+    """The index of saturated term counts, and the number of items; texts are tokenised once."""
+    counted = _counted(items, i_id, text)
+    n, avg_len = counted.agg(F.count("*"), F.avg("length")).first()
+    norm = k1 * (1 - b + b * F.col("length") / F.lit(float(avg_len or 1.0)))
+    forward = counted.select("item", "terms", F.transform("weights", lambda tf: tf * (k1 + 1) / (tf + norm)).alias("weights"))
+    return postings.build(forward), n
+
+
+def bm25_asked(queries: DataFrame, q_id: str, index: postings.Postings, n: int, text: str = "text") -> DataFrame:
+    """Distinct query terms with their inverse document frequency."""
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return query_terms(queries, q_id, text).join(index.lexicon.select("term", "df"), "term").select("q", "term", idf.alias("w"))
 
 
 def topk_bm25(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, text: str = "text",
-              k1: float = 1.2, b: float = 0.75, **options) -> DataFrame:
-    """Keyword ranking: one pass for corpus statistics, one for scoring."""
-    docs = items.select(i_id, tokens(text).alias("terms"))
-    q = queries.select(q_id, F.explode_outer(F.array_distinct(tokens(text))).alias("term"))
-    # Lengths ride along under an empty term, so one pass gives document counts of the asked terms and corpus totals.
-    total = queries.sparkSession.createDataFrame([("",)], "term string")
-    vocab = broadcast_if_small(q.select("term").filter(F.col("term").isNotNull()).union(total).distinct(), 1_000_000)
-    entries = F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(""))))
-    stats = materialize(
-        docs.select(entries.alias("term"), F.size("terms").alias("n")).join(vocab, "term", "left_semi")
-        .groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n_tokens")), "term-stats")
-    whole = stats.filter(F.col("term") == "").first()
-    n, avg_len = (whole["df"], whole["n_tokens"] / whole["df"] or 1.0) if whole else (0, 1.0)
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = (q.join(stats.select("term", "df"), "term").groupBy(q_id)
-                .agg(F.collect_list(F.struct("term", idf.alias("w"))).alias("_c"))
-                .select(q_id, F.col("_c.term").alias("terms"), F.col("_c.w").alias("weights")))
-    return topk_join(Side(weighted, q_id, ("terms", "weights")),
-                     Side(docs, i_id, ("terms",)),
-                     bm25_kernel(k1, b, float(avg_len)), k, **options)
+              k1: float = 1.2, b: float = 0.75, *, q_out: str = "query_id", i_out: str = "item_id",
+              max_rows: int = MAX_BROADCAST_ROWS, lanes: int | None = None) -> DataFrame:
+    """Keyword ranking through the index; arguments as for ``topk_sparse_dot``."""
+    index, n = bm25_index(items, i_id, text, k1, b)
+    return postings.search(bm25_asked(queries, q_id, index, n, text), index, k, q_out, i_out, max_rows=max_rows)
 
 
 def rrf(lists: list[DataFrame], k_out: int, q_id: str = "query_id", i_id: str = "item_id", rrf_k: int = RRF_K) -> DataFrame:

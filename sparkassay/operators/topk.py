@@ -5,8 +5,7 @@ NumPy inside a task. Three placements, chosen by measured size, give identical r
 
 * items fit the broadcast bound and are the smaller side -> every query batch is scored against them in place; no shuffle at all
 * queries fit the broadcast bound (always used for a short list) -> every item partition keeps its local top-k per query; only those rows shuffle
-* neither fits                    -> both sides are packed into blocks, query blocks are repeated once per lane,
-                                     item blocks are spread over lanes, and blocks meet in an equi-join on the lane
+* neither fits                    -> the caller's ``far`` join, which knows how its scores can be bounded (``pivots`` for cosine)
 """
 
 from __future__ import annotations
@@ -45,6 +44,7 @@ class Side:
 
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]  # (queries, items) -> scores[n_items, n_queries]
+Far = Callable[[Side, Side, Kernel, int, "int | None"], DataFrame]
 
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,18 +100,12 @@ def _frame(blob: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(blob).read_pandas()
 
 
-def _pack(side: Side, prefix: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            blobs = [_ipc(pdf.iloc[i:i + BLOCK_ROWS]) for i in range(0, len(pdf), BLOCK_ROWS)]
-            yield pd.DataFrame({"block": blobs})
-
-    return side.narrow(prefix).mapInPandas(run, "block binary")
-
-
 def topk_join(queries: Side, items: Side, kernel: Kernel, k: int, *, q_out: str = "query_id", i_out: str = "item_id",
-              max_rows: int = MAX_BROADCAST_ROWS, lanes: int | None = None) -> DataFrame:
-    """``(q_out, rank, i_out, score)``: descending score rounded to six digits, ties by item id."""
+              max_rows: int = MAX_BROADCAST_ROWS, lanes: int | None = None, far: Far | None = None) -> DataFrame:
+    """``(q_out, rank, i_out, score)``: descending score rounded to six digits, ties by item id.
+
+    ``far(queries, items, kernel, k, lanes)`` gives at least the k best ``q_id, i_id, score`` where neither side is small.
+    """
     q_type = queries.df.schema[queries.key].dataType
     i_type = items.df.schema[items.key].dataType
     schema = T.StructType([T.StructField("q_id", q_type), T.StructField("i_id", i_type),
@@ -146,20 +140,7 @@ def topk_join(queries: Side, items: Side, kernel: Kernel, k: int, *, q_out: str
 
         local = items.narrow("i").mapInPandas(against_queries, schema)
     else:
-        spark = queries.df.sparkSession
-        n = lanes or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        q_blocks = (_pack(queries, "q").withColumnRenamed("block", "q_block")
-                    .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
-        i_blocks = (_pack(items, "i").withColumnRenamed("block", "i_block")
-                    .withColumn("lane", F.pmod(F.xxhash64("i_block"), F.lit(n)).cast("int")))
-        pairs = i_blocks.join(q_blocks, "lane").select("q_block", "i_block")
-
-        def score_pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for q, i in zip(pdf["q_block"], pdf["i_block"]):
-                    yield _score_blocks(kernel, _frame(q), _frame(i), k)
-
-        local = pairs.mapInPandas(score_pair, schema)
+        local = far(queries, items, kernel, k, lanes)
 
     return _named(top_per_group(local, ["q_id"], [F.desc("score"), F.col("i_id")], k), q_out, i_out)
 

@@ -156,3 +156,39 @@ def test_dispatch_by_type_and_strategy(spark):
     assert top("hybrid") == top("dspy") == [1, 2]
     with pytest.raises(ValueError):
         retrieval.retrieve(q, i, "lexical", 2, "q", "i")
+
+
+def clustered(spark, n_clusters, each, dim=16, spread=0.02, seed=3):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((n_clusters, dim))
+    m = np.repeat(centres, each, axis=0) + spread * r.standard_normal((n_clusters * each, dim))
+    return m, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "i long, embedding array<double>").repartition(4)
+
+
+def test_pivots_are_exact_and_skip_most_pairs_of_clusters(spark):
+    from sparkassay.operators.pivots import PivotSearch
+    from sparkassay.operators.topk import Side
+
+    m, items = clustered(spark, 40, 30)
+    queries = items.filter("i % 3 = 0").withColumnRenamed("i", "q")
+    want = brute(m[::3], m, 4)
+    got = collect(retrieval.topk_dense(queries, items, 4, "q", "i", max_rows=0, lanes=40))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {3 * q: [i for i, _ in v] for q, v in want.items()}
+    search = PivotSearch(Side(queries, "q", ("embedding",)), Side(items, "i", ("embedding",)), retrieval.cosine_kernel, 4, 40)
+    assert 0 < search.scored() < 0.15 * 400 * 1200
+
+
+def test_pivots_with_zero_missing_and_tied_vectors(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(20)] + [(20 + i, [0.0, 0.0, 0.0]) for i in range(5)]
+    rows += [(30, None), (31, [-1.0, 0.0, 0.0]), (32, [float("nan"), 1.0, 0.0]), (33, [0.0, 2.0, 0.0])]
+    items = spark.createDataFrame(rows, "i long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [3.0, 0.0, 0.0]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [0.0, 0.0, 5.0]), (5, [-1.0, 0.0, 0.0])],
+                                  "q long, embedding array<double>")
+    got = collect(retrieval.topk_dense(asked, items, 22, "q", "i", max_rows=0, lanes=3))
+    near = collect(retrieval.topk_dense(asked, items, 22, "q", "i"))
+    assert got == near
+    assert [i for i, _ in got[1]] == [*range(20), 20, 21] and [i for i, _ in got[5]][:2] == [31, 20] and 3 not in got
+    empty = items.filter("i = 30")
+    assert retrieval.topk_dense(asked, empty, 2, "q", "i", max_rows=0).count() == 0
+    texts = asked.withColumn("text", F.lit("x")), items.withColumn("text", F.when(F.col("i") < 3, "x").otherwise("y"))
+    assert [i for i, _ in collect(retrieval.topk_dense_excluding(*texts, 2, "q", "i", "text", max_rows=0))[1]] == [3, 4]
