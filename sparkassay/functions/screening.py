@@ -81,83 +81,103 @@ def check_input(text: Column | str) -> Column:
 
 # Tables of the four-table store a query may read by default.
 ALLOWED_TABLES = ("customers", "products", "orders", "order_items")
-SUB = "§"  # stands for one removed parenthesis pair
-NAME = r'(?:"[^"]*"|[\w$]+)(?:\.(?:"[^"]*"|[\w$]+))*'
-NOISE = r"""(?s)('[^']*'|--[^\n]*|/\*.*?\*/)|("[^"]*")"""
-FROM_IN_CALL = r"\b(extract|substring|trim|overlay)\s*\([^()]*\)"
-INNER = r"\(([^()]*)\)"
-ITEM = rf"(?:{NAME}\s*{SUB}?|{SUB})"
-# With parentheses removed, every comma or JOIN between FROM and the next clause starts another source.
-FROM_BODY = r"(?s)\bfrom\s+(.*?)(?:\b(?:where|group|having|order|limit|offset|window|qualify|fetch|union|intersect|except)\b|$)"
-SOURCE_BREAK = r",|\bjoin\b"
-FIRST_ITEM = rf"^\s*(?:lateral\s+)?({ITEM})"
-CTE_NAME = rf"(?:\bwith\s+(?:recursive\s+)?|,\s*)({NAME})\s*(?:{SUB}\s*)?as\s+(?:not\s+)?(?:materialized\s+)?{SUB}"
-SET_WORDS = r"\b(union|intersect|except)\b"
-CHANGE_WORDS = r"\b(insert|update|delete|merge|drop|create|alter|truncate)\b"
-
-
-def _clean(sql: Column) -> Column:
-    """Lower-case text without literals and comments, and without the FROM of EXTRACT-like calls."""
-    t = F.regexp_replace(F.lower(sql), SUB, "?")
-    t = F.regexp_replace(t, NOISE, " $2 ")
-    t = F.regexp_replace(t, FROM_IN_CALL, " 0 ")
-    return F.regexp_replace(t, r"\bdistinct\s+from\b", " = ")
-
-
-def _unnest(statement: Column) -> Column:
-    """``struct(top, parts)``: the text outside all parentheses, and every parenthesis body with its own removed."""
-    start = F.struct(statement.alias("top"), F.array().cast("array<string>").alias("parts"))
-    marks = F.split(F.regexp_replace(statement, "[^()]", ""), "")
-    level = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda acc, c: F.struct(
-        F.when(c == "(", acc["now"] + 1).when(c == ")", F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"]).alias("now"),
-        F.greatest(acc["most"], F.when(c == "(", acc["now"] + 1).otherwise(0)).alias("most")))
-    rounds = F.when(level["most"] > 0, F.sequence(F.lit(1), level["most"])).otherwise(F.array().cast("array<int>"))
-
-    def peel(acc, _):
-        # Once its argument has been taken out, a call such as TRIM(f(x) FROM y) is seen to have no table either.
-        text = F.regexp_replace(acc["top"], FROM_IN_CALL, " 0 ")
-        return F.struct(F.regexp_replace(text, INNER, f" {SUB} ").alias("top"),
-                        F.concat(F.regexp_extract_all(text, F.lit(INNER), F.lit(1)), acc["parts"]).alias("parts"))
-
-    return F.aggregate(rounds, start, peel)
-
-
-def _bare(name: Column) -> Column:
-    """Last part of a qualified name, unquoted."""
-    return F.regexp_replace(F.regexp_extract(name, r'("[^"]*"|[^."]+)$', 1), '"', "")
-
-
-def _sources(texts: Column) -> Column:
-    """Table names referenced in FROM and JOIN lists; table functions and sub-queries are skipped.
-
-    A parenthesis that joins without a FROM of its own is a bracketed source list.
+# One lexical token, of lower-cased text. Quoted kinds come first, so that nothing inside them is a token.
+TOKEN = (r"(?s)e'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|'[^']*+(?:''[^']*+)*+'|\$(\w*)\$.*?\$\1\$|"
+         r'"[^"]*+(?:""[^"]*+)*+"|--[^\n]*+|/\*.*?\*/|[\p{L}_][\p{L}\p{M}\p{N}_$]*+|\p{N}[\w.]*+|\S')
+SET_WORDS = ("union", "intersect", "except")
+CHANGE_WORDS = ("insert", "update", "delete", "merge", "drop", "create", "alter", "truncate")
+# Words that end a source list, and words after which, at the start of a bracket, a table follows.
+END_WORDS = ("where", "group", "having", "order", "limit", "offset", "window", "qualify", "fetch", "values", *SET_WORDS)
+TABLE_WORDS = ("table", "describe", "desc", "show", "summarize", "pivot", "unpivot")
+
+
+def _lexed(sql: Column) -> Column:
+    """Tokens in order as ``struct(t, k)``: text and class, without comments; literals and quoted names unquoted."""
+    raw = F.filter(F.regexp_extract_all(F.lower(sql), F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("--") & ~(t.startswith("/*") & (F.length(t) > 3)))
+
+    def classed(t):
+        quoted, literal = t.startswith('"'), t.startswith("'") | t.startswith("e'") | (t.startswith("$") & (F.length(t) > 1))
+        inner = F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))
+        kind = (F.when(t.isin("(", ")", ",", ".", ";", "select", "with", "from", "join", "lateral"), t)
+                .when(t.isin("'", '"'), F.lit("loose")).when(quoted, F.lit("quoted")).when(literal, F.lit("literal"))
+                .when(t.isin(*END_WORDS), F.lit("end")).when(t.isin(*CHANGE_WORDS), F.lit("change")).when(t.isin(*TABLE_WORDS), F.lit("table"))
+                .when(t.rlike(r"^[\p{L}_]"), F.lit("word")).otherwise(F.lit("other")))
+        return F.struct(F.when(quoted | literal, inner).otherwise(t).alias("t"), kind.alias("k"))
+
+    return F.transform(raw, classed)
+
+
+_FRAME = "struct<query:boolean,list:boolean,want:boolean,cte:boolean>"
+_START = {"stack": lambda: F.array().cast(f"array<{_FRAME}>"), "query": lambda: F.lit(False), "list": lambda: F.lit(False),
+          "want": lambda: F.lit(False), "cte": lambda: F.lit(False), "first": lambda: F.lit(True), "prev": lambda: F.lit(""),
+          "open": lambda: F.lit(False), "tables": lambda: F.array().cast("array<string>"), "ctes": lambda: F.array().cast("array<string>"),
+          "head": lambda: F.lit(None).cast("string"), "set_word": lambda: F.lit(None).cast("string"), "change": lambda: F.lit(None).cast("string"),
+          "bad": lambda: F.lit(False), "done": lambda: F.array().cast("array<struct<blank:boolean,kind:string,tables:array<string>,ctes:array<string>>>")}
+
+
+def _finished(s: Column) -> Column:
+    kind = (F.when(s["head"].isNull(), F.lit(None).cast("string"))
+            .when(s["bad"] | (F.size(s["stack"]) > 0), F.lit("nesting"))
+            .when(~s["head"].isin("select", "with"), s["head"])
+            .when(s["set_word"].isNotNull(), s["set_word"])
+            .when(s["head"] == "with", s["change"]))
+    return F.struct(s["head"].isNull().alias("blank"), kind.alias("kind"), s["tables"].alias("tables"), s["ctes"].alias("ctes"))
+
+
+def _step(s: Column, x: Column) -> Column:
+    """The state after one token.
+
+    A frame is one bracket level. In it ``query`` says a SELECT was seen, ``list`` that a comma or JOIN starts another
+    source, ``want`` that the next name is a source and ``cte`` that names are being defined. A bracket where a source is
+    wanted is a source list of its own until a query starts in it, so a bracketed table is seen whatever else is in the bracket.
     """
-    bracketed = lambda t: t.rlike(r"\bjoin\b") & ~t.rlike(r"\bfrom\b") & ~t.rlike(r"^\s*(select|with|values)\b")
-    texts = F.transform(texts, lambda t: F.when(bracketed(t), F.concat(F.lit("from "), t)).otherwise(t))
-    bodies = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(FROM_BODY), F.lit(1))))
-    pieces = F.flatten(F.transform(bodies, lambda b: F.split(b, SOURCE_BREAK)))
-    items = F.transform(pieces, lambda x: F.trim(F.regexp_extract(x, FIRST_ITEM, 1)))
-    return F.transform(F.filter(items, lambda i: (i != "") & ~i.contains(SUB)), _bare)
+    t, k = x["t"], x["k"]
+    head = F.coalesce(s["head"], F.when(k.isin("word", "select", "with", "from", "join", "lateral", "end", "change", "table"), t).otherwise(F.lit("expression")))
+    outer = F.size(s["stack"]) == 0
+
+    def to(**new) -> Column:
+        new = {"first": F.lit(False), "prev": t, "open": F.lit(False), "head": head} | new
+        return F.struct(*[new.get(f, s[f]).alias(f) for f in _START])
+
+    frame = F.struct(s["query"].alias("query"), s["list"].alias("list"), F.lit(False).alias("want"), s["cte"].alias("cte"))
+    above = F.element_at(s["stack"], -1)
+    shorter = lambda c: F.slice(s[c], F.lit(1), F.size(s[c]) - 1)
+    added = lambda c: F.concat(s[c], F.array(t))
+    defined = s["cte"] & s["prev"].isin("with", "recursive", ",")
+    name = (F.when(s["want"], to(want=F.lit(False), open=F.lit(True), tables=added("tables")))
+            .when(s["open"] & (s["prev"] == "."), to(open=F.lit(True), tables=F.concat(shorter("tables"), F.array(t))))
+            .when(defined & ~((t == "recursive") & (k == "word")), to(ctes=added("ctes"), prev=F.lit("")))
+            .otherwise(to()))
+    starts = s["query"] | (s["first"] & ~outer) | (s["prev"] == "delete")
+    return (F.when(k == "(", to(stack=F.concat(s["stack"], F.array(frame)), query=F.lit(False), list=s["want"], cte=F.lit(False),
+                                first=F.lit(True), tables=F.when(s["open"], shorter("tables")).otherwise(s["tables"])))
+            .when((k == ")") & outer, to(bad=F.lit(True)))
+            .when(k == ")", to(stack=shorter("stack"), query=above["query"], list=above["list"], want=above["want"], cte=above["cte"]))
+            .when(k == ";", F.struct(*[(F.concat(s["done"], F.array(_finished(s))) if f == "done" else v()).alias(f) for f, v in _START.items()]))
+            .when(k == ",", to(want=s["list"]))
+            .when(k == ".", to(open=s["open"]))
+            .when(k == "select", to(query=F.lit(True), list=F.lit(False), want=F.lit(False), cte=F.lit(False)))
+            .when((k == "with") & s["first"], to(cte=F.lit(True), list=F.lit(False), want=F.lit(False)))
+            .when((k == "from") & starts & (s["prev"] != "distinct"), to(query=F.lit(True), list=F.lit(True), want=F.lit(True)))
+            .when((k == "join") & s["list"], to(want=F.lit(True)))
+            .when((k == "table") & s["first"], to(want=F.lit(True), list=F.lit(False)))
+            .when((k == "end") & ~s["want"] | (k == "end") & s["first"],
+                  to(list=F.lit(False), want=F.lit(False), set_word=F.coalesce(s["set_word"], F.when(outer & t.isin(*SET_WORDS), t))))
+            .when((k == "change") & outer & ~s["want"] & ~defined, to(change=F.coalesce(s["change"], t)))
+            .when((k == "lateral") & s["want"], to())
+            .when(k == "loose", to(bad=F.lit(True)))
+            .when(k.isin("other") | ((k == "literal") & ~s["want"]), to())
+            .otherwise(name))
 
 
 def audit_statements(sql: Column | str) -> Column:
-    """One struct per ``;``-separated statement: ``kind`` problem, referenced ``tables``, own ``ctes``."""
-    sql = F.col(sql) if isinstance(sql, str) else sql
+    """One struct per ``;``-separated statement: ``blank``, ``kind`` problem, referenced ``tables``, own ``ctes``.
 
-    def audit(u: Column) -> Column:
-        top = strip(u["top"])
-        word = F.regexp_extract(top, r"^\(?([\w§(]+)", 1)
-        kind = (F.when(top == "", F.lit(None).cast("string"))
-                .when(top.rlike(r"[()]"), F.lit("nesting"))
-                .when(~word.isin("select", "with"), F.when(word == "", F.lit("expression")).otherwise(word))
-                .when(top.rlike(SET_WORDS), F.regexp_extract(top, SET_WORDS, 1))
-                .when((word == "with") & top.rlike(CHANGE_WORDS), F.regexp_extract(top, CHANGE_WORDS, 1)))
-        texts = F.concat(F.array(u["top"]), u["parts"])
-        ctes = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(CTE_NAME), F.lit(1))))
-        return F.struct((top == "").alias("blank"), kind.alias("kind"), _sources(texts).alias("tables"),
-                        F.transform(ctes, _bare).alias("ctes"))
-
-    return F.transform(F.transform(F.split(_clean(sql), ";"), _unnest), audit)
+    One pass over the statement's tokens with a stack of brackets; the work is linear in the tokens but for the stack.
+    """
+    sql = F.col(sql) if isinstance(sql, str) else sql
+    start = F.struct(*[v().alias(f) for f, v in _START.items()])
+    return F.aggregate(_lexed(sql), start, _step, lambda s: F.concat(s["done"], F.array(_finished(s))))
 
 
 def statement_kind(statements: Column) -> Column:

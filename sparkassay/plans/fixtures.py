@@ -92,36 +92,74 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
 # Generated statements, one per order.
-STATEMENTS = """
-SELECT o_orderkey AS sid, CASE o_orderkey % 26
-    WHEN 0 THEN 'SELECT count(*) FROM orders WHERE o_custkey = ' || CAST(o_custkey AS STRING)
-    WHEN 1 THEN 'select c.c_name, o.o_orderkey from customer c join orders o on o.o_custkey = c.c_custkey'
-    WHEN 2 THEN 'WITH r AS (SELECT l_orderkey, sum(l_quantity) q FROM lineitem GROUP BY l_orderkey) SELECT * FROM r'
-    WHEN 3 THEN 'SELECT * FROM customer UNION SELECT * FROM customer'
-    WHEN 4 THEN 'DROP TABLE customer'
-    WHEN 5 THEN 'INSERT INTO orders VALUES (' || CAST(o_orderkey AS STRING) || ')'
-    WHEN 6 THEN 'UPDATE customer SET c_name = ' || chr(39) || 'x' || chr(39)
-    WHEN 7 THEN 'SELECT 1; DELETE FROM orders'
-    WHEN 8 THEN 'SELECT * FROM secrets_' || CAST(o_custkey % 5 AS STRING)
-    WHEN 9 THEN 'SELECT c.c_name FROM customer c JOIN stolen s ON c.c_custkey = s.id'
-    WHEN 10 THEN 'SELECT count(*) FROM customer;'
-    WHEN 11 THEN 'SELECT ' || chr(39) || 'from hidden; drop table t' || chr(39) || ' AS note FROM orders'
-    WHEN 12 THEN 'SELECT o_orderkey FROM orders -- join secret_table'
-    WHEN 13 THEN 'SELECT * FROM customer WHERE c_custkey IN (SELECT user_id FROM stolen_data)'
-    WHEN 14 THEN 'WITH x AS (SELECT * FROM vault) SELECT * FROM x'
-    WHEN 15 THEN 'SELECT extract(year FROM o_orderdate) y, count(*) FROM orders GROUP BY 1'
-    WHEN 16 THEN 'TRUNCATE orders'
-    WHEN 17 THEN '  '
-    WHEN 18 THEN 'SELECT * FROM main.orders, lineitem AS l WHERE o_orderkey = l_orderkey'
-    WHEN 19 THEN 'SELECT * FROM customer, admin_users u WHERE u.id = 1'
-    WHEN 20 THEN 'SELECT (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) m'
-    WHEN 21 THEN 'SELECT * FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders) t'
-    WHEN 22 THEN 'ALTER TABLE orders ADD COLUMN z INT; SELECT 1'
-    WHEN 23 THEN 'SELECT * FROM part /* from x */ WHERE p_size IS DISTINCT FROM 3'
-    WHEN 24 THEN 'WITH a AS (SELECT 1 k), b AS (SELECT * FROM a) SELECT * FROM b JOIN orders ON o_orderkey = k'
-    ELSE 'explain plan please'
-  END AS sql
-FROM {orders}
+# Each with what an audit must say of it: the problem of its kind, the first table outside the allow-list, and all
+# tables read. The last two are SQL expressions.
+STATEMENT_CASES: list[tuple[str, str | None, str | None, str | None]] = [
+    ("'SELECT count(*) FROM orders WHERE o_custkey = ' || CAST(o_custkey AS STRING)", None, None, "'orders'"),
+    ("'select c.c_name, o.o_orderkey from customer c join orders o on o.o_custkey = c.c_custkey'", None, None, "'customer,orders'"),
+    ("'WITH r AS (SELECT l_orderkey, sum(l_quantity) q FROM lineitem GROUP BY l_orderkey) SELECT * FROM r'", None, None, "'lineitem,r'"),
+    ("'SELECT * FROM customer UNION SELECT * FROM customer'", "union", None, "'customer'"),
+    ("'DROP TABLE customer'", "drop", None, None),
+    ("'INSERT INTO orders VALUES (' || CAST(o_orderkey AS STRING) || ')'", "insert", None, None),
+    ("'UPDATE customer SET c_name = ' || chr(39) || 'x' || chr(39)", "update", None, None),
+    ("'SELECT 1; DELETE FROM orders'", "delete", None, "'orders'"),
+    ("'SELECT * FROM secrets_' || CAST(o_custkey % 5 AS STRING)", None, "'secrets_' || CAST(o_custkey % 5 AS STRING)",
+     "'secrets_' || CAST(o_custkey % 5 AS STRING)"),
+    ("'SELECT c.c_name FROM customer c JOIN stolen s ON c.c_custkey = s.id'", None, "'stolen'", "'customer,stolen'"),
+    ("'SELECT count(*) FROM customer;'", None, None, "'customer'"),
+    ("'SELECT ' || chr(39) || 'from hidden; drop table t' || chr(39) || ' AS note FROM orders'", None, None, "'orders'"),
+    ("'SELECT o_orderkey FROM orders -- join secret_table'", None, None, "'orders'"),
+    ("'SELECT * FROM customer WHERE c_custkey IN (SELECT user_id FROM stolen_data)'", None, "'stolen_data'", "'customer,stolen_data'"),
+    ("'WITH x AS (SELECT * FROM vault) SELECT * FROM x'", None, "'vault'", "'vault,x'"),
+    ("'SELECT extract(year FROM o_orderdate) y, count(*) FROM orders GROUP BY 1'", None, None, "'orders'"),
+    ("'TRUNCATE orders'", "truncate", None, None),
+    ("'  '", None, None, None),
+    ("'SELECT * FROM main.orders, lineitem AS l WHERE o_orderkey = l_orderkey'", None, None, "'lineitem,orders'"),
+    ("'SELECT * FROM customer, admin_users u WHERE u.id = 1'", None, "'admin_users'", "'admin_users,customer'"),
+    ("'SELECT (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) m'", None, None, "'lineitem,orders'"),
+    ("'SELECT * FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders) t'", None, None, "'orders'"),
+    ("'ALTER TABLE orders ADD COLUMN z INT; SELECT 1'", "alter", None, None),
+    ("'SELECT * FROM part /* from x */ WHERE p_size IS DISTINCT FROM 3'", None, None, "'part'"),
+    ("'WITH a AS (SELECT 1 k), b AS (SELECT * FROM a) SELECT * FROM b JOIN orders ON o_orderkey = k'", None, None, "'a,b,orders'"),
+    ("'explain plan please'", "explain", None, None),
+    # Bracketed tables.
+    ("'SELECT * FROM (vault)'", None, "'vault'", "'vault'"),
+    ("'SELECT * FROM (vault_' || CAST(o_custkey % 3 AS STRING) || ') v'", None, "'vault_' || CAST(o_custkey % 3 AS STRING)",
+     "'vault_' || CAST(o_custkey % 3 AS STRING)"),
+    ("'SELECT * FROM orders, (vault)'", None, "'vault'", "'orders,vault'"),
+    ("'SELECT * FROM ((vault))'", None, "'vault'", "'vault'"),
+    ("'SELECT * FROM ((customer c JOIN orders o ON (c_custkey = o_custkey)) LEFT JOIN vault ON true)'", None, "'vault'", "'customer,orders,vault'"),
+    ("'SELECT * FROM orders WHERE o_orderkey IN (FROM vault)'", None, "'vault'", "'orders,vault'"),
+    ("'SELECT * FROM ' || chr(39) || 'vault.parquet' || chr(39)", None, "'vault.parquet'", "'vault.parquet'"),
+    # Literals that hold what looks like statements.
+    ("'SELECT $$ it; drop table x $$ FROM orders'", None, None, "'orders'"),
+    ("'SELECT $a$ from vault; $$ $a$ FROM orders'", None, None, "'orders'"),
+    ("'SELECT E' || chr(39) || 'it' || chr(92) || chr(39) || 's; drop' || chr(39) || ' FROM orders'", None, None, "'orders'"),
+    ("'SELECT ' || chr(39) || 'it' || chr(39) || chr(39) || 's from vault' || chr(39) || ' FROM \"part\" \"from\"'", None, None, "'part'"),
+    ("'SELECT * FROM range(10) r, lineitem l LEFT JOIN part USING (a, b), customer'", None, None, "'customer,lineitem,part'"),
+    ("'SELECT trim(both FROM c_name), (SELECT 1) FROM customer WHERE (c_custkey, 1) IN (VALUES (1, 1), (2, 2))'", None, None, "'customer'"),
+    ("'WITH RECURSIVE w(n) AS MATERIALIZED (SELECT 1), v AS (SELECT * FROM w) SELECT * FROM v; SELECT * FROM w'", None, "'w'", "'v,w'"),
+    ("'SELECT (1 FROM orders'", "nesting", None, None),
+    ("'SELECT 1) FROM orders'", "nesting", None, "'orders'"),
+    ("'(SELECT 1)'", "expression", None, None),
+]
+
+
+def _case(values: list[str | None], n: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v)
+    return f"CASE o_orderkey % {n} {whens} END"
+
+
+STATEMENTS = f"""
+SELECT o_orderkey AS sid, {_case([c[0] for c in STATEMENT_CASES], len(STATEMENT_CASES))} AS sql FROM {{orders}}
+"""
+
+# What is true of them.
+AUDITS = f"""
+SELECT o_orderkey AS sid, {_case([c[1] and f"'{c[1]}'" for c in STATEMENT_CASES], len(STATEMENT_CASES))} AS kind,
+  {_case([c[2] for c in STATEMENT_CASES], len(STATEMENT_CASES))} AS outside, {_case([c[3] for c in STATEMENT_CASES], len(STATEMENT_CASES))} AS tables,
+  o_orderkey % {len(STATEMENT_CASES)} = {[c[0] for c in STATEMENT_CASES].index("'  '")} AS blank
+FROM {{orders}}
 """
 
 # Raw model completions, one per event.

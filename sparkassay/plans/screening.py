@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions import screening as sc
 from sparkassay.functions.text import strip
-from sparkassay.plans.fixtures import SCREEN, STATEMENTS
+from sparkassay.plans.fixtures import AUDITS, SCREEN, STATEMENTS
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.text import o_strip
 
-S, ST = plain(SCREEN), plain(STATEMENTS)
+S = plain(SCREEN)
 PERSONA = ("len(list_filter(regexp_extract_all(t, '(?is)\\bact\\s+as\\s(.{0,8})', 1), "
            "lambda x: NOT regexp_matches(x, '(?i)^(sql|database|analyst)'))) > 0")
 
@@ -43,40 +43,8 @@ def q_check_input(wh):
     return wh.sql(SCREEN, spread=True).select("text_id", sc.check_input("text").alias("v")).select("text_id", "v.*")
 
 
-def _noise(x: str) -> str:
-    t = f"regexp_replace(lower({x}), '{sc.NOISE.replace(chr(39), chr(39) * 2)}', ' \\2 ', 'g')"
-    t = f"regexp_replace({t}, '{sc.FROM_IN_CALL}', ' 0 ', 'g')"
-    return f"regexp_replace({t}, '\\bdistinct\\s+from\\b', ' = ', 'g')"
-
-
-def o_audit(src: str) -> str:
-    """CTE list ending in ``audit(sid, n, top, word, kind, tables, ctes)``; parentheses unrolled four deep."""
-    bare = lambda x: f"""replace(regexp_extract({x}, '("[^"]*"|[^."]+)$', 1), '"', '')"""
-    peel = lambda i: (f"l{i} AS (SELECT sid, n, regexp_replace(top, '{sc.INNER}', ' § ', 'g') AS top, "
-                      f"list_concat(regexp_extract_all(top, '{sc.INNER}', 1), parts) AS parts FROM l{i - 1})")
-    return f"""st AS (SELECT sid, string_split({_noise(o_strip('sql'))}, ';') AS a FROM ({src})),
-    l0 AS (SELECT sid, n, a[n] AS top, []::VARCHAR[] AS parts FROM (SELECT sid, a, unnest(generate_series(1, len(a))) AS n FROM st)),
-    {peel(1)}, {peel(2)}, {peel(3)}, {peel(4)},
-    tx AS (SELECT sid, n, {o_strip('top')} AS top, regexp_extract({o_strip('top')}, '^\\(?([\\w§(]+)', 1) AS word,
-           list_concat([top], parts) AS texts FROM l4),
-    audit AS (SELECT sid, n, top,
-      CASE WHEN top = '' THEN NULL WHEN word NOT IN ('select', 'with') THEN (CASE WHEN word = '' THEN 'expression' ELSE word END)
-        WHEN regexp_matches(top, '{sc.SET_WORDS}') THEN regexp_extract(top, '{sc.SET_WORDS}', 1)
-        WHEN word = 'with' AND regexp_matches(top, '{sc.CHANGE_WORDS}') THEN regexp_extract(top, '{sc.CHANGE_WORDS}', 1) END AS kind,
-      list_transform(list_filter(list_transform(flatten(list_transform(flatten(list_transform(texts,
-        lambda t: regexp_extract_all(t, '{sc.FROM_BODY}', 1))), lambda b: string_split_regex(b, '{sc.SOURCE_BREAK}'))),
-        lambda x: trim(regexp_extract(x, '{sc.FIRST_ITEM}', 1))), lambda i: i <> '' AND NOT contains(i, '§')),
-        lambda i: {bare('i')}) AS tables,
-      list_transform(flatten(list_transform(texts, lambda t: regexp_extract_all(t, '{sc.CTE_NAME}', 1))), lambda i: {bare('i')}) AS ctes
-      FROM tx)"""
-
-
 ALLOW = ("customer", "orders", "lineitem", "part")
-O_VERDICT = f"""{o_audit(ST)},
-kinds AS (SELECT sid, bool_or(n = 1 AND top = '') AS none, first(kind ORDER BY n) FILTER (WHERE kind IS NOT NULL) AS kind FROM audit GROUP BY sid),
-outside AS (SELECT sid, first(t ORDER BY n, i) AS t FROM (
-  SELECT sid, n, i, x[i] AS t FROM (SELECT sid, n, x, unnest(generate_series(1, len(x))) AS i FROM (
-    SELECT sid, n, list_filter(tables, lambda t: NOT list_contains({list(ALLOW)}, t) AND NOT list_contains(ctes, t)) AS x FROM audit))) GROUP BY sid)"""
+O_AUDIT = plain(AUDITS)
 
 
 def statements(wh):
@@ -88,16 +56,14 @@ def allow():
 
 
 @query("audit_statement_kind", f"""
-WITH {O_VERDICT} SELECT sid, CASE WHEN none THEN 'parse_error' WHEN kind IS NOT NULL THEN 'disallowed_statement' END AS category,
-  CASE WHEN none THEN 'no statement' ELSE kind END AS reason FROM kinds""")
+SELECT sid, CASE WHEN blank THEN 'parse_error' WHEN kind IS NOT NULL THEN 'disallowed_statement' END AS category,
+  CASE WHEN blank THEN 'no statement' ELSE kind END AS reason FROM ({O_AUDIT})""")
 def q_audit_statement_kind(wh):
     verdict = F.transform(F.array(sc.audit_statements(strip("sql"))), sc.statement_kind)[0]
     return statements(wh).select("sid", verdict.alias("v")).select("sid", "v.*")
 
 
-@query("audit_table_scope", f"""
-WITH {O_VERDICT} SELECT sid, outside.t AS outside, list_aggregate(list_sort(list_distinct(flatten(tabs))), 'string_agg', ',') AS tables
-FROM (SELECT sid, list(tables ORDER BY n) AS tabs FROM audit GROUP BY sid) LEFT JOIN outside USING (sid)""")
+@query("audit_table_scope", f"SELECT sid, outside, tables FROM ({O_AUDIT})")
 def q_audit_table_scope(wh):
     facts = F.transform(F.array(sc.audit_statements(strip("sql"))), lambda a: F.struct(
         sc.table_scope(a, allow()).alias("outside"),
@@ -106,10 +72,9 @@ def q_audit_table_scope(wh):
 
 
 @query("check_output", f"""
-WITH {O_VERDICT}, v AS (SELECT s.sid, CASE WHEN {o_strip('sql')} = '' THEN 'empty_output' WHEN none THEN 'parse_error'
-    WHEN kind IS NOT NULL THEN 'disallowed_statement' WHEN t IS NOT NULL THEN 'schema_violation' END AS category, none, kind, t
-  FROM ({ST}) s JOIN kinds USING (sid) LEFT JOIN outside USING (sid))
 SELECT sid, category IS NULL AS passed, category, CASE category WHEN 'empty_output' THEN 'blank statement'
-  WHEN 'parse_error' THEN 'no statement' WHEN 'disallowed_statement' THEN kind WHEN 'schema_violation' THEN t END AS reason FROM v""")
+  WHEN 'disallowed_statement' THEN kind WHEN 'schema_violation' THEN outside END AS reason
+FROM (SELECT *, CASE WHEN blank THEN 'empty_output' WHEN kind IS NOT NULL THEN 'disallowed_statement'
+    WHEN outside IS NOT NULL THEN 'schema_violation' END AS category FROM ({O_AUDIT}))""")
 def q_check_output(wh):
     return statements(wh).select("sid", sc.check_output("sql", allow()).alias("v")).select("sid", "v.*")

@@ -84,3 +84,37 @@ def test_deep_nesting_is_accepted(spark):
 @pytest.mark.parametrize("sql,tables", [("SELECT * FROM a JOIN b ON 1=1", ["a", "b"]), ("SELECT 1", []), ("SELECT * FROM a, a", ["a"])])
 def test_referenced_tables(spark, sql, tables):
     assert spark.createDataFrame([(sql,)], "s string").select(sc.referenced_tables("s")).first()[0] == tables
+
+
+BRACKETED = {"SELECT * FROM (vault)": ["vault"], "SELECT * FROM (vault) v": ["vault"], "SELECT * FROM orders, (vault)": ["orders", "vault"],
+             "SELECT * FROM ((vault))": ["vault"], "SELECT * FROM (orders o JOIN (products) p ON (o.a = p.b), vault)": ["orders", "products", "vault"],
+             "SELECT * FROM (FROM vault)": ["vault"], "SELECT 1 WHERE 1 IN (TABLE vault)": ["vault"], "SELECT * FROM 'x/vault.csv'": ["x/vault.csv"],
+             "SELECT * FROM (VALUES (1), (2)) t(a), vault": ["vault"], "SELECT * FROM orders o LEFT JOIN LATERAL (SELECT * FROM vault) v ON true": ["orders", "vault"],
+             'SELECT * FROM a."b.c"."Vault"': ["vault"], "SELECT f(a, b FROM c) FROM unnest([1, 2]) u, orders": ["orders"],
+             "SELECT count(*) FILTER (WHERE a IN (SELECT b FROM vault)) FROM orders": ["vault", "orders"]}
+QUOTED = ["SELECT $$ a; drop table x $$", "SELECT $q$ ' $$ ; from vault $q$ FROM orders", r"SELECT E'it\'s; drop' FROM orders",
+          "SELECT 'it''s; drop table x' FROM orders", 'SELECT "from" FROM orders', "SELECT 1 -- it's\n FROM orders", "SELECT /* ' ; */ 1"]
+
+
+def test_bracketed_sources_are_found(spark):
+    df = spark.createDataFrame([(k,) for k in BRACKETED], "t string").select("t", sc.referenced_tables("t").alias("v"))
+    assert {r.t: r.v for r in df.collect()} == BRACKETED
+
+
+def test_quoted_text_is_no_statement(spark):
+    assert judge(spark, QUOTED, sc.check_output) == [None] * len(QUOTED)
+    loose = ["SELECT 'open; drop table x", "SELECT (1", "SELECT 1)", 'SELECT "a FROM orders']
+    assert judge(spark, loose, sc.check_output) == ["disallowed_statement"] * len(loose)
+
+
+def test_long_statements_stay_linear(spark):
+    import time
+
+    def seconds(n):
+        sql = "SELECT " + ", ".join(f"(a{i} + 'x''y')" for i in range(n)) + " FROM orders"
+        begin = time.perf_counter()
+        assert judge(spark, [sql], sc.check_output) == [None]
+        return time.perf_counter() - begin
+
+    seconds(10)
+    assert seconds(4000) < 30
