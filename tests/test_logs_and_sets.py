@@ -209,8 +209,12 @@ def test_shared_folder_is_read_or_made_once():
     from sparkassay.session import shared_dir
 
     def session(value, app):
-        return NS(conf=NS(get=lambda k, d: value), sparkContext=NS(applicationId=app))
+        return NS(conf=NS(get=lambda k, d: value), sparkContext=NS(applicationId=app, master="local[2]"))
 
     assert shared_dir(session("/shared/x/", "a")) == "/shared/x"
     first = shared_dir(session(None, "b"))
     assert first and shared_dir(session(None, "b")) == first != shared_dir(session(None, "c"))
+    on_cluster = session(None, "d")
+    on_cluster.sparkContext.master = "spark://host:1"
+    with pytest.raises(ValueError):
+        shared_dir(on_cluster)
