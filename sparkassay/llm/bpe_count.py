@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,12 +57,16 @@ def text_counter(vocab: str, memo_words: int = MEMO_WORDS):
     """``count(text) -> int`` for a word-end byte-pair vocabulary file.
 
     Special strings inside a text count one token each, as the library's default has it; what stands between them
-    is composed (NFC), lower-cased letter by letter, cut into pieces and merged piece by piece.
+    is normalised, cut into pieces and merged piece by piece. ASCII parts are cut here; others by the library's own
+    normaliser and pre-tokenizer, whose character classes and cases are not Python's.
     """
 
     def make():
         import regex
+        from tokenizers import Tokenizer
 
+        tokenizer = Tokenizer.from_file(vocabulary_path(vocab))
+        normal, cut_other = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         with open(vocabulary_path(vocab), encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"]["end_of_word_suffix"]
@@ -82,16 +85,19 @@ def text_counter(vocab: str, memo_words: int = MEMO_WORDS):
                 found = self[key] = self.work(key)
                 return found
 
-        def piece(p: str) -> int:
-            symbols = [letters[b] for b in p.encode("utf-8")]
+        def lettered(p: str) -> int:
+            """A piece whose bytes are already letters."""
+            symbols = list(p)
             symbols[-1] += suffix
             return count_merged(symbols, ranks)
 
-        pieces = Memo(piece)
+        others = Memo(lettered)
+        pieces = Memo(lambda p: lettered("".join([letters[b] for b in p.encode("utf-8")])))
 
         def part(s: str) -> int:
-            s = s.lower() if s.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", s)])
-            return sum([pieces[p] for p in cut.findall(s)])
+            if s.isascii():
+                return sum([pieces[p] for p in cut.findall(s.lower())])
+            return sum([others[p] for p, _ in cut_other(normal(s)) if p])
 
         def word(w: str) -> int:
             if "<" not in w:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import unicodedata
 
 from sparkassay.llm.bpe_count import PIECES, byte_letters
 from sparkassay.llm.worker import vocabulary_path, worker_cache
@@ -16,9 +15,9 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
     """``encode(text) -> bytes``: all ids of the text as little-endian unsigned 32-bit integers, no special tokens added.
 
     The normaliser and pre-tokenizer of a word-end vocabulary never join or inspect characters across white space,
-    so a text's ids are those of its parts between plain spaces and line feeds. A part is normalised and cut as the
-    vocabulary file says, and each distinct piece goes to the library's model once. A part that may hold a special
-    string goes through the library whole.
+    so a text's ids are those of its parts between plain spaces and line feeds. An ASCII part is lower-cased and cut as
+    the vocabulary file says, and each distinct piece goes to the library's model once. A part with other characters,
+    whose classes and cases are the library's own, or one that may hold a special string, goes through the library whole.
     """
 
     def make():
@@ -49,12 +48,11 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
         pieces = Memo(piece)
 
         def word(w: str) -> bytes:
-            if "<" in w:
+            if "<" in w or not w.isascii():
                 return little(tokenizer.encode(w, add_special_tokens=False).ids)
-            if w.isascii() and w.isalpha():
+            if w.isalpha():
                 return pieces[w.lower()]
-            w = w.lower() if w.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", w)])
-            return b"".join([pieces[p] for p in cut.findall(w)])
+            return b"".join([pieces[p] for p in cut.findall(w.lower())])
 
         return Memo(word)
 

@@ -98,3 +98,26 @@ def test_plan_of_plain_histograms(histogram):
         for n in lengths:
             held[n] += many
     assert held == Counter(histogram)
+
+
+def test_ids_and_counts_of_every_code_point(ids):
+    """Inside a word and between signs; the library's character classes and cases are not Python's."""
+    from sparkassay.llm.wordids import word_encoder
+
+    encode, count = word_encoder(VOCAB), bpe_count.text_counter(VOCAB)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 61 == 0)]
+    for k in range(0, len(points), 40):
+        text = " ".join(f"a{chr(c)}b !{chr(c)}!" for c in points[k:k + 40])
+        want = ids(text)
+        assert np.frombuffer(encode(text), "<u4").tolist() == want and count(text) == len(want), hex(points[k])
+
+
+def test_ids_and_counts_of_random_mixed_texts(ids):
+    from sparkassay.llm.wordids import word_encoder
+
+    encode, count, r = word_encoder(VOCAB), bpe_count.text_counter(VOCAB), random.Random(21)
+    kinds = [lambda: r.randrange(1, 0x300), lambda: r.randrange(32, 127), lambda: 32, lambda: 10, lambda: r.randrange(0x300, 0xD800), lambda: 0x301]
+    for _ in range(4000):
+        text = "".join(chr(r.choice(kinds)()) for _ in range(r.randint(1, 30)))
+        want = ids(text)
+        assert np.frombuffer(encode(text), "<u4").tolist() == want and count(text) == len(want), text
