@@ -84,7 +84,8 @@ def stored_vectors(embeddings: DataFrame, id_col: str, vector: str, label: str)
                 b = None if v is None else v.tobytes()
                 data.append(b)
                 dims.append(None if v is None else len(v))
-                keys.append(None if b is None else hashlib.blake2b(b, digest_size=16, key=str(tag).encode()[:64]).digest())
+                name = b"" if b is None else str(tag).encode("utf-8", "surrogatepass")
+                keys.append(None if b is None else hashlib.blake2b(len(name).to_bytes(8, "little") + name + b, digest_size=16).digest())
             yield pa.record_batch([batch.column(0), pa.array(labels, pa.string()), pa.array(dims, pa.int32()),
                                    pa.array(data, pa.binary()), pa.array(keys, pa.binary())], names=["id", "label", "dim", "v", "k"])
 

@@ -80,17 +80,8 @@ def test_alignment_matches_every_pair_compared(spark, libraries, block_links):
     assert len({w[6] for w in want}) > 100
 
 
-def test_parts_encode_as_the_libraries_do(libraries, texts):
-    pair = alignment.encode_part(BYTE_VOCABULARY, PIECE_MODEL)
-    latin = "".join(map(chr, range(1, 0x250))).replace("\n", " ") + " it's we'll I'D 'tis a1b2 (c3)"
-    for text in [latin, " ".join(latin), *(t[:3000] for t in texts if t)]:
-        parts = alignment.parts_of(text)
-        assert "".join(parts) == " " + text
-        (a, _), (b, bytes_b) = libraries(text)
-        ids = [pair.ids(p) for p in parts]
-        assert [i for x, _ in ids for i in x] == a
-        if b"".join(bytes_b) == (" " + text).encode():
-            assert [i for _, y in ids for i in y] == b
+def test_groups_of_texts_are_bounded():
+    assert list(alignment.in_groups([3, 4, 9, 1, 1, 0], 7)) == [(0, 2), (2, 3), (3, 6)] and list(alignment.in_groups([])) == []
 
 
 def test_align_jumps_runs_and_settles_groups():
@@ -98,12 +89,12 @@ def test_align_jumps_runs_and_settles_groups():
     for _ in range(300):
         last = r.randint(1, 120)
         a, b = (np.array(sorted({last, *(r.randint(1, last) for _ in range(r.randint(0, last)))})) for _ in range(2))
-        stretches, at_a, at_b = alignment.align(a.tolist(), b.tolist())
+        stretches, at_a, at_b = alignment.align(a, b)
         ends = sorted(set(a.tolist()) | set(b.tolist()))
         assert at_a == np.searchsorted(a, ends).tolist() and at_b == np.searchsorted(b, ends).tolist()
         groups = [e for i, to_i, _, _, plain in stretches for e in (a[i:to_i].tolist() if plain else [int(a[to_i - 1])])]
         assert groups == sorted(set(a.tolist()) & set(b.tolist()))
-    long = list(range(1, 5000))
+    long = np.arange(1, 5000)
     assert alignment.align(long, long)[0] == [(0, 4999, 0, 4999, True)]
 
 

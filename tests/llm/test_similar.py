@@ -231,3 +231,10 @@ def test_hits_held_at_a_time_change_nothing(monkeypatch):
         monkeypatch.setattr(decontam, "HITS", size)
         monkeypatch.setattr(decontam, "CELLS", 10 * size)
         assert find() == whole
+
+
+def test_long_labels_are_told_apart(spark):
+    long = "l" * 70
+    rows = [(1, long + "a", [1.0, 0.0]), (2, long + "b", [1.0, 0.0]), (3, long + "b", [2.0, 0.0])]
+    got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (0, 1), 2: (1, 2), 3: (1, 2)}
