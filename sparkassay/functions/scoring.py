@@ -96,8 +96,19 @@ def score_maps(card: DataFrame, run: list[str], metric: str = "accuracy") -> Dat
     ).withColumn("scores", F.transform_values("_m", lambda k, v: F.create_map(F.lit(metric), v))).drop("_m")
 
 
-# Score name -> the function that produces its values, for callers that choose scorers by name.
+# Score name -> the function that produces its values and the columns it reads.
 SCORERS = {
-    "retrieval_recall": table_recall_substring, "recall_at_k": recall_at_k, "phrase_recall": phrase_recall,
-    "keyword_quality": keyword_quality, "data_present": data_present, "faithfulness": diagnostic_faithfulness,
+    "retrieval_recall": (table_recall_substring, ("golden_sql", "retrieved_defs")),
+    "recall_at_k": (recall_at_k, ("retrieved", "required")),
+    "phrase_recall": (phrase_recall, ("texts", "phrases")),
+    "data_present": (lambda text: data_present(text).cast("double"), ("answer",)),
 }
+
+
+def score_by_name(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``*keys, scorer, value``: the named scores of every row, one pass over the rows; an unknown name is an error."""
+    unknown = sorted(set(names) - set(SCORERS))
+    if unknown:
+        raise ValueError(f"unknown scorers {unknown}")
+    values = [F.struct(F.lit(n).alias("scorer"), SCORERS[n][0](*[F.col(c) for c in SCORERS[n][1]]).cast("double").alias("value")) for n in names]
+    return rows.select(*keys, F.inline(F.array(*values)))

@@ -39,14 +39,15 @@ def shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def split_train_holdout(df: DataFrame, key: str, train_share: float, seed: int = 42, at_least: int = 0,
+def split_train_holdout(df: DataFrame, key: str | list[str], train_share: float, seed: int = 42, at_least: int = 0,
                         digits: int = 4) -> DataFrame:
-    """Exact share split in a seeded pseudo-random order of a unique key; adds ``split``.
+    """Exact share split in a seeded pseudo-random order of a unique key of one or more columns; adds ``split``.
 
     The order is never materialised. Counts per digest prefix (at most 16 ** digits rows) show which prefix the cut
     falls into; every other row is decided by its prefix alone and only that prefix's rows are ranked.
     """
-    keyed = df.withColumn("_h", shuffle_key(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, digits))
+    keys = [key] if isinstance(key, str) else list(key)
+    keyed = df.withColumn("_h", shuffle_key(F.concat_ws(":", *keys), seed)).withColumn("_p", F.substring("_h", 1, digits))
     sizes = keyed.groupBy("_p").agg(F.count("*").alias("_c"))
     running = sizes.select("_p", "_c", F.sum("_c").over(Window.orderBy("_p")).alias("_to"))
     n = running.agg(F.coalesce(F.max("_to"), F.lit(0))).scalar()
@@ -59,13 +60,13 @@ def split_train_holdout(df: DataFrame, key: str, train_share: float, seed: int =
     on_edge = F.col("_p") == edge["_p"]
     decided = keyed.filter(~on_edge).withColumn(
         "split", F.when(F.col("_p") < edge["_p"], F.lit("train")).otherwise(F.lit("holdout")))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *keys))
     ranked = keyed.filter(on_edge).withColumn(
         "split", F.when(rank <= edge["take"], F.lit("train")).otherwise(F.lit("holdout")))
     return decided.unionByName(ranked).drop("_h", "_p")
 
 
-def combine_dedup(pairs: DataFrame, source: str = "src", pos: str = "pos", question: str = "question",
+def combine_dedup(pairs: DataFrame, source: str = "src", pos: str | list[str] = "pos", question: str = "question",
                   exclude: list[int] | None = None) -> DataFrame:
     """Union of sources with the first occurrence of every question text kept (source order, then position).
 
@@ -75,7 +76,7 @@ def combine_dedup(pairs: DataFrame, source: str = "src", pos: str = "pos", quest
     if exclude:
         pairs = pairs.filter(~F.col(source).isin(exclude))
     rest = [c for c in pairs.columns if c != question]
-    first = pairs.groupBy(question).agg(F.min_by(F.struct(*rest), F.struct(source, pos)).alias("_r"))
+    first = pairs.groupBy(question).agg(F.min_by(F.struct(*rest), F.struct(source, *([pos] if isinstance(pos, str) else pos))).alias("_r"))
     return first.select(question, "_r.*")
 
 

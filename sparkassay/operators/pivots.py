@@ -123,21 +123,29 @@ def _met(visits: DataFrame, blocks: DataFrame, schema, work) -> DataFrame:
     return blocks.join(visits, "cell").select("cell", "lo", "hi", "n", "q_block", "i_block").mapInPandas(run, schema)
 
 
+def fitted_pivots(items: Side, cells: int | None = None, seed: int = 7) -> np.ndarray | None:
+    """Pivots for the items: about the square root of their number, as far as ``PIVOT_BYTES`` allows. None without vectors."""
+    sample, n = sampled(items)
+    if not len(sample):
+        return None
+    most = max(1, PIVOT_BYTES // (8 * sample.shape[1]))
+    return centres_of(sample, min(cells or max(1, min(int(n ** 0.5), n // 64)), most, len(sample)), np.random.default_rng(seed))
+
+
 class PivotSearch:
-    """The cells of the items, and what queries meet of them."""
+    """The cells of the items, and what queries meet of them. ``placed`` gives pivots and stored blocks where they exist."""
 
-    def __init__(self, queries: Side, items: Side, kernel: Kernel, k: int, cells: int | None = None, seed: int = 7):
+    def __init__(self, queries: Side, items: Side, kernel: Kernel, k: int, cells: int | None = None,
+                 placed: tuple[np.ndarray | None, DataFrame | None] | None = None):
         self.kernel, self.k = kernel, k
         self.asked = queries.narrow("q").filter(F.col("q_0").isNotNull())
         self.schema = T.StructType([T.StructField("q_id", queries.df.schema[queries.key].dataType),
                                     T.StructField("i_id", items.df.schema[items.key].dataType), T.StructField("score", T.DoubleType())])
-        sample, n = sampled(items)
-        if not len(sample):
-            self.pivots = None
+        self.pivots, self.blocks = placed or (fitted_pivots(items, cells), None)
+        if self.pivots is None:
             return
-        most = max(1, PIVOT_BYTES // (8 * sample.shape[1]))
-        self.pivots = centres_of(sample, min(cells or max(1, min(int(n ** 0.5), n // 64)), most, len(sample)), np.random.default_rng(seed))
-        self.blocks = item_blocks(place_items(items, self.pivots))
+        if self.blocks is None:
+            self.blocks = item_blocks(place_items(items, self.pivots))
         # One row per pivot.
         self.cells = self.blocks.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).toPandas()
 

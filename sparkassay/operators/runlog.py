@@ -51,13 +51,16 @@ def fold_attempts(log: DataFrame, q: str, max_retries: int = MAX_RETRIES) -> Dat
         upto("_p").alias("prompt_tokens"), upto("_c").alias("completion_tokens"), upto("_k").alias("cost"))
 
 
-def tool_trace(calls: DataFrame, q: str, sql_value: Column, max_rounds: int = MAX_TOOL_ROUNDS) -> DataFrame:
-    """Per question: number of calls, tools used, last database statement, rounds, and whether the cap was hit."""
+def tool_trace(calls: DataFrame, q: str, sql_value: Column, max_rounds: int = MAX_TOOL_ROUNDS, call: str = "call") -> DataFrame:
+    """Per question: number of calls, tools used, last database statement, rounds, and whether the cap was hit.
+
+    A round (``iteration``) may make several calls; ``call`` numbers them in it.
+    """
     is_db = F.col("tool") == "query_database"
     return calls.groupBy(q).agg(
         F.count("*").alias("n_calls"),
         F.array_join(F.sort_array(F.collect_set("tool")), ",").alias("tools"),
-        F.max_by(F.when(is_db, sql_value), F.when(is_db & sql_value.isNotNull(), F.col("iteration"))).alias("last_sql"),
+        F.max_by(F.when(is_db, sql_value), F.when(is_db & sql_value.isNotNull(), F.struct("iteration", call))).alias("last_sql"),
         F.max("iteration").alias("iterations"),
         F.when(F.max("iteration") >= max_rounds, F.lit(NO_ANSWER)).alias("note"))
 
@@ -150,18 +153,6 @@ def gate_verdict(gated: DataFrame, run: str) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(F.when(~F.col("passed"), F.col("scorer")))), ",").alias("failures"))
 
 
-def config_recall(hits: DataFrame, required: DataFrame, q: str, item: str, ks: list[int], configs: list[str]) -> DataFrame:
-    """Recall of every configuration and cut-off from one ranked list per configuration.
-
-    Ranks are computed once at the largest k; a cut-off is a condition on the rank. ``required`` holds one row per
-    (question, needed item).
-    """
-    found = required.join(hits, [q, item], "left")
-    per_question = found.groupBy(*configs, q).agg(*[
-        F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks], F.count("*").alias("needed"))
-    return per_question
-
-
 def rank_configs(table: DataFrame) -> DataFrame:
     """Best first: recall, perfect share, then fastest; ``table`` is one row per configuration."""
     return table.orderBy(F.desc("recall"), F.desc("perfect_recall"), "avg_query_time", "config")

@@ -49,6 +49,8 @@ Far = Callable[[Side, Side, Kernel, int, "int | None"], DataFrame]
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per column, row positions of the k best non-NaN scores, best first; ties go to the smaller id."""
+    # Text ids are ordered by code point, as the engine orders them.
+    ids = ids.astype(str) if ids.dtype == object else ids
     s = np.where(np.isnan(scores), -np.inf, scores).T
     keep = s > -np.inf
     if s.shape[1] > k:

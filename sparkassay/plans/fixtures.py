@@ -56,9 +56,9 @@ SELECT -item_id - 1 AS qid, 'zzqxv wwkjx ' || CAST(item_id + 900000 AS STRING) A
 
 # Texts to screen: conversation turns, and one templated text per customer.
 SCREEN = """
-SELECT conv_id * 1000 + turn AS text_id, text FROM {conversations}
+SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS text_id, text FROM {conversations}
 UNION ALL
-SELECT 1000000000 + c_custkey AS text_id, CASE c_custkey % 28
+SELECT 'customer ' || CAST(c_custkey AS STRING) AS text_id, CASE c_custkey % 28
     WHEN 0 THEN 'How many orders did ' || c_name || ' place?'
     WHEN 1 THEN 'please drop  table customers now'
     WHEN 2 THEN 'DROP DATABASE sales'
@@ -196,9 +196,9 @@ SELECT event_id AS cid, CASE event_id % 7
 FROM {events}
 """
 
-# Tool calls, one per event, grouped into questions of up to eight calls.
+# Tool calls, one per event, grouped into questions of up to four rounds of two calls.
 TOOL_CALLS = """
-SELECT event_id - event_id % 8 AS qid, event_id % 8 + 1 AS iteration,
+SELECT event_id - event_id % 8 AS qid, CAST(floor((event_id % 8) / 2) AS INT) + 1 AS iteration, event_id % 2 AS call,
   CASE event_id % 4 WHEN 0 THEN 'query_database' WHEN 1 THEN 'search_knowledge_base'
     WHEN 2 THEN 'get_schema' ELSE (CASE WHEN user_id % 2 = 0 THEN 'query_database' ELSE 'send_mail' END) END AS tool,
   CASE WHEN event_id % 11 = 0 THEN '{"sql": "SELECT 1'
@@ -284,13 +284,13 @@ SELECT o_orderkey AS qid, 'Question ' || CAST(o_orderkey AS STRING) || ' about '
 FROM {orders}
 """
 
-# Question and answer pairs with repeats, in arrival order; src 1 = conversations, src 2 = benchmark passages.
+# Question and answer pairs with repeats, in order of (src, pos, turn); src 1 = conversations, src 2 = benchmark passages.
 PAIRS = """
-SELECT 1 AS src, conv_id * 1000 + turn AS pos, CASE WHEN conv_id % 3 = 0 THEN 'repeated question ' || CAST(conv_id % 7 AS STRING)
+SELECT 1 AS src, conv_id AS pos, turn, CASE WHEN conv_id % 3 = 0 THEN 'repeated question ' || CAST(conv_id % 7 AS STRING)
     ELSE text END AS question, '  SELECT ' || CAST(turn AS STRING) || ' FROM events ' AS sql
 FROM {conversations} WHERE role = 'user'
 UNION ALL
-SELECT 2 AS src, item_id AS pos, text AS question, 'SELECT ' || CAST(item_id AS STRING) AS sql FROM {benchmark}
+SELECT 2 AS src, item_id AS pos, 0 AS turn, text AS question, 'SELECT ' || CAST(item_id AS STRING) AS sql FROM {benchmark}
 UNION ALL
-SELECT 3 AS src, item_id AS pos, text AS question, 'SELECT 0' AS sql FROM {benchmark}
+SELECT 3 AS src, item_id AS pos, 0 AS turn, text AS question, 'SELECT 0' AS sql FROM {benchmark}
 """

@@ -41,20 +41,32 @@ def event_stream(wh):
 CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)"
 
 
+STRATEGY = "CASE event_id % 4 WHEN 0 THEN 'zero_shot' WHEN 1 THEN 'few_shot_dynamic' WHEN 2 THEN 'rag' ELSE 'tool_use' END"
+
+
 def o_windows(size_h: int, slide_h: int) -> str:
+    """All windows, open ones too."""
     offsets = ", ".join(f"({i})" for i in range(size_h // slide_h))
-    return f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total
-    FROM (SELECT event_type, CAST(value AS DECIMAL(12,2)) AS v,
+    return f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strategy, count(*) AS n,
+      round(CAST(sum(v) AS DOUBLE) / count(*), 6) AS mean_cost, round(CAST(sum(l) AS DOUBLE) / count(*), 6) AS mean_latency
+    FROM (SELECT {STRATEGY} AS strategy, CAST(value AS DECIMAL(12,2)) AS v, event_id % 97 AS l,
             time_bucket(INTERVAL {slide_h} HOUR, ts, TIMESTAMP '1970-01-01') - o * INTERVAL {slide_h} HOUR AS w
-          FROM events CROSS JOIN (VALUES {offsets}) t(o))
-    WHERE w + INTERVAL {size_h} HOUR <= {CLOSED} GROUP BY ALL"""
+          FROM events CROSS JOIN (VALUES {offsets}) t(o) WHERE event_type NOT IN ('signup', 'click', 'view', 'error'))
+    GROUP BY ALL"""
+
+
+def event_kind():
+    return (F.when(F.col("event_type") == "signup", "start").when(F.col("event_type").isin("click", "view"), "sql_token")
+            .when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "error").otherwise("retry")).otherwise("done"))
 
 
 def metrics(wh, label, size, slide=None):
-    rows = event_stream(wh).withColumn("value", F.col("value").cast("decimal(12,2)"))
-    out = streams.drain_to_table(streams.windowed_metrics(rows, "ts", "event_type", "value", "2 hours", size, slide), label)
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n",
-                      F.col("total").cast("double").alias("total"))
+    rows = event_stream(wh).select("ts", event_kind().alias("kind"), F.expr(STRATEGY).alias("strategy"),
+                                   F.col("value").cast("decimal(12,2)").alias("cost"), (F.col("event_id") % 97).alias("latency"))
+    stream = streams.windowed_metrics(rows, "ts", "strategy", "cost", "latency", "2 hours", size, slide)
+    out = streams.drain_updates(stream, label, ["window_start", "strategy"])
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "strategy", "n",
+                      F.round("mean_cost", 6).alias("mean_cost"), F.round("mean_latency", 6).alias("mean_latency"))
 
 
 @query("stream_run_metrics", o_windows(6, 6))
@@ -74,10 +86,8 @@ SELECT request_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) A
   coalesce(string_agg(content, '' ORDER BY ts, event_id) FILTER (WHERE kind = 'sql_token'), '') AS sql_text
 FROM s GROUP BY request_id, burst HAVING max(ts) + INTERVAL 3 HOUR <= {CLOSED}""")
 def q_stream_fold_events(wh):
-    kind = (F.when(F.col("event_type") == "signup", "start").when(F.col("event_type").isin("click", "view"), "sql_token")
-            .when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "error").otherwise("retry")).otherwise("done"))
     content = F.when(F.col("event_type").isin("click", "view"), F.format_string("tok%d ", "event_id"))
-    rows = event_stream(wh).select(F.col("user_id").alias("request_id"), "ts", "event_id", kind.alias("kind"), content.alias("content"))
+    rows = event_stream(wh).select(F.col("user_id").alias("request_id"), "ts", "event_id", event_kind().alias("kind"), content.alias("content"))
     out = streams.drain_to_table(streams.session_fold(rows, "request_id", "ts", "event_id", "3 hours", "2 hours"), "bursts")
     return out.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 

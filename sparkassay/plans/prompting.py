@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkassay.operators import prompts, selection
+from sparkassay.operators import prompts, selection, strategies
 from sparkassay.operators.features import hash_embed
 from sparkassay.operators.relational import attach
-from sparkassay.plans.fixtures import ATTEMPTS, QUESTIONS
+from sparkassay.operators.retrieval import STRATEGIES
+from sparkassay.plans.fixtures import ATTEMPTS, CATALOG, CATALOG_QUESTIONS, QUESTIONS
 from sparkassay.plans.registry import plain, query
-from sparkassay.plans.retrieval import o_rank
+from sparkassay.plans.retrieval import CI, CQ, O_LINK, o_rank
 from sparkassay.plans.text import o_strip, o_vectors
 
 Q, A = plain(QUESTIONS), plain(ATTEMPTS)
@@ -17,8 +19,10 @@ NL2 = "chr(10) || chr(10)"
 HEAD = f"'{prompts.EXAMPLES_HEADER}' || {NL2}"
 FOOT = f"{NL2} || '---' || chr(10)"
 
+SCHEMA_ALL = "all tables"
+
 # Example pool: user turns with a statement each.
-POOL = """SELECT conv_id * 1000 + turn AS ex_id, text, 'SELECT ' || CAST(turn AS STRING) || ' FROM t' AS sql
+POOL = """SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS ex_id, text, 'SELECT ' || CAST(turn AS STRING) || ' FROM t' AS sql
 FROM {conversations} WHERE role = 'user'"""
 O_PICKED = f"""pool AS ({plain(POOL)}), {o_vectors('SELECT ex_id, text FROM pool', 'ex_id', name='pv')},
 {o_vectors('SELECT item_id AS qid, text FROM benchmark', 'qid', name='bv')},
@@ -42,6 +46,42 @@ def q_fewshot_block(wh):
     return blocks(wh)
 
 
+ALL_STRATEGIES = f"element_at(array({', '.join(repr(s) for s in STRATEGIES)}), CAST(qid % {len(STRATEGIES)} AS INT) + 1)"
+O_ALL = f"list_extract([{', '.join(repr(s) for s in STRATEGIES)}], CAST(qid % {len(STRATEGIES)} AS INT) + 1)"
+O_TABLES = "'Database schema' || chr(10) || chr(10) || 'Tables:' || chr(10) || string_agg('  ' || text, chr(10) ORDER BY rank)"
+
+
+O_DYNAMIC = "SELECT qid, text FROM asked WHERE strategy = 'few_shot_dynamic'"
+O_NEAR = o_rank(f"""SELECT a.qid, pool.ex_id, round(coalesce(s, 0), 6) AS score FROM ({O_DYNAMIC}) a JOIN pool ON a.text <> pool.text
+  LEFT JOIN (SELECT qid, ex_id, sum(av.w * pv.w) AS s FROM av JOIN pv USING (b) GROUP BY ALL) d ON d.qid = a.qid AND d.ex_id = pool.ex_id""",
+                3, "qid", "ex_id")
+
+
+@query("strategy_prompts", f"""
+WITH {O_LINK}, asked AS (SELECT qid, text, {O_ALL} AS strategy FROM ({CQ})), pool AS ({plain(POOL)}),
+{o_vectors('SELECT ex_id, text FROM pool', 'ex_id', name='pv')}, {o_vectors(O_DYNAMIC, 'qid', name='av')},
+near AS ({O_NEAR}),
+fixed AS (SELECT *, row_number() OVER (ORDER BY ex_id) AS rank FROM pool QUALIFY rank <= 3),
+shown AS (SELECT qid, rank, text, sql FROM near JOIN pool USING (ex_id)
+  UNION ALL SELECT qid, rank, fixed.text, sql FROM asked CROSS JOIN fixed WHERE strategy = 'few_shot_static'),
+blk AS (SELECT qid, {HEAD} || string_agg('Question: ' || text || chr(10) || 'SQL: ' || sql, {NL2} ORDER BY rank) || {FOOT} AS block FROM shown GROUP BY qid),
+lists AS (SELECT qid, rank, pos FROM dense JOIN asked USING (qid) WHERE strategy IN ('rag', 'rag_dense')
+  UNION ALL SELECT qid, rank, pos FROM sparse JOIN asked USING (qid) WHERE strategy = 'rag_sparse'
+  UNION ALL SELECT qid, rank, pos FROM fused JOIN asked USING (qid) WHERE strategy IN ('rag_hybrid', 'dspy')),
+tabs AS (SELECT qid, {O_TABLES} AS defs FROM lists JOIN ({CI}) USING (pos) GROUP BY qid)
+SELECT qid, strategy, CASE WHEN strategy = 'chain_of_thought' THEN '{prompts.SYSTEM_REASONED.replace("'", "''")}' ELSE '{prompts.SYSTEM_PLAIN}' END AS system,
+  coalesce(block, '') || 'Schema:' || chr(10) || coalesce(defs, '{SCHEMA_ALL}') || {NL2} || 'Question: ' || text
+  || CASE WHEN strategy = 'chain_of_thought' THEN '' ELSE {NL2} || 'SQL:' END AS user
+FROM asked LEFT JOIN blk USING (qid) LEFT JOIN tabs USING (qid)""")
+def q_strategy_prompts(wh):
+    """All strategies in one table of questions."""
+    asked = wh.sql(CATALOG_QUESTIONS).select("qid", F.col("question").alias("text"), F.expr(ALL_STRATEGIES).alias("strategy"))
+    pool = wh.sql(POOL)
+    static = pool.orderBy("ex_id").limit(3).withColumn("rank", F.row_number().over(Window.orderBy("ex_id")))
+    definitions = wh.sql(CATALOG, spread=True).withColumnRenamed("table_def", "text")
+    return strategies.prompts_by_strategy(asked, pool, static, definitions, SCHEMA_ALL)
+
+
 STRATEGY = "CASE item_id % 3 WHEN 0 THEN 'zero_shot' WHEN 1 THEN 'few_shot_dynamic' ELSE 'chain_of_thought' END"
 SCHEMA = "orders(o_orderkey, o_custkey)"
 

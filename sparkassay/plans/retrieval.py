@@ -11,7 +11,8 @@ from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import CATALOG, CATALOG_QUESTIONS, PASSAGES
 from sparkassay.plans.registry import plain, query
 from sparkassay.plans.text import DOCS, o_packed, o_tokens, o_vectors
-from sparkassay.session import materialize
+from sparkassay.operators.vector_index import VectorIndex
+from sparkassay.session import materialize, scratch_path
 from sparkassay.sources.catalog import schema_block, table_name
 
 P = plain(PASSAGES)
@@ -91,6 +92,17 @@ def q_score_rescaled(wh):
     return hits.withColumn("store_score", F.round(rescaled(F.col("score")), 7))
 
 
+@query("vector_index", O_VEC5)
+def q_vector_index(wh):
+    """Two versions hold the table; queries of any number meet stored blocks."""
+    v = vectors(wh)
+    index = VectorIndex(wh.spark, scratch_path(wh.spark, "vector-index"), "vec_id")
+    early = F.coalesce(F.col("vec_id") <= v.agg(F.avg("vec_id")).scalar(), F.lit(False))
+    index.add(v.filter(early))
+    index.add(v.filter(~early))
+    return index.query(v, "vec_id", 5, max_rows=0)
+
+
 @query("topk_ann")
 def q_topk_ann(wh):
     v = vectors(wh)
@@ -149,8 +161,10 @@ O_LINK = f"""{o_dense(CQ, CI, 5, 'qid', 'pos')}, {o_sparse(CQ, CI, 5, 'qid', 'po
 
 def link(wh, how: str, k: int = 5):
     """Top-k table definitions per catalogue question."""
-    q = hash_embed(wh.sql(CATALOG_QUESTIONS).withColumnRenamed("question", "text"))
-    i = hash_embed(wh.sql(CATALOG, spread=True).withColumnRenamed("table_def", "text"))
+    # Keyword search reads no vectors.
+    features = (lambda df: df) if how == "sparse" else hash_embed
+    q = features(wh.sql(CATALOG_QUESTIONS).withColumnRenamed("question", "text"))
+    i = features(wh.sql(CATALOG, spread=True).withColumnRenamed("table_def", "text"))
     return retrieval.retrieve(q, i, how, k, "qid", "pos", q_out="qid", i_out="pos")
 
 
@@ -200,17 +214,19 @@ def q_context_block(wh):
     return retrieval.context_block(passages(wh), "qid", attach(hits, bodies, "doc_id"), F.col("src"))
 
 
-O_CHUNKS = "SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM packed"
+O_CHUNKS = "SELECT CAST(doc_id AS STRING) || ':' || CAST(chunk_index AS STRING) AS chunk_id, text FROM packed"
 
 
 @query("kb_search", f"""
 WITH RECURSIVE {o_packed(DOCS, 400, 1)}, {o_dense(P, O_CHUNKS, 3, 'qid', 'chunk_id')}
-{o_context(f"SELECT dense.*, c.text AS body, source FROM dense JOIN ({O_CHUNKS}) c USING (chunk_id) JOIN documents d ON d.doc_id = chunk_id // 100000",
+{o_context(f"SELECT dense.*, c.text AS body, source FROM dense JOIN ({O_CHUNKS}) c USING (chunk_id) JOIN documents d ON CAST(d.doc_id AS STRING) = split_part(chunk_id, ':', 1)",
            P, 'body', 'source')}""")
 def q_kb_search(wh):
     chunks = (chunking.chunk_sentence(wh.spread("documents").select("doc_id", "source", "text"), max_size=400, overlap=1)
-              .withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index")))
-    hits = retrieval.topk_dense(hash_embed(passages(wh)), hash_embed(chunks.select("chunk_id", "text")), 3,
-                                "qid", "chunk_id", q_out="qid", i_out="chunk_id")
-    found = attach(hits, chunks.select("chunk_id", "text", "source"), "chunk_id")
+              .select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "text", "source"))
+    # Chunks are cut and hashed once, for the search and for their texts.
+    index = VectorIndex(wh.spark, scratch_path(wh.spark, "kb"), "chunk_id")
+    index.add(hash_embed(chunks))
+    hits = index.query(hash_embed(passages(wh)), "qid", 3, q_out="qid", i_out="chunk_id")
+    found = attach(hits, index.rows().select("chunk_id", "text", "source"), "chunk_id")
     return retrieval.context_block(passages(wh), "qid", found, F.col("source"))

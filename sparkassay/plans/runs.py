@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkassay.functions import parsing, scoring
-from sparkassay.operators import chunking, retrieval, runlog
+from sparkassay.operators import chunking, runlog
 from sparkassay.operators.features import hash_embed
 from sparkassay.operators.relational import attach
 from sparkassay.plans.fixtures import ATTEMPTS, CATALOG, CATALOG_QUESTIONS, JOBS, RUN_SCORES, STREAM, TOOL_CALLS
 from sparkassay.plans.registry import plain, query
-from sparkassay.plans.retrieval import CI, CQ, o_dense, o_sparse, passages, P
+from sparkassay.plans.retrieval import CI, CQ, O_CHUNKS, o_dense, o_sparse, passages, P
 from sparkassay.plans.scoring import O_LONG, RS, SCORERS
 from sparkassay.plans.text import DOCS, o_fixed, o_packed
 from sparkassay.plans.retrieval import link
-from sparkassay.session import materialize
+from sparkassay.operators.vector_index import VectorIndex
+from sparkassay.session import materialize, scratch_path
 from sparkassay.sources.catalog import table_name
 
 A, TC, J, SE = plain(ATTEMPTS), plain(TOOL_CALLS), plain(JOBS), plain(STREAM)
@@ -31,18 +32,18 @@ def q_fold_attempts(wh):
 
 
 @query("tool_trace", f"""
-SELECT qid, count(*) AS n_calls, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools, arg_max(s, iteration) FILTER (WHERE s IS NOT NULL) AS last_sql,
-  max(iteration) AS iterations, CASE WHEN max(iteration) >= 8 THEN 'no final answer' END AS note
+SELECT qid, count(*) AS n_calls, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools, arg_max(s, (iteration, call)) FILTER (WHERE s IS NOT NULL) AS last_sql,
+  max(iteration) AS iterations, CASE WHEN max(iteration) >= 4 THEN 'no final answer' END AS note
 FROM (SELECT *, CASE WHEN tool = 'query_database' AND j IS NOT NULL THEN coalesce(j->>'$.sql', '') END AS s
       FROM (SELECT *, TRY_CAST(arguments AS JSON) AS j FROM ({TC}))) GROUP BY qid""")
 def q_tool_trace(wh):
     calls = wh.sql(TOOL_CALLS).withColumn("args", parsing.parse_tool_args(F.col("tool"), F.col("arguments")))
-    return runlog.tool_trace(calls, "qid", F.col("args.value"), max_rounds=8)
+    return runlog.tool_trace(calls, "qid", F.col("args.value"), max_rounds=4)
 
 
-@query("tool_log", f"SELECT qid, iteration, tool, substr(result, 1, 500) AS result FROM ({TC})")
+@query("tool_log", f"SELECT qid, iteration, call, tool, substr(result, 1, 500) AS result FROM ({TC})")
 def q_tool_log(wh):
-    return runlog.cut_results(wh.sql(TOOL_CALLS)).select("qid", "iteration", "tool", "result")
+    return runlog.cut_results(wh.sql(TOOL_CALLS)).select("qid", "iteration", "call", "tool", "result")
 
 
 @query("fold_events", f"""
@@ -99,13 +100,12 @@ def q_strategy_summary(wh):
 
 O_GATE = f"""SELECT run_id, t.scorer, actual, threshold, coalesce(actual >= threshold, false) AS passed
 FROM (SELECT DISTINCT run_id FROM ({RS})) CROSS JOIN (VALUES {', '.join(f"('{s}', {t}::DOUBLE)" for s, t in runlog.THRESHOLDS.items())}) t(scorer, threshold)
-LEFT JOIN (SELECT run_id, scorer, round_even(avg(value), 4) AS actual FROM ({O_LONG}) WHERE NOT (run_id = 1997 AND scorer = 'semantic_judge') GROUP BY ALL) USING (run_id, scorer)"""
+LEFT JOIN (SELECT run_id, scorer, round_even(avg(value), 4) AS actual FROM ({O_LONG}) GROUP BY ALL) USING (run_id, scorer)"""
 
 
 def gated(wh):
     long = scoring.long_scores(wh.sql(RUN_SCORES), ["run_id"], SCORERS)
-    lost = (F.col("run_id") == 1997) & (F.col("scorer") == "semantic_judge")
-    return runlog.gate(long.filter(~lost), "run_id")
+    return runlog.gate(long, "run_id")
 
 
 @query("gate", O_GATE)
@@ -127,17 +127,18 @@ KS = [3, 5]
 def sweep_hits(wh, chunker: str):
     docs = wh.spread("documents").select("doc_id", "text")
     options = {"sentence": {"max_size": 400, "overlap": 1}, "fixed": {"size": 400, "overlap": 60}}[chunker]
-    chunks = (chunking.CHUNKERS[chunker](docs, **options)
-              .select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "text"))
-    hits = retrieval.topk_dense(hash_embed(passages(wh)), hash_embed(chunks), max(KS), "qid", "chunk_id",
-                                q_out="qid", i_out="chunk_id")
-    return attach(hits, chunks, "chunk_id").select("qid", "rank", "text")
+    chunks = chunking.CHUNKERS[chunker](docs, **options).select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "text")
+    # Chunks are cut and hashed once, for the search and for their texts.
+    index = VectorIndex(wh.spark, scratch_path(wh.spark, "chunks"), "chunk_id")
+    index.add(hash_embed(chunks))
+    hits = index.query(hash_embed(passages(wh)), "qid", max(KS), q_out="qid", i_out="chunk_id")
+    return attach(hits, index.rows().select("chunk_id", "text"), "chunk_id").select("qid", "rank", "text")
 
 
 O_SWEEP = f"""sw AS (SELECT 'sentence' AS chunker, qid, rank, text FROM (WITH RECURSIVE {o_packed(DOCS, 400, 1)},
-    {o_dense(P, 'SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM packed', 5, 'qid', 'chunk_id')}
-    SELECT dense.*, c.text FROM dense JOIN (SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM packed) c USING (chunk_id))
-  UNION ALL SELECT 'fixed', qid, rank, text FROM (WITH fx AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM ({o_fixed(DOCS, 400, 60)})),
+    {o_dense(P, O_CHUNKS, 5, 'qid', 'chunk_id')}
+    SELECT dense.*, c.text FROM dense JOIN ({O_CHUNKS}) c USING (chunk_id))
+  UNION ALL SELECT 'fixed', qid, rank, text FROM (WITH fx AS (SELECT CAST(doc_id AS STRING) || ':' || CAST(chunk_index AS STRING) AS chunk_id, text FROM ({o_fixed(DOCS, 400, 60)})),
     {o_dense(P, 'SELECT chunk_id, text FROM fx', 5, 'qid', 'chunk_id')}
     SELECT dense.*, fx.text FROM dense JOIN fx USING (chunk_id)))"""
 

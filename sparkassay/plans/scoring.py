@@ -187,7 +187,22 @@ def q_phrase_recall(wh):
 
 
 # Answers: assistant turns; keywords and judge verdicts by conversation.
-ANSWERS = """SELECT conv_id * 1000 + turn AS qid, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END AS answer,
+SCORED = """SELECT conv_id, turn, text AS answer, CASE conv_id % 4 WHEN 0 THEN 'SELECT 1' WHEN 1 THEN '' WHEN 2 THEN 'SELECT * FROM vault'
+    ELSE 'SELECT * FROM orders JOIN part ON true' END AS golden_sql, array('orders(id)', 'region(id)') AS retrieved_defs,
+  array('orders', role) AS retrieved, array('orders', 'user') AS required, array(text) AS texts, array('The ', ' und ') AS phrases
+FROM {conversations}"""
+
+
+@query("scores_by_name", """
+SELECT conv_id, turn, unnest(['data_present', 'phrase_recall', 'recall_at_k', 'retrieval_recall']) AS scorer, unnest([
+  CASE WHEN regexp_matches(text, '\\p{Nd}') THEN 1.0 ELSE 0.0 END, CASE WHEN contains(lower(text), 'the ') OR contains(lower(text), ' und ') THEN 1.0 ELSE 0.0 END,
+  CASE WHEN role = 'user' THEN 1.0 ELSE 0.5 END, CASE conv_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 ELSE 0.5 END]::DOUBLE[]) AS value
+FROM conversations""")
+def q_scores_by_name(wh):
+    return scoring.score_by_name(wh.sql(SCORED), ["conv_id", "turn"], ["data_present", "phrase_recall", "recall_at_k", "retrieval_recall"])
+
+
+ANSWERS = """SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS qid, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END AS answer,
   CASE conv_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'DE ' ELSE 'qqq' END AS k1, 'und' AS k2,
   CASE conv_id % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'incorrect' WHEN 3 THEN 'other' END AS verdict
 FROM {conversations} WHERE role = 'assistant'"""

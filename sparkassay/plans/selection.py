@@ -25,7 +25,7 @@ def q_fewshot_static(wh):
     return selection.fewshot_static(wh.sql(QUESTIONS, spread=True), "qid", 3)
 
 
-USER_TURNS = "SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations WHERE role = 'user'"
+USER_TURNS = "SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS turn_id, text FROM conversations WHERE role = 'user'"
 
 
 @query("fewshot_dynamic", f"""
@@ -36,7 +36,7 @@ dot AS (SELECT a.turn_id AS q, b.turn_id AS i, sum(a.w * b.w) AS s FROM uv a JOI
   3, 'question_id', 'example_id')}""")
 def q_fewshot_dynamic(wh):
     turns = hash_embed(wh.conversations.filter(F.col("role") == "user")
-                       .select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"))
+                       .select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text"))
     return selection.fewshot_dynamic(turns, turns, "turn_id", "turn_id", q_out="question_id", i_out="example_id")
 
 
@@ -66,7 +66,7 @@ def q_classify_knn(wh):
 
 
 # The labelled pool: user turns, graded by their conversation.
-POOL = """SELECT conv_id * 1000 + turn AS ex_id, text,
+POOL = """SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS ex_id, text,
   CASE conv_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty
 FROM {conversations} WHERE role = 'user'"""
 O_ROUTED = f"""g AS ({O_GRADED}), low AS (SELECT qid, question AS text FROM g WHERE confidence < 0.3),

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkassay.functions.difficulty import rule_grade
 from sparkassay.functions.screening import check_input
@@ -56,13 +57,45 @@ def screen_and_grade(questions: DataFrame, keys: list[str], text: str) -> DataFr
             .select(*keys, "v.passed", "v.category", F.when(F.col("v.passed"), F.col("g.difficulty")).alias("difficulty")))
 
 
-def windowed_metrics(events: DataFrame, at: str, by: str, value: str, delay: str, size: str,
-                     slide: str | None = None) -> DataFrame:
-    """Counts and means per event-time window; rows later than ``delay`` are dropped by the watermark."""
+def drain_updates(stream: DataFrame, label: str, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Run an update-mode aggregate to its current end and return its table: the newest row of every key, open windows too.
+
+    Every micro-batch writes the rows it changed to a folder of its own, which a repeated batch overwrites, and readers
+    take the row of the largest batch. So an update never rewrites older rows and a retry changes nothing. A later call with
+    the same ``folder`` goes on from where the last one stopped.
+    """
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, label)
+    out, state = f"{folder}/table", f"{folder}/state"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    versions = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return newest(spark.read.schema(versions).parquet(out), keys)
+
+
+def newest(versions: DataFrame, keys: list[str], version: str = "batch") -> DataFrame:
+    """The row of the largest version of every key; a combinable maximum, not a window."""
+    rest = [c for c in versions.columns if c not in (*keys, version)]
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*")
+
+
+def windowed_metrics(events: DataFrame, at: str, by: str, cost: str, latency: str, delay: str, size: str,
+                     slide: str | None = None, kind: str = "kind") -> DataFrame:
+    """Finished runs, mean cost and mean latency per event-time window and ``by``.
+
+    Only ``done`` events count; rows later than ``delay`` are dropped by the watermark, which also bounds the state.
+    """
     window = F.window(at, size, slide) if slide else F.window(at, size)
-    return (events.withWatermark(at, delay).groupBy(window.alias("_w"), by)
-            .agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-            .select(F.col("_w.start").alias("window_start"), by, "n", "total"))
+    # Decimals are summed exactly before they are divided.
+    mean = lambda c: F.try_divide(F.sum(c).cast("double"), F.count(c))
+    return (events.filter(F.col(kind) == "done").withWatermark(at, delay).groupBy(window.alias("_w"), by)
+            .agg(F.count("*").alias("n"), mean(cost).alias("mean_cost"), mean(latency).alias("mean_latency"))
+            .select(F.col("_w.start").alias("window_start"), by, "n", "mean_cost", "mean_latency"))
 
 
 def session_fold(events: DataFrame, request: str, at: str, order: str, gap: str, delay: str) -> DataFrame:

@@ -218,3 +218,28 @@ def test_shared_folder_is_read_or_made_once():
     on_cluster.sparkContext.master = "spark://host:1"
     with pytest.raises(ValueError):
         shared_dir(on_cluster)
+
+
+def test_several_calls_in_a_round(spark):
+    rows = [(1, 1, 0, "query_database", "s1"), (1, 1, 1, "query_database", "s2"), (1, 2, 0, "get_schema", "x"), (2, 1, 1, "query_database", None),
+            (2, 1, 0, "query_database", "only")]
+    calls = spark.createDataFrame(rows, "q int, iteration int, call int, tool string, sql string").repartition(3)
+    got = {r.q: (r.n_calls, r.last_sql, r.iterations, r.note) for r in runlog.tool_trace(calls, "q", F.col("sql"), max_rounds=2).collect()}
+    assert got == {1: (3, "s2", 2, runlog.NO_ANSWER), 2: (2, "only", 1, None)}
+
+
+def test_a_scorer_without_a_value_fails_the_gate(spark):
+    scores = spark.createDataFrame([(1, s, 1.0) for s in runlog.THRESHOLDS] + [(2, s, 1.0) for s in list(runlog.THRESHOLDS)[1:]],
+                                   "run int, scorer string, value double")
+    got = {r.run: (r.passed, r.failures) for r in runlog.gate_verdict(runlog.gate(scores, "run"), "run").collect()}
+    assert got == {1: (True, ""), 2: (False, list(runlog.THRESHOLDS)[0])}
+
+
+def test_split_and_first_pairs_by_several_key_columns(spark):
+    # Packed into one number these keys would meet.
+    rows = [(1, 10_000, 5, "a"), (2, 0, 5, "b"), (1, 9_999, 1005, "c"), (1, 10_000, 4, "a")]
+    df = spark.createDataFrame(rows, "src int, pos long, turn int, question string")
+    first = curation.combine_dedup(df, pos=["pos", "turn"])
+    assert sorted((r.question, r.src, r.pos, r.turn) for r in first.collect()) == [("a", 1, 10_000, 4), ("b", 2, 0, 5), ("c", 1, 9_999, 1005)]
+    split = curation.split_train_holdout(first, ["src", "pos", "turn"], 0.67, at_least=1)
+    assert sorted(r.split for r in split.collect()) == ["holdout", "train", "train"]

@@ -12,19 +12,19 @@ def write(spark, path, rows, schema):
 def test_late_rows_are_dropped(spark, tmp_path):
     root = str(tmp_path)
     at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
-    schema = "event_type string, ts timestamp, value double"
-    write(spark, f"{root}/events.parquet", [("a", at(1), 1.0), ("a", at(1, 30), 2.0), ("a", at(9), 5.0)], schema)
+    schema = "strategy string, ts timestamp, cost double, latency double, kind string"
+    row = lambda h, m, cost, kind="done", by="a": (by, at(h, m), cost, 2 * cost, kind)
+    write(spark, f"{root}/events.parquet", [row(1, 0, 1.0), row(1, 30, 2.0), row(1, 40, 9.0, "retry"), row(9, 0, 5.0), row(9, 1, 3.0, by="b")], schema)
     source = streams.table_stream(spark, root, "events")
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    run = lambda: (streams.windowed_metrics(source, "ts", "event_type", "value", "1 hour", "1 hour").writeStream
-                   .outputMode("append").format("parquet").option("checkpointLocation", state)
-                   .trigger(availableNow=True).start(out).awaitTermination())
-    run()
-    # A second file: one row behind the watermark, one that closes the 09:00 window.
-    write(spark, f"{root}/events.parquet", [("a", at(1, 10), 100.0), ("a", at(12), 7.0)], schema)
-    run()
-    got = {(r.window_start.hour, r.n, r.total) for r in spark.read.parquet(out).collect()}
-    assert got == {(1, 2, 3.0), (9, 1, 5.0)}
+    run = lambda: {(r.window_start.hour, r.strategy, r.n, r.mean_cost, r.mean_latency) for r in streams.drain_updates(
+        streams.windowed_metrics(source, "ts", "strategy", "cost", "latency", "1 hour", "1 hour"), "m", ["window_start", "strategy"],
+        str(tmp_path / "kept")).collect()}
+    # Open windows are seen at once.
+    assert run() == {(1, "a", 2, 1.5, 3.0), (9, "a", 1, 5.0, 10.0), (9, "b", 1, 3.0, 6.0)}
+    # A second file, after a restart: one row behind the watermark, one that changes an open window, one of a new window.
+    write(spark, f"{root}/events.parquet", [row(1, 10, 100.0), row(9, 30, 7.0), row(12, 0, 7.0)], schema)
+    want = {(1, "a", 2, 1.5, 3.0), (9, "a", 2, 6.0, 12.0), (9, "b", 1, 3.0, 6.0), (12, "a", 1, 7.0, 14.0)}
+    assert run() == want and run() == want
 
 
 def test_bursts_close_after_the_gap(spark, tmp_path):

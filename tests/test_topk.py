@@ -192,3 +192,59 @@ def test_pivots_with_zero_missing_and_tied_vectors(spark):
     assert retrieval.topk_dense(asked, empty, 2, "q", "i", max_rows=0).count() == 0
     texts = asked.withColumn("text", F.lit("x")), items.withColumn("text", F.when(F.col("i") < 3, "x").otherwise("y"))
     assert [i for i, _ in collect(retrieval.topk_dense_excluding(*texts, 2, "q", "i", "text", max_rows=0))[1]] == [3, 4]
+
+
+def test_postings_skip_blocks_and_stay_exact(spark):
+    from sparkassay.operators import postings
+
+    r = np.random.default_rng(11)
+    vocabulary = [f"t{i}" for i in range(400)]
+    # One term is in every document, the others fall off steeply.
+    share = 1 / np.arange(1, 401)
+    draw = lambda n: " ".join(r.choice(vocabulary, n, p=share / share.sum()))
+    texts = ["all " * (1 + i % 4) + draw(30) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(4)
+    asked = spark.createDataFrame([(i, "all " + draw(5)) for i in range(40)] + [(90, "unknown words"), (91, None)], "q long, text string")
+    index, n = retrieval.bm25_index(docs, "i")
+    terms = retrieval.bm25_asked(asked, "q", index, n)
+    small = postings.Postings(index.forward, postings.cut_blocks(index.forward, block=16), index.lexicon)
+    bounded = collect(postings.search(terms, small, 5, "query_id", "item_id"))
+    assert bounded == collect(postings.search(terms, small, 5, "query_id", "item_id", prune=False))
+    assert bounded == collect(retrieval.topk_bm25(asked, docs, 5, "q", "i")) == collect(retrieval.topk_bm25(asked, docs, 5, "q", "i", max_rows=0))
+    assert bounded.keys() == set(range(40))
+    count = postings.read_share(terms, small, 5).first()
+    assert 0 < count.n_read < 0.5 * count.n_postings
+
+
+def test_negative_weights_and_missing_lists(spark):
+    q = spark.createDataFrame([(1, ["a", "b"], [1.0, -2.0]), (2, ["a", "a"], [1.0, 0.5]), (3, None, None)],
+                              "q long, terms array<string>, weights array<double>")
+    i = spark.createDataFrame([(1, ["a", "b"], [1.0, 2.0]), (2, ["a"], [-1.0]), (3, ["b"], [1.0]), (4, None, None), (5, [], [])],
+                              "i long, terms array<string>, weights array<double>")
+    got = collect(retrieval.topk_sparse_weights(q, i, 2, "q", "i"))
+    assert got == {1: [(2, -1.0), (3, -2.0)], 2: [(1, 1.5), (2, -1.5)]}
+
+
+def test_vector_index_appends_equal_one_build(spark, tmp_path):
+    from sparkassay.operators.vector_index import VectorIndex
+
+    m, items = clustered(spark, 12, 20, dim=8)
+    items = items.withColumn("note", F.concat(F.lit("n"), "i"))
+    queries = items.filter("i % 4 = 0").select(F.col("i").alias("q"), "embedding")
+    index = VectorIndex(spark, str(tmp_path / "index"), "i")
+    assert index.count() == 0 and index.rows() is None and index.query(queries, "q", 3).count() == 0
+    assert [index.add(items.filter("i < 100")), index.add(items.filter("i >= 100"))] == [1, 2]
+    want = collect(retrieval.topk_dense(queries, items, 3, "q", "i"))
+    assert index.count() == 240 and index.rows().filter("note = 'n7'").count() == 1
+    for rows in (0, 20_000):
+        assert collect(index.query(queries, "q", 3, max_rows=rows)) == want
+    # A version written after the pivots were fitted is placed alone; rows without a line in the manifest are not read.
+    extra = spark.createDataFrame([(999, [float(x) for x in m[0]], "late")], items.schema)
+    extra.write.parquet(f"{tmp_path}/index/rows/version=7")
+    assert index.count() == 240
+    assert index.add(extra) == 3
+    assert 999 in [i for i, _ in collect(index.query(queries, "q", 30, max_rows=0))[0]]
+    index.reset()
+    assert index.count() == 0 and index.query(queries, "q", 3).count() == 0
+    index.add(extra)
+    assert index.count() == 1 and {tuple(x for x, _ in v) for v in collect(index.query(queries, "q", 3, max_rows=0)).values()} == {(999,)}
