@@ -19,10 +19,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.worker import spread, worker_cache
+from sparkassay.llm.worker import give_back, spread, worker_cache
 
 #: Items with fewer words have no windows; their word sequence is looked up as it is.
 MIN_WORDS = 5
@@ -379,18 +380,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*sent.value)
         for batch in batches:
-            known, texts = batch.column(at_id).is_valid().to_pylist(), batch.column(at_text)
-            searched = [i for i, (k, t) in enumerate(zip(known, texts)) if k and t.is_valid]
-            keep = np.ones(batch.num_rows, dtype=bool)
+            sizes = pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_pylist()
             at = 0
-            while at < len(searched):
-                stop, total = at, 0
-                while stop < len(searched) and (stop == at or total + len(texts[searched[stop]].as_buffer()) <= GROUP_BYTES):
-                    total += len(texts[searched[stop]].as_buffer())
+            while at < batch.num_rows:
+                stop, total = at + 1, sizes[at]
+                while stop < batch.num_rows and total + sizes[stop] <= GROUP_BYTES:
+                    total += sizes[stop]
                     stop += 1
-                for d, *_ in search_group(index, [texts[i].as_py() for i in searched[at:stop]], similarity, stride):
-                    keep[searched[at + d]] = False
+                rows = batch.slice(at, stop - at)
+                known, texts = rows.column(at_id).is_valid().to_pylist(), rows.column(at_text).to_pylist()
+                searched = [i for i, (k, t) in enumerate(zip(known, texts)) if k and t is not None]
+                keep = np.ones(len(texts), dtype=bool)
+                for d, *_ in search_group(index, [texts[i] for i in searched], similarity, stride):
+                    keep[searched[d]] = False
+                yield rows.filter(pa.array(keep))
                 at = stop
-            yield batch.filter(pa.array(keep))
+        give_back()
 
     return spread(docs).mapInArrow(run, docs.schema)
