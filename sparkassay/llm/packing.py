@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.llm.wordids import word_encoder
-from sparkassay.llm.worker import spread
+from sparkassay.llm.worker import give_back, spread
 from sparkassay.session import materialize
 
+#: Bytes of ids after which a task hands its pieces on.
+OUT_BYTES = 4 << 20
 #: Lengths are planned in classes this wide; the program has capacity / GRAIN classes.
 GRAIN = 8
 #: Rounds of multiplicative weights.
@@ -232,18 +234,29 @@ def cut_pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = word_encoder(vocab), end_id.to_bytes(4, "little"), 4 * capacity
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        n = 6 if with_ids else 5
+
+        def rows_of(out: list[list]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(v, k) for v, k in zip(out[:n], kinds)], names=names[:n])
+
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
+            held = 0
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = encode(t.as_py()) + end
                 for p, at in enumerate(range(0, len(data), step)):
                     ids = data[at:at + step]
-                    for column, v in zip(out, (key, p, p * capacity, len(ids) // 4, zlib.crc32(ids), ids)):
+                    for column, v in zip(out, (key, p, p * capacity, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None)):
                         column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(out[:n], kinds)], names=names[:n])
+                held += len(data)
+                if held >= OUT_BYTES:
+                    yield rows_of(out)
+                    out, held = [[], [], [], [], [], []], 0
+            if out[0]:
+                yield rows_of(out)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
