@@ -44,9 +44,8 @@ def prompts_by_strategy(questions: DataFrame, pool: DataFrame, static: DataFrame
     hits = selection.fewshot_dynamic(hash_embed(_needing(asked, "examples", "dynamic")), hash_embed(pool), "qid", "ex_id", n=EXAMPLES,
                                      q_out="qid", i_out="ex_id")
     dynamic = prompts.ordered_pairs(attach(hits, pool, "ex_id"), "qid", "rank", "text")
-    fixed = prompts.ordered_pairs(static.withColumn("_all", F.lit(1)), "_all", "rank", "text").drop("_all")
-    pairs = dynamic.unionByName(_needing(asked, "examples", "static").select("qid", F.lit(1).alias("_all")).join(
-        F.broadcast(fixed.withColumn("_all", F.lit(1))), "_all").select("qid", "pairs"))
+    fixed = prompts.ordered_pairs(static.withColumn("_all", F.lit(1)), "_all", "rank", "text").select("pairs").scalar()
+    pairs = dynamic.unionByName(_needing(asked, "examples", "static").select("qid", fixed.alias("pairs")))
 
     items = materialize(hash_embed(definitions), "definitions")
     found = None
