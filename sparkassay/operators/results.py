@@ -96,11 +96,16 @@ def preview(rows: DataFrame, q: str, k: int) -> DataFrame:
     return totals.join(listed, q)
 
 
+# What callers match on in a preview.
+ERROR_PREFIX = "SQL ERROR: "
+NO_ROWS = "Query executed successfully. No rows returned."
+
+
 def result_preview(executions: DataFrame, rows: DataFrame, q: str, k: int = PREVIEW_ROWS) -> DataFrame:
     """JSON with row count, truncation flag and first k rows; fixed messages for empty results and errors."""
     body = F.to_json(F.struct(F.col("row_count"), (F.col("row_count") > k).alias("truncated"), F.col("rows")))
-    text = (F.when(F.col("error").isNotNull(), F.concat(F.lit("SQL ERROR: "), F.col("error")))
-            .when(F.col("row_count").isNull(), F.lit("Query executed successfully. No rows returned."))
+    text = (F.when(F.col("error").isNotNull(), F.concat(F.lit(ERROR_PREFIX), F.col("error")))
+            .when(F.col("row_count").isNull(), F.lit(NO_ROWS))
             .otherwise(body))
     return executions.select(q, "error").join(preview(rows, q, k), q, "left").select(q, text.alias("result"))
 
