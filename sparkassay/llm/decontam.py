@@ -395,6 +395,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
                     keep[searched[d]] = False
                 yield rows.filter(pa.array(keep))
                 at = stop
+        # The powers grow with the largest group; later stages in this worker have no use for them.
+        worker_cache("decontam:powers", dict).clear()
         give_back()
 
     return spread(docs).mapInArrow(run, docs.schema)

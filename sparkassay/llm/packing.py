@@ -25,7 +25,7 @@ from sparkassay.llm.worker import give_back, spread
 from sparkassay.session import materialize
 
 #: Bytes of ids after which a task hands its pieces on.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 1 << 20
 #: Lengths are planned in classes this wide; the program has capacity / GRAIN classes.
 GRAIN = 8
 #: Rounds of multiplicative weights.
@@ -220,6 +220,7 @@ def _lookup(plan: list[tuple[tuple[int, ...], int]]):
             keep = [c for c in batch.schema.names if c != "_r"]
             yield pa.record_batch([batch.column(c) for c in keep] + [pa.array(sequence), pa.array(offset)],
                                   names=[*keep, "sequence_id", "offset"])
+        give_back()
 
     return run
 
