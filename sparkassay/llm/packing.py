@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,13 +186,12 @@ def assign(pieces: DataFrame, capacity: int = 2048, grain: int = GRAIN, rounds:
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece"))
     numbered = keyed.withColumn("_r", rank).join(starts, ["length", "_b"]).withColumn("_r", F.col("_s") + F.col("_r") - 1)
-    run = _lookup(plan_sequences(histogram, capacity, grain, rounds))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
-    return numbered.select(*pieces.columns, "_r").mapInArrow(run, schema)
+    place = _lookup(plan_sequences(histogram, capacity, grain, rounds))
+    return numbered.withColumn("_p", place("length", "_r")).select(*pieces.columns, "_p.sequence_id", "_p.offset")
 
 
 def _lookup(plan: list[tuple[tuple[int, ...], int]]):
-    """Arrow task that turns (length, number among its length) into a sequence and a place in it.
+    """Function of (length, number among its length) that gives a sequence and a place in it; other columns stay out of Python.
 
     The plan's size follows from the capacity and the rounds, not from the corpus: each length's numbers are cut into
     runs, and the numbers of a run go to consecutive sequences at one offset.
@@ -208,21 +208,18 @@ def _lookup(plan: list[tuple[tuple[int, ...], int]]):
         first += many
     table = {n: np.array(rows, dtype=np.int64) for n, rows in runs.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_r"))
-            sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
-            for n in np.unique(length):
-                rows, mine = table[int(n)], np.flatnonzero(length == n)
-                k = np.searchsorted(rows[:, 0], rank[mine], side="right") - 1
-                sequence[mine] = rows[k, 1] + rank[mine] - rows[k, 0]
-                offset[mine] = rows[k, 2]
-            keep = [c for c in batch.schema.names if c != "_r"]
-            yield pa.record_batch([batch.column(c) for c in keep] + [pa.array(sequence), pa.array(offset)],
-                                  names=[*keep, "sequence_id", "offset"])
-        give_back()
-
-    return run
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
+        for n in np.unique(length):
+            rows, mine = table[int(n)], np.flatnonzero(length == n)
+            k = np.searchsorted(rows[:, 0], rank[mine], side="right") - 1
+            sequence[mine] = rows[k, 1] + rank[mine] - rows[k, 0]
+            offset[mine] = rows[k, 2]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    return place
 
 
 def cut_pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
