@@ -36,3 +36,29 @@ def test_rows_of_one_item_add_up(spark):
     asked = spark.createDataFrame([(9, "a b")], "q long, text string")
     got = retrieval.topk_sparse_dot(asked, items, 5, "q", "item")
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(9, 1, 2, 4.0), (9, 2, 1, 3.0)]
+
+
+def test_terms_of_most_items_are_scored_for_all_at_once():
+    """A block of queries meets all items; results are those of look-ups, ties and bounds included."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    words = np.array([f"t{i}" for i in range(12)])
+    lists = lambda n, most: [list(r.choice(words, int(r.integers(0, most)), replace=False)) for _ in range(n)]
+    some, asked = lists(20_000, 12), lists(30, 8)
+    weights = lambda rows: pa.array([r.integers(1, 4, len(x)).astype(float) for x in rows], pa.list_(pa.float64()))
+    items = pa.table({"item": pa.array(r.permutation(len(some))), "terms": pa.array(some, pa.list_(pa.string())), "weights": weights(some)})
+    queries = {"q": pa.array(range(30)), "terms": pa.array(asked, pa.list_(pa.string())), "ws": weights(asked)}
+    found = []
+    for together in (True, False):
+        chunk = postings._Chunk(items)
+        if not together:
+            chunk._common = lambda code, w, ends, bounds: np.zeros(len(bounds), dtype=bool)
+        for bound in (float("-inf"), 5.0):
+            q, i, s = chunk.best(pa.table(queries | {"bound": pa.array([bound] * 30)}), 5, True)
+            found.append(sorted(zip(q.tolist(), i.tolist(), s.tolist())))
+    assert found[0] == found[2] and found[1] == found[3] and found[0]
+    chunk = postings._Chunk(items)
+    chunk.weights_of = lambda *_: (_ for _ in ()).throw(AssertionError("a common term was looked up item by item"))
+    assert len(chunk.best(pa.table({"q": [1], "terms": [["t0", "t1", "t2"]], "ws": [[1.0, 1.0, 1.0]], "bound": [float("-inf")]}), 5, True)[0]) == 5
