@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkassay.llm.wordids import word_encoder
+from sparkassay.llm.worker import give_back
 from sparkassay.session import materialize, scratch_path
 
 BLOCK = 128
@@ -160,6 +161,7 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = 2, path: str |
                     n = 0
         if keys:
             yield close()
+        give_back()
 
     path = path or scratch_path(docs.sparkSession, "token-files")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -191,6 +193,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                         names=["file", "nth", "doc_id", "local_start", "n_tokens", "ids"])
                     nth += len(doc_ids)
                     seen += int(ends[-1])
+                del content
+                give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     named = files.filter("length > 0").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 from sparkassay.llm.bpe_count import PIECES, byte_letters
@@ -9,13 +10,16 @@ from sparkassay.llm.worker import vocabulary_path, worker_cache
 
 #: Words, and pieces of words, remembered by one Python worker (about 100 MB) before it starts afresh. It bounds memory, not the input.
 MEMO_WORDS = 250_000
+#: ASCII and the letters of Latin-1 and Latin Extended-A but for U+0130: Python and the library agree on their classes and
+#: lower case, and none of them composes with another.
+LATIN = "\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F"
 
 
 def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
     """``encode(text) -> bytes``: all ids of the text as little-endian unsigned 32-bit integers, no special tokens added.
 
     The normaliser and pre-tokenizer of a word-end vocabulary never join or inspect characters across white space,
-    so a text's ids are those of its parts between plain spaces and line feeds. An ASCII part is lower-cased and cut as
+    so a text's ids are those of its parts between plain spaces and line feeds. A part of ``LATIN`` is lower-cased and cut as
     the vocabulary file says, and each distinct piece goes to the library's model once. A part with other characters,
     whose classes and cases are the library's own, or one that may hold a special string, goes through the library whole.
     """
@@ -26,6 +30,7 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
 
         tokenizer = Tokenizer.from_file(vocabulary_path(vocab))
         model, cut, letters = tokenizer.model, regex.compile(PIECES), byte_letters()
+        latin = re.compile(f"[{LATIN}]*").fullmatch
 
         class Memo(dict):
             def __init__(self, work):
@@ -48,7 +53,7 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
         pieces = Memo(piece)
 
         def word(w: str) -> bytes:
-            if "<" in w or not w.isascii():
+            if "<" in w or not (w.isascii() or latin(w)):
                 return little(tokenizer.encode(w, add_special_tokens=False).ids)
             if w.isalpha():
                 return pieces[w.lower()]

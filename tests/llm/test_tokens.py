@@ -121,3 +121,30 @@ def test_ids_and_counts_of_random_mixed_texts(ids):
         text = "".join(chr(r.choice(kinds)()) for _ in range(r.randint(1, 30)))
         want = ids(text)
         assert np.frombuffer(encode(text), "<u4").tolist() == want and count(text) == len(want), text
+
+
+def test_latin_words_are_cut_here(ids, monkeypatch):
+    """Words with Latin letters beyond ASCII cost the library one look at each piece, not a pass over each word."""
+    import re
+
+    import tokenizers
+
+    from sparkassay.llm import wordids
+
+    latin = [c for c in map(chr, range(0x180)) if re.fullmatch(f"[{wordids.LATIN}]", c)]
+    r = random.Random(8)
+    texts = ["x" + a + b for a in latin[128:] for b in latin[::7]] + ["".join(r.choices(latin, k=r.randint(1, 12))) for _ in range(2000)]
+    texts = [t for t in texts if "<" not in t]
+    want = [struct.pack(f"<{len(x)}I", *x) for x in map(ids, texts)]
+
+    class Pieces:
+        def __init__(self, whole):
+            self.model = whole.model
+
+        @classmethod
+        def from_file(cls, path, whole=tokenizers.Tokenizer.from_file):
+            return cls(whole(path))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Pieces)
+    encode = wordids.word_encoder(VOCAB, 200_001)
+    assert [encode(t) for t in texts] == want
