@@ -1,8 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: MinHash bands propose, exact sets decide.
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash trees and MinHash bands propose, exact sets decide.
 
-A 64-bit SimHash of two texts at Jaccard 0.8 differs in about ten bits and often in fifteen, and no band of a
-fingerprint is selective at such a radius. MinHash bands meet two texts of similarity s in some band with probability
-1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Only documents of a pair that met send their shingles through a shuffle, and
+Texts whose SimHash fingerprints differ in at most two bits are linked through the BK-trees of ``simhash``. A fingerprint
+of two texts at Jaccard 0.8 differs in about ten bits and often in fifteen, and no band of a fingerprint is selective at
+such a radius, so MinHash bands add the pairs beyond two bits: they meet two texts of similarity s in some band with
+probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Only documents of a pair that met send their shingles through a shuffle, and
 a pair is a link only if its sets have the wanted similarity.
 """
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm import simhash
 from sparkassay.llm.components import components
 from sparkassay.llm.decontam import parted
 from sparkassay.llm.worker import give_back, spread
@@ -62,23 +64,24 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, mark, digest, bands``: a hash of the text, a digest of the whole shingle set and the band keys, for every row."""
+    """``doc_id, mark, digest, bands, fp``: a hash of the text, a digest of the whole shingle set, the band keys and the SimHash, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            digests, keys = [], []
-            for t in batch.column(2):
-                hashes = shingle_hashes(t.as_py(), words)
+            digests, keys, fps = [], [], []
+            for t in batch.column(2).to_pylist():
+                hashes = shingle_hashes(t, words)
                 digests.append(xxh3_128_digest(hashes.tobytes()))
                 keys.append(band_keys(hashes))
-            yield pa.record_batch([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                  names=["doc_id", "mark", "digest", "bands"])
+                fps.append(simhash.text_fingerprint(t))
+            yield pa.record_batch([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                                   pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "mark", "digest", "bands", "fp"])
         give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id bigint, mark bigint, digest binary, bands array<bigint>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, mark bigint, digest binary, bands array<bigint>, fp bigint")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, words: int = WORDS) -> DataFrame:
@@ -183,23 +186,39 @@ def unlinked_members(members: DataFrame, sets: DataFrame, similarity: float = SI
     return met.mapInArrow(compare, "a bigint, b bigint")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes (``node, fp``) that reach all nodes linked over fingerprints of at most two differing bits.
+
+    Nodes of one fingerprint are paired with the smallest of them, so copies never meet as pairs.
+    """
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = prints.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, other = (first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "ab")
+    near = simhash.close_links(first.select("fp")).join(one, "a").join(other, "b").filter("_a <> _b").select(
+        F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return equal.unionByName(near)
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """``doc_id, mark, n, group``: every distinct row of id and text with its number of rows and its group; ids must not be null.
 
-    Texts of equal shingle sets are one node. The members of a band's cell first meet its smallest node only, then each
-    other where they are not linked yet.
+    Texts of equal shingle sets are one node. Nodes meet over their fingerprints, and the members of a band's cell first
+    meet its smallest node only, then each other where they are not linked yet.
     """
     rows = materialize(sketches(docs, id_col, text, words).groupBy("digest", "doc_id", "mark").agg(
-        F.count("*").alias("n"), F.first("bands").alias("bands")), "sketches")
+        F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "sketches")
     nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("_t"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.select("digest", "_t.*", "bands").withColumn("node", F.monotonically_increasing_id()), "nodes")
     cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = cells.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.max("node").alias("_m")).filter("pivot < _m").drop("_m")
     members = materialize(cells.join(shared, ["band", "key"]), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("doc_id", "mark", "node")
+    met = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    prints = materialize(rows.join(nodes.select("digest", "node"), "digest").select("node", "fp").distinct(), "prints")
+    pairs = materialize(fingerprint_pairs(prints).unionByName(met).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
+    wanted = nodes.join(asked, "node").select("doc_id", "mark", "node")
     sets = shingle_sets(docs, materialize(wanted, "wanted"), id_col, text, words)
-    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(confirmed(materialize(pairs, "pairs"), sets, similarity), "near-links")
+    links = materialize(confirmed(pairs, sets, similarity), "near-links")
     named = members.join(components(links), "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("group"))
     named = named.join(nodes.select("node", "bands"), "node")
     more = unlinked_members(materialize(named, "named"), sets, similarity)

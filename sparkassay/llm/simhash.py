@@ -45,6 +45,14 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return out
 
 
+def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    from xxhash import xxh64_intdigest
+
+    parts = text.encode("utf-8").lower().split() if text else []
+    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)] if parts else []
+    return fingerprint_of(np.array([xxh64_intdigest(s, seed) for s in shingles], dtype=np.uint64))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp``: the signed 64-bit SimHash of each whole text over its word shingles, repeats included.
 
@@ -53,15 +61,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            out = np.zeros(batch.num_rows, dtype=np.uint64)
-            for k, t in enumerate(batch.column(1)):
-                parts = t.as_py().encode("utf-8").lower().split() if t.is_valid else []
-                shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else \
-                    [b" ".join(parts)] if parts else []
-                out[k] = fingerprint_of(np.array([xxh64_intdigest(s, seed) for s in shingles], dtype=np.uint64))
+            out = np.array([text_fingerprint(t.as_py(), words, seed) for t in batch.column(1)], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))

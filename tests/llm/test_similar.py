@@ -238,3 +238,24 @@ def test_long_labels_are_told_apart(spark):
     rows = [(1, long + "a", [1.0, 0.0]), (2, long + "b", [1.0, 0.0]), (3, long + "b", [2.0, 0.0])]
     got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>"))
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (0, 1), 2: (1, 2), 3: (1, 2)}
+
+
+def test_pipeline_links_over_fingerprints(spark, monkeypatch):
+    """Near copies within two bits meet over the trees of ``simhash`` even where no MinHash band is shared; exact sets still decide."""
+    from sparkassay.llm import jaccard
+
+    r = random.Random(12)
+    texts = {}
+    for n in range(6):
+        words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(3000)]
+        texts[10 * n], prints = " ".join(words), simhash.text_fingerprint(" ".join(words))
+        copies = (" ".join(words[:i] + ["other"] + words[i + 1:]) for i in range(0, 3000, 50))
+        near = next(t for t in copies if 0 < (simhash.text_fingerprint(t) ^ prints).bit_count() <= 2)
+        texts[10 * n + 1] = near
+    # One line so often that it alone makes the fingerprint, and words of their own: no near copies.
+    texts[100], texts[101] = ("a b c d e " * 1000 + " ".join("".join(r.choices("klmnopq", k=6)) for _ in range(200)) for _ in range(2))
+    assert (simhash.text_fingerprint(texts[100]) ^ simhash.text_fingerprint(texts[101])).bit_count() <= 2
+    keys = lambda hashes, bands=20, rows=5: np.random.default_rng(hashes.view(np.uint32)).integers(0, 2**62, bands)
+    monkeypatch.setattr(jaccard, "band_keys", keys)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in jaccard.keep_one(docs).collect()} == {0, 10, 20, 30, 40, 50, 100, 101}
