@@ -82,12 +82,14 @@ def unpack_blocks(base, width, n_exc, start, body: bytes, n_ids: int) -> np.ndar
     diff = np.zeros((len(base), BLOCK), dtype=np.uint32)
     for w in np.unique(wide):
         rows = np.flatnonzero(wide == w)
+        first = np.arange(BLOCK) * w
         for k in range(0, len(rows) if w else 0, SLICE):
             part = rows[k:k + SLICE]
-            packed = raw[start[part][:, None] + np.arange(16 * w)]
-            bits = np.zeros((len(part), BLOCK, 32), dtype=np.uint8)
-            bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-            diff[part] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            # A number of up to 32 bits lies in the five bytes from the one that holds its first bit.
+            found = np.zeros((len(part), BLOCK), dtype=np.uint64)
+            for byte in range((int(w) + 14) // 8):
+                found |= raw[np.minimum(start[part][:, None] + (first >> 3) + byte, len(raw) - 1)].astype(np.uint64) << np.uint64(8 * byte)
+            diff[part] = (found >> (first & 7).astype(np.uint64)) & np.uint64((1 << int(w)) - 1)
     block = np.repeat(np.arange(len(base)), n_exc)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
     places_at = start[block] + 16 * wide[block]

@@ -8,7 +8,8 @@ import struct
 from sparkassay.llm.bpe_count import PIECES, byte_letters
 from sparkassay.llm.worker import vocabulary_path, worker_cache
 
-#: Words, and pieces of words, remembered by one Python worker (about 100 MB) before it starts afresh. It bounds memory, not the input.
+#: Half the words and pieces of words remembered by one Python worker (about 100 MB in all); what was not asked for of late is
+#: dropped. It bounds memory, not the input.
 MEMO_WORDS = 250_000
 #: ASCII and the letters of Latin-1 and Latin Extended-A but for U+0130: Python and the library agree on their classes and
 #: lower case, and none of them composes with another.
@@ -33,14 +34,19 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
         latin = re.compile(f"[{LATIN}]*").fullmatch
 
         class Memo(dict):
-            def __init__(self, work):
+            def __init__(self, work, most: int):
                 super().__init__()
-                self.work = work
+                self.work, self.half, self.before = work, max(1, most // 2), {}
 
             def __missing__(self, key: str) -> bytes:
-                if len(self) >= memo_words:
+                found = self.before.get(key)
+                if found is None:
+                    found = self.work(key)
+                # What was asked for since the last turn stays over the next one.
+                if len(self) >= self.half:
+                    self.before = dict(self)
                     self.clear()
-                found = self[key] = self.work(key)
+                self[key] = found
                 return found
 
         def little(ids) -> bytes:
@@ -50,16 +56,17 @@ def word_encoder(vocab: str, memo_words: int = MEMO_WORDS):
             p = p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode("utf-8")])
             return little([t.id for t in model.tokenize(p)])
 
-        pieces = Memo(piece)
-
         def word(w: str) -> bytes:
             if "<" in w or not (w.isascii() or latin(w)):
                 return little(tokenizer.encode(w, add_special_tokens=False).ids)
+            low = w.lower()
             if w.isalpha():
-                return pieces[w.lower()]
-            return b"".join([pieces[p] for p in cut.findall(w.lower())])
+                return piece(w) if low == w else words[low]
+            # A piece of letters is a word as well; both are remembered once.
+            return b"".join([words[p] if p.isalpha() else marks[p] for p in cut.findall(low)])
 
-        return Memo(word)
+        words, marks = Memo(word, memo_words * 3 // 2), Memo(piece, memo_words // 2)
+        return words
 
     memo = worker_cache(f"wordids:{vocab}:{memo_words}", make)
 

@@ -148,3 +148,27 @@ def test_latin_words_are_cut_here(ids, monkeypatch):
     monkeypatch.setattr(tokenizers, "Tokenizer", Pieces)
     encode = wordids.word_encoder(VOCAB, 200_001)
     assert [encode(t) for t in texts] == want
+
+
+def test_words_asked_for_again_and_again_outlive_a_full_memo():
+    from sparkassay.llm.worker import worker_cache
+    from sparkassay.llm.wordids import word_encoder
+
+    encode = word_encoder("word_bpe_49k.json", 16)
+    memo = worker_cache("wordids:word_bpe_49k.json:16", dict)
+    work, made = memo.work, []
+    memo.work = lambda w: made.append(w) or work(w)
+    for k in range(300):
+        assert encode(f"often rare{chr(97 + k % 26)}{chr(97 + k // 26)}") == word_encoder("word_bpe_49k.json")(f"often rare{chr(97 + k % 26)}{chr(97 + k // 26)}")
+    assert made.count("often") == 1
+
+
+def test_numbers_of_every_width_come_back_from_their_blocks():
+    import numpy as np
+
+    from sparkassay.llm import pfor
+
+    rng = np.random.default_rng(5)
+    for top in [1 << b for b in range(33)]:
+        ids = rng.integers(0, top, 300, dtype=np.uint64).astype(np.uint32)
+        assert (pfor.unpack_blocks(*pfor.pack_blocks(ids), len(ids)) == ids).all()
