@@ -42,3 +42,18 @@ def test_row_work_does_not_shuffle(spark, name):
 def test_packing_runs_once(spark):
     assert plan(QUERIES["chunk_sentence"](spark, ROOT)).count("ArrowEvalPython") == 1
     assert plan(QUERIES["hash_embed"](spark, ROOT)).count("ArrowEvalPython") == 1
+
+
+def test_parts_of_the_brand_report_follow_the_lines(spark, tmp_path, monkeypatch):
+    from sparkassay.plans import catalogue, warehouse
+
+    monkeypatch.setattr(warehouse, "LINES_PER_TASK", 3, raising=False)
+    lines = [(1, 1, 10.0), (1, 1, 5.0), (1, 2, 7.0), (2, 1, 1.0), (2, None, 4.0), (None, 1, 9.0), (3, 3, 2.0), (9, 1, 8.0)]
+    spark.createDataFrame([(o, p, price, 0.5) for o, p, price in lines], "l_orderkey long, l_partkey long, l_extendedprice double, l_discount double"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    # Order 2 is there twice, order 9 is not; part 2 is there twice and part 3 has no brand.
+    spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "A"), (2, "A"), (2, "B"), (3, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.queries()["q_multi_agg"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("A", 12.0, 2), ("B", 3.5, 1), (None, 1.0, 1)}
+    assert "hashpartitioning(l_orderkey" in found._jdf.queryExecution().toString() and ", 3)" in found._jdf.queryExecution().toString()
