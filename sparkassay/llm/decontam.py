@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkassay.llm.worker import give_back, spread, worker_cache
+from sparkassay.llm.worker import forget_others, give_back, spread, worker_cache
 
 #: Items with fewer words have no windows; their word sequence is looked up as it is.
 MIN_WORDS = 5
@@ -41,7 +41,7 @@ BLOCK_BYTES = 16 << 20
 #: Text bytes worked on together inside a task; a longer document is worked on alone.
 GROUP_BYTES = 1 << 18
 #: Window hits, and cells of one alignment matrix, held at a time.
-HITS, CELLS = 1 << 20, 1 << 21
+HITS, CELLS = 1 << 20, 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -378,6 +378,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("decontam:")
         index = ItemIndex(*sent.value)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_pylist()

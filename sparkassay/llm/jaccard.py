@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkassay.llm import simhash
 from sparkassay.llm.components import components
 from sparkassay.llm.decontam import parted
-from sparkassay.llm.worker import give_back, spread
+from sparkassay.llm.worker import forget_others, give_back, spread
 from sparkassay.operators.relational import broadcast_if_small
 from sparkassay.session import materialize
 
@@ -69,6 +69,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        forget_others("jaccard:")
         for batch in batches:
             digests, keys, fps = [], [], []
             for t in batch.column(2).to_pylist():

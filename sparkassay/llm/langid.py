@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkassay.llm.worker import spread, worker_cache
+from sparkassay.llm.worker import give_back, spread, worker_cache
 
 DIM = 1024
 GRAM = 3
@@ -160,6 +160,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 scores += np.where(found, np.clip(cosines[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
             yield pa.record_batch([batch.column(c) for c in range(batch.num_columns)] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                   names=[*batch.schema.names, lang_out, score_out])
+        give_back()
 
     rows = docs.select(*kept)
     schema = T.StructType([*rows.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.components import components
-from sparkassay.llm.worker import spread
+from sparkassay.llm.worker import give_back, spread
 from sparkassay.session import materialize
 
 #: Fingerprints of one tree, and look-ups of one block.
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
         for batch in batches:
             out = np.array([text_fingerprint(t.as_py(), words, seed) for t in batch.column(1)], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return spread(rows).mapInArrow(run, "doc_id bigint, fp bigint")
@@ -185,6 +186,8 @@ def close_links(distinct: DataFrame, radius: int = 2, tree_nodes: int = TREE_NOD
                 held.append(data[:, lo:hi])
         if held:
             yield links()
+        held.clear()
+        give_back()
 
     return ordered.select("role", "fp", *key).mapInArrow(run, "a bigint, b bigint")
 

@@ -259,3 +259,30 @@ def test_pipeline_links_over_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "band_keys", keys)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {x.doc_id for x in jaccard.keep_one(docs).collect()} == {0, 10, 20, 30, 40, 50, 100, 101}
+
+
+def test_a_stage_keeps_nothing_of_the_stage_before(spark):
+    import pyarrow as pa
+
+    from sparkassay.llm import decontam, jaccard, worker
+
+    held = worker.worker_cache("langid:1024:3:40000", lambda: ["table"])
+    assert worker.worker_cache("langid:1024:3:40000", list) is held
+    worker.worker_cache("decontam:kept", lambda: 1)
+    worker.forget_others("decontam:")
+    assert worker.worker_cache("langid:1024:3:40000", list) == [] and worker.worker_cache("decontam:kept", lambda: 2) == 1
+    # The tasks of both stages that follow the language stage do so.
+    def left(batches):
+        import sys
+
+        items = sys.modules["_sparkassay_worker"].items if "_sparkassay_worker" in sys.modules else {}
+        for batch in batches:
+            yield pa.record_batch([pa.array([sum(k.startswith("langid:") for k in items)])], names=["n"])
+
+    docs = spark.createDataFrame([(k, f"some words of text number {k} " * 5, "en") for k in range(8)], "doc_id long, text string, lang string").coalesce(1)
+    from sparkassay.llm import langid
+
+    langid.predict(docs).collect()
+    jaccard.sketches(docs.coalesce(1)).collect()
+    decontam.clean(docs, spark.createDataFrame([(1, "quite other words than these")], "item_id long, text string")).collect()
+    assert sum(r.n for r in docs.mapInArrow(left, "n long").collect()) == 0
