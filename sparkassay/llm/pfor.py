@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkassay.llm.wordids import word_encoder
-from sparkassay.llm.worker import give_back
+from sparkassay.llm.worker import forget_others, give_back
 from sparkassay.session import materialize, scratch_path
 
 BLOCK = 128
@@ -173,13 +173,16 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = 2, path: str |
     return path
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """One row per stored document: ``file, nth`` (place in its file), ``doc_id, local_start, n_tokens, ids``.
 
-    ``ids`` are little-endian unsigned 32-bit integers. A task holds one file at a time.
+    ``ids`` are little-endian unsigned 32-bit integers; with ``digest`` their checksum ``ids_crc32`` is given in their place,
+    taken by the process that unpacks them. A task holds one file at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Reading needs no words; what the writing stage remembered would be held beside the files.
+        forget_others("pfor")
         for batch in batches:
             for k in range(batch.num_rows):
                 name, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
@@ -187,20 +190,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 for doc_ids, lengths, ids in read_segments(content):
                     ends = np.cumsum(lengths, dtype=np.int64)
                     begins = ends - lengths
-                    data = ids.astype("<u4").tobytes()
+                    data = memoryview(ids.astype("<u4").tobytes())
+                    stored = [data[4 * b:4 * e] for b, e in zip(begins, ends)]
+                    last = pa.array([zlib.crc32(x) for x in stored], pa.int64()) if digest else pa.array(stored, pa.binary())
                     yield pa.record_batch([
                         pa.array([name] * len(doc_ids)), pa.array(np.arange(nth, nth + len(doc_ids))),
-                        pa.array(doc_ids, pa.int64()), pa.array(begins + seen), pa.array(lengths.astype(np.int64)),
-                        pa.array([data[4 * b:4 * e] for b, e in zip(begins, ends)], pa.binary())],
-                        names=["file", "nth", "doc_id", "local_start", "n_tokens", "ids"])
+                        pa.array(doc_ids, pa.int64()), pa.array(begins + seen), pa.array(lengths.astype(np.int64)), last],
+                        names=names)
                     nth += len(doc_ids)
                     seen += int(ends[-1])
                 del content
                 give_back()
 
+    names = ["file", "nth", "doc_id", "local_start", "n_tokens", "ids_crc32" if digest else "ids"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     named = files.filter("length > 0").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
-    return named.mapInArrow(run, "file string, nth bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids binary")
+    return named.mapInArrow(run, "file string, nth bigint, doc_id bigint, local_start bigint, n_tokens bigint, "
+                                 + ("ids_crc32 bigint" if digest else "ids binary"))
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -209,14 +215,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     ``start`` adds the ids of all earlier files, one small row per file, to the start inside the file.
     """
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
-            yield pa.record_batch([batch.column(c) for c in ("file", "doc_id", "local_start", "n_tokens")] + [crc],
-                                  names=["file", "doc_id", "local_start", "n_tokens", "ids_crc32"])
-
-    docs = materialize(read_token_files(spark, path).mapInArrow(
-        digest, "file string, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"), "token-index")
+    docs = materialize(read_token_files(spark, path, digest=True).drop("nth"), "token-index")
     # part-<partition>-<uuid>-c<chunk>: both numbers are zero-filled, the uuid is the same in one write.
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
