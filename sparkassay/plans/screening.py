@@ -47,8 +47,12 @@ ALLOW = ("customer", "orders", "lineitem", "part")
 O_AUDIT = plain(AUDITS)
 
 
+# Statements of one task: a fold over tokens takes some hundred microseconds a statement.
+STATEMENT_ROWS = 25_000
+
+
 def statements(wh):
-    return wh.sql(STATEMENTS, spread=True)
+    return wh.sql(STATEMENTS, spread=True, most=STATEMENT_ROWS)
 
 
 def allow():

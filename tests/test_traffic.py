@@ -4,6 +4,7 @@ import numpy as np
 
 from sparkassay.operators import cells, pivots, retrieval
 from sparkassay.operators.topk import Side
+from sparkassay.sources.tables import Warehouse
 
 
 def frame(spark, m, key):
@@ -45,3 +46,11 @@ def test_blocks_are_repeated_for_the_queries_that_come(spark, monkeypatch):
     assert splits(second, 4 * search.n_regions) == [4] * search.n_regions
     monkeypatch.setattr(pivots, "SPLIT_QUERIES", 50)
     assert max(splits(first, 1)) >= 160 // 50
+
+
+def test_statements_of_a_task_are_bounded(spark, tmp_path):
+    n = 1500
+    spark.range(n).write.parquet(f"{tmp_path}/orders.parquet")
+    wh = Warehouse(spark, str(tmp_path))
+    assert wh.spread("orders", 10).rdd.getNumPartitions() >= n // 10 > spark.sparkContext.defaultParallelism
+    assert wh.spread("orders", n).rdd.getNumPartitions() == wh.spread("orders").rdd.getNumPartitions()
