@@ -41,17 +41,19 @@ def prompts_by_strategy(questions: DataFrame, pool: DataFrame, static: DataFrame
     strategy, get the full schema without examples.
     """
     asked = materialize(questions.select("qid", "text", "strategy"), "asked")
-    hits = selection.fewshot_dynamic(hash_embed(_needing(asked, "examples", "dynamic")), hash_embed(pool), "qid", "ex_id", n=EXAMPLES,
-                                     q_out="qid", i_out="ex_id")
+    # Vectors are read more than once; the tasks that read them do not make them.
+    hashed = lambda df, label: materialize(hash_embed(df), label)
+    hits = selection.fewshot_dynamic(hashed(_needing(asked, "examples", "dynamic"), "dynamic"), hashed(pool.select("ex_id", "text"), "pool"), "qid", "ex_id",
+                                     n=EXAMPLES, q_out="qid", i_out="ex_id")
     dynamic = prompts.ordered_pairs(attach(hits, pool, "ex_id"), "qid", "rank", "text")
     fixed = prompts.ordered_pairs(static.withColumn("_all", F.lit(1)), "_all", "rank", "text").select("pairs").scalar()
     pairs = dynamic.unionByName(_needing(asked, "examples", "static").select("qid", fixed.alias("pairs")))
 
-    items = materialize(hash_embed(definitions), "definitions")
+    items = hashed(definitions, "definitions")
     found = None
     for how in ("dense", "sparse", "hybrid"):
         mine = _needing(asked, "schema", how)
-        ranked = retrieve(mine if how == "sparse" else hash_embed(mine), items, how, k, "qid", "pos", q_out="qid", i_out="pos")
+        ranked = retrieve(mine if how == "sparse" else hashed(mine, how), items, how, k, "qid", "pos", q_out="qid", i_out="pos")
         ranked = ranked.select("qid", "rank", "pos")
         found = ranked if found is None else found.unionByName(ranked)
     blocks = schema_block(attach(found, definitions.select("pos", F.col("text").alias("table_def")), "pos"), ["qid"], "rank")
